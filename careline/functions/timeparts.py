@@ -34,24 +34,25 @@ def _plus_months(ts: Column, months: Column) -> Column:
     return ts + F.make_ym_interval(F.lit(0), months.cast("int"))
 
 
-def _ordered_months(low: Column, high: Column) -> Column:
-    """Largest k with low + k months (clamped to the month end) <= high, low <= high."""
+def _ordered(start: Column, end: Column) -> tuple[Column, Column, Column]:
+    """Earlier and later timestamp, and the largest k with earlier + k months
+    (clamped to the month end) <= later."""
+    low, high = F.least(start, end), F.greatest(start, end)
     k = F.timestamp_diff("MONTH", low, high).cast("int")
-    return F.when(_plus_months(low, k + 1) <= high, k + 1).otherwise(k)
+    return low, high, k + (_plus_months(low, k + 1) <= high).cast("int")
 
 
 def months_between(start: Column, end: Column) -> Column:
     """Calendar months with fraction; negative when `end` precedes `start`."""
-    backwards = end < start
-    low = F.when(backwards, end).otherwise(start)
-    high = F.when(backwards, start).otherwise(end)
-    k = _ordered_months(low, high)
-    at_k, at_next = _micros(_plus_months(low, k)), _micros(_plus_months(low, k + 1))
-    months = k + (_micros(high) - at_k) / (at_next - at_k)
-    return F.when(backwards, -months).otherwise(months)
+    low, high, k = _ordered(start, end)
+    at_k = _micros(_plus_months(low, k))
+    months = k + (_micros(high) - at_k) / (_micros(_plus_months(low, k + 1)) - at_k)
+    sign = F.when(end < start, -1.0).when(end >= start, 1.0)
+    return sign * months
 
 
 def whole_months(start: Column, end: Column) -> Column:
     """Calendar months rounded down."""
-    return (F.when(end < start, F.floor(months_between(start, end)).cast("int"))
-             .otherwise(_ordered_months(start, end)))
+    low, high, k = _ordered(start, end)
+    return (F.when(end < start, -k - (_plus_months(low, k) < high).cast("int"))
+             .when(end >= start, k))

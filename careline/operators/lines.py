@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from careline.functions import labels as L
@@ -61,6 +61,17 @@ def path_frequency(paths: DataFrame) -> DataFrame:
     return paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _deviation(x: Column, rounding: str) -> Column:
+    """Sample standard deviation of tenths as one-decimal value; NULL for one row.
+
+    From exact sums, so that a halfway case rounds the same in every order.
+    """
+    n = F.count(x).cast("double")
+    total, squares = F.sum(x.cast("double")), F.sum(x.cast("double") * x)
+    variance = F.try_divide(n * squares - total * total, n * (n - 1))
+    return round_to(F.sqrt(variance) / F.lit(10.0), 1, rounding)
+
+
 def path_duration_stats(paths: DataFrame, rounding: str = "half_up") -> DataFrame:
     """Months per path and position, over the distinct duration vectors of the path."""
     vectors = paths.groupBy("path", "drugs", "durations").agg(F.count(F.lit(1)).alias("k"))
@@ -71,8 +82,7 @@ def path_duration_stats(paths: DataFrame, rounding: str = "half_up") -> DataFram
              .groupBy("path", (F.col("i") + 1).alias("position"), F.col("x.drugs").alias("med_group"))
              .agg(strict(mean_of_tenths(F.sum(tenths(months)), F.count(months)), months)
                   .alias("mean_months"),
-                  strict(round_to(F.try_divide(F.stddev_samp(tenths(months)), F.lit(10.0)), 1,
-                                  rounding), months).alias("sd_months"),
+                  strict(_deviation(tenths(months), rounding), months).alias("sd_months"),
                   strict(F.min(months), months).alias("min_months"),
                   strict(F.max(months), months).alias("max_months")))
     return join_on(stats, per_path, ["path"])

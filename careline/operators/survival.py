@@ -76,16 +76,17 @@ def persistence_counts(rows: DataFrame, end: str = "previous", unit: str = "row"
         "final": F.lead(F.lit(1)).over(by_time).isNull()})
     here = _months(F.col("first"), now)
     leading = _months(F.col("first"), F.col("before")) if end == "previous" else here
-    single = k == 1
+    marked = marked.select("med_group", "k", "final", here.alias("here"),
+                           leading.alias("leading"))
+    single, event = k == 1, F.col("final").cast("int")
 
-    def part(months: Column, rows_: Column, events: Column) -> Column:
-        return F.struct(months.alias("months"), rows_.cast("bigint").alias("n"),
+    def part(months: str, rows_: Column, events: Column) -> Column:
+        return F.struct(F.col(months).alias("months"), rows_.cast("bigint").alias("n"),
                         events.cast("bigint").alias("d"))
 
-    event = F.col("final").cast("int")
     parts = F.array(
-        part(leading, F.lit(1), F.when(single, event).otherwise(0)),
-        part(here, k - 1, F.when(single, 0).otherwise(event)))
+        part("leading", F.lit(1), F.when(single, event).otherwise(0)),
+        part("here", k - 1, F.when(single, 0).otherwise(event)))
     times = (marked.select("med_group", F.explode(parts).alias("p")).select("med_group", "p.*")
              .filter(F.col("n") > 0))
     if unit == "patient":

@@ -249,7 +249,8 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "followup_span": lambda s: S.followup_span(s.steps, AS_OF_YEAR),
     "process_timeline": lambda s: S.process_timeline(
         S.followup_span(s.steps, AS_OF_YEAR), TIMELINE_YEAR).select(
-        "nhc", "process_id", "drug_name", "followup_days", "kind", "date", "label"),
+        "nhc", "process_id", "drug_name", "followup_days", "kind",
+        F.col("date").cast("string").alias("date"), "label"),
     "step_changes": lambda s: rounded(S.step_changes(s.steps).select(
         *STEP_ROW, "start_year", "activity", "step_change", "span_change", "span_result",
         "gap_months", "span_months", "span_weeks"), "step_change", "span_change"),

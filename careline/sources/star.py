@@ -7,8 +7,10 @@ sides start from identical rows. Table names stand in braces.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Reporting date of all queries over the star schema.
 AS_OF = "2001-12-31"
@@ -112,9 +114,15 @@ SMALL_FILE_BYTES = 256 * 1024 * 1024
 SPREAD_KEYS = {"lineitem": "l_orderkey"}
 
 
+@lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """Schema of a table, read once per session: looking at a footer costs a job."""
+    return spark.read.parquet(path).schema
+
+
 def read_star(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    table = spark.read.parquet(path)
+    table = spark.read.schema(_schema(spark, path)).parquet(path)
     if name in SPREAD_KEYS and os.path.isfile(path) \
             and os.path.getsize(path) < SMALL_FILE_BYTES:
         table = table.repartition(spark.sparkContext.defaultParallelism, SPREAD_KEYS[name])

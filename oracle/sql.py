@@ -173,7 +173,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
    regr_sxy(y, x) AS sxy, corr(y, x) AS r, max(m) AS max_months FROM points GROUP BY drug_code) WHERE n >= 3"""),
     "curve": (("fit",), """SELECT drug_code, CAST(g.m AS INT) AS month, intercept + slope * g.m AS predicted
   FROM fit, LATERAL (SELECT unnest(range(0, max_months + 1)) AS m) g"""),
-    "disp": (("dispensings",), "SELECT * RENAME (nhc_raw AS nhc) FROM dispensings WHERE qty <> 0"),
+    "disp": (("dispensings",), "SELECT * EXCLUDE (nhc_raw), regexp_replace(nhc_raw, '^0+', '') AS nhc FROM dispensings WHERE qty <> 0"),
     "presc": (("prescriptions",), f"SELECT *, {POSOLOGY} AS posology_days FROM prescriptions"),
     "valid": (("disp", "presc"), _valid("disp", "presc")),
     "ratio": (("valid",), f"""SELECT * FROM (SELECT *, CASE WHEN days <> 0 THEN {rnd('r', 1)} END AS coverage_posology FROM (
@@ -189,7 +189,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     "bygroup": (("rated",), """SELECT *, CASE WHEN n > 3 THEN 'n=' || n END AS label_text,
   CAST(sum(n) OVER (PARTITION BY med_group) AS BIGINT) AS total
   FROM (SELECT med_group, coverage_class, class_order, count(*) AS n FROM rated GROUP BY ALL)"""),
-    "fine": (("dispensings_fine",), "SELECT * RENAME (nhc_raw AS nhc) FROM dispensings_fine WHERE qty <> 0"),
+    "fine": (("dispensings_fine",), "SELECT * EXCLUDE (nhc_raw), regexp_replace(nhc_raw, '^0+', '') AS nhc FROM dispensings_fine WHERE qty <> 0"),
     "finepresc": (("prescriptions_fine",), f"SELECT *, {POSOLOGY} AS posology_days FROM prescriptions_fine"),
     "finevalid": (("fine", "finepresc"), _valid("fine", "finepresc")),
     "naive": (("finevalid",), """SELECT * FROM finevalid WHERE nhc IN (SELECT nhc FROM finevalid
@@ -277,7 +277,8 @@ def _spread_totals(column: str, names: list[tuple[str, str]], missing: str | Non
     body = f"SELECT med_group, {', '.join(wide)} FROM cohort GROUP BY med_group"
     sums = ", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}"
                      for n in [n for _, n in names] + ([missing] if missing else []))
-    return f"WITH w AS ({body}) SELECT * FROM w UNION ALL BY NAME SELECT 'Totals' AS med_group, {sums} FROM w"
+    return (f"SELECT * FROM (WITH w AS ({body}) SELECT * FROM w "
+            f"UNION ALL BY NAME SELECT 'Totals' AS med_group, {sums} FROM w)")
 
 
 def _cells(column: str, levels) -> str:
@@ -298,13 +299,13 @@ def _normalised(names: str) -> str:
     return ", ".join(f"{rnd(n, 6)} AS {n}" for n in names.split())
 
 
-_T975 = """(1.959963984540054 + (power(1.959963984540054, 3) + 1.959963984540054) / (4.0 * v)
-  + (5 * power(1.959963984540054, 5) + 16 * power(1.959963984540054, 3) + 3 * 1.959963984540054) / (96.0 * v * v)
-  + (3 * power(1.959963984540054, 7) + 19 * power(1.959963984540054, 5) + 17 * power(1.959963984540054, 3) - 15 * 1.959963984540054) / (384.0 * v * v * v)
-  + (79 * power(1.959963984540054, 9) + 776 * power(1.959963984540054, 7) + 1482 * power(1.959963984540054, 5)
-   - 1920 * power(1.959963984540054, 3) - 945 * 1.959963984540054) / (92160.0 * v * v * v * v))"""
+_T975 = """(1.959963984540054e0 + (power(1.959963984540054e0, 3) + 1.959963984540054e0) / (4.0 * v)
+  + (5 * power(1.959963984540054e0, 5) + 16 * power(1.959963984540054e0, 3) + 3 * 1.959963984540054e0) / (96.0 * v * v)
+  + (3 * power(1.959963984540054e0, 7) + 19 * power(1.959963984540054e0, 5) + 17 * power(1.959963984540054e0, 3) - 15 * 1.959963984540054e0) / (384.0 * v * v * v)
+  + (79 * power(1.959963984540054e0, 9) + 776 * power(1.959963984540054e0, 7) + 1482 * power(1.959963984540054e0, 5)
+   - 1920 * power(1.959963984540054e0, 3) - 945 * 1.959963984540054e0) / (92160.0 * v * v * v * v))"""
 
-_LOGRANK = f"""WITH d AS (SELECT comparison, position AS p, observed - expected AS z FROM oe),
+_LOGRANK = f"""SELECT * FROM (WITH d AS (SELECT comparison, position AS p, observed - expected AS z FROM oe),
  z AS (SELECT comparison, max(z) FILTER (WHERE p = a) AS z1, max(z) FILTER (WHERE p = b) AS z2, max(z) FILTER (WHERE p = c) AS z3
   FROM d JOIN (VALUES ('1_2_3_4', 1, 2, 3), ('1_2', 1, 0, 0), ('1_3', 1, 0, 0), ('1_4', 1, 0, 0)) s(comparison, a, b, c) USING (comparison) GROUP BY comparison),
  m AS (SELECT comparison, max(v) FILTER (WHERE p = 1 AND q = 1) AS a, max(v) FILTER (WHERE p = 1 AND q = 2) AS b, max(v) FILTER (WHERE p = 1 AND q = 3) AS c,
@@ -314,7 +315,7 @@ _LOGRANK = f"""WITH d AS (SELECT comparison, position AS p, observed - expected
     + 2 * z1 * z2 * (c * e - b * f) + 2 * z1 * z3 * (b * e - c * d) + 2 * z2 * z3 * (b * c - a * e))
    / (a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)) END AS chisq,
   CASE WHEN comparison = '1_2_3_4' THEN 3 ELSE 1 END AS df FROM z JOIN m USING (comparison))
- SELECT comparison, {rnd('chisq', 6)} AS chisq, df, {rnd(chisq_tail('chisq', 'df'), 6)} AS p_value FROM x"""
+ SELECT comparison, {rnd('chisq', 6)} AS chisq, df, {rnd(chisq_tail('chisq', 'df'), 6)} AS p_value FROM x)"""
 
 
 # Query: (tables needed, final select) ------------------------------------------------
@@ -346,8 +347,8 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
   {days('previous_ts', 'step_ts')} AS gap_days FROM stepw WHERE year(process_start) BETWEEN {Y - 3} AND {Y}"""),
     "followup_span": (("span",), "SELECT * FROM span"),
     "process_timeline": (("span",), f"""SELECT nhc, process_id, drug_name, followup_days, 'process_start' AS kind,
-  CAST(process_start AS DATE) AS date, NULL::VARCHAR AS label FROM span WHERE start_year = {TIMELINE_YEAR}
-  UNION ALL SELECT nhc, process_id, drug_name, followup_days, 'process_end', CAST(process_end AS DATE),
+  CAST(CAST(process_start AS DATE) AS VARCHAR) AS date, NULL::VARCHAR AS label FROM span WHERE start_year = {TIMELINE_YEAR}
+  UNION ALL SELECT nhc, process_id, drug_name, followup_days, 'process_end', CAST(CAST(process_end AS DATE) AS VARCHAR),
   CASE WHEN followup_days > 0 THEN followup_days || ' dies' END FROM span WHERE start_year = {TIMELINE_YEAR}"""),
     "step_changes": (("stepw",), f"""SELECT {ROW}, CAST(year(process_start) AS INT) AS start_year, {band('score', False)} AS activity,
   {rnd('(score - previous_score)', 6)} AS step_change, {rnd('span_change', 6)} AS span_change,
@@ -392,7 +393,7 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     "posology_days": (("presc",), """SELECT nhc, med_code, presc_national_code, dose, freq_type, freq_code, freq_desc,
   valid_from, valid_to, posology_days FROM presc"""),
     "qc_prescriptions": (("presc",), "SELECT nhc, med_code, presc_national_code, valid_from, valid_to FROM presc"),
-    "dispensing_gaps": (("dispensings",), f"""SELECT * FROM (SELECT nhc_raw AS nhc, med_code, med_name, national_code, dispensed_at, qty,
+    "dispensing_gaps": (("dispensings",), f"""SELECT * FROM (SELECT regexp_replace(nhc_raw, '^0+', '') AS nhc, med_code, med_name, national_code, dispensed_at, qty,
    tie1, tie2, tie3, tie4, tie5, {days('lag(dispensed_at) OVER w', 'dispensed_at')} AS gap_days FROM dispensings
    WINDOW w AS (PARTITION BY nhc_raw, med_name ORDER BY dispensed_at, tie1, tie2, tie3, tie4, tie5)) WHERE qty <> 0"""),
     "dispensing_prescription_join": (("disp", "presc"), f"""SELECT {', '.join('d.' + c.strip() for c in DROW.split(','))}, {PROW}
@@ -446,8 +447,8 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     "persistence_counts": (("counts",), "SELECT * FROM counts"),
     "frequent_drugs": (("ranked",), "SELECT * FROM ranked"),
     "km_curve": (("km",), f"SELECT * REPLACE ({rnd('survival', 6)} AS survival) FROM km"),
-    "km_median": (("km",), f"""SELECT med_group, {rnd('(CASE WHEN nxt > at THEN (at + nxt) / 2 ELSE at END)', 6)} AS median_months FROM (
-  SELECT med_group, min(months) FILTER (WHERE survival <= 0.5 + 1.5e-8) AS at, min(months) FILTER (WHERE survival < 0.5 - 1.5e-8) AS nxt
+    "km_median": (("km",), f"""SELECT med_group, {rnd('(CASE WHEN next_at > half_at THEN (half_at + next_at) / 2 ELSE half_at END)', 6)} AS median_months FROM (
+  SELECT med_group, min(months) FILTER (WHERE survival <= 0.5 + 1.5e-8) AS half_at, min(months) FILTER (WHERE survival < 0.5 - 1.5e-8) AS next_at
   FROM km GROUP BY med_group)"""),
     "logrank_observed_expected": (("oe",), f"SELECT * REPLACE ({rnd('expected', 6)} AS expected) FROM oe"),
     "logrank_test": (("oe", "cov"), _LOGRANK),
@@ -458,7 +459,7 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
         f"drugs[{i}] AS drug_{i}, durations[{i}] AS months_{i}" for i in range(1, 7)) + " FROM paths"),
     "path_frequency": (("freq",), "SELECT * FROM freq"),
     "path_duration_stats": (("vectors", "freq"), f"""SELECT path, n, CAST(i AS INT) AS position, drug AS med_group,
-  floor(sum(x) / CAST(count(*) AS DOUBLE) + 0.5) / 10 AS mean_months, {rnd('(stddev_samp(x) / 10)', 1)} AS sd_months,
+  floor(sum(x) / CAST(count(*) AS DOUBLE) + 0.5) / 10 AS mean_months, {rnd('(sqrt((count(*) * sum(x * x) - sum(x) * sum(x)) / nullif(CAST(count(*) * (count(*) - 1) AS DOUBLE), 0)) / 10.0)', 1)} AS sd_months,
   min(x) / 10.0 AS min_months, max(x) / 10.0 AS max_months FROM (
    SELECT path, i, drugs[i] AS drug, CAST(round(durations[i] * 10) AS BIGINT) AS x
    FROM vectors, LATERAL (SELECT unnest(range(1, len(drugs) + 1)) AS i) g) JOIN freq USING (path) GROUP BY ALL"""),
