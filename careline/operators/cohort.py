@@ -51,12 +51,9 @@ def cohort_patients(valid: DataFrame, patients: DataFrame) -> DataFrame:
     return _aged(join_on(per_patient, demographics(patients), ["nhc"], "left"))
 
 
-def cohort_rows(naive: DataFrame, patients: DataFrame) -> DataFrame:
-    """Dispensings of the naive cohort with sex, start year and age band."""
-    start = naive.groupBy("nhc").agg(F.year(F.min("dispensed_at")).cast("int")
-                                     .alias("start_year"))
-    per_patient = join_on(start, demographics(patients), ["nhc"], "left")
-    return _aged(join_on(naive, per_patient, ["nhc"]))
+def cohort_rows(valid: DataFrame, people: DataFrame) -> DataFrame:
+    """Dispensings of the naive cohort with the columns of `cohort_patients`."""
+    return join_on(valid, people.drop("med_group", "n_rows"), ["nhc"])
 
 
 def _patients() -> Column:

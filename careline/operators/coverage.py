@@ -1,9 +1,9 @@
 """Proportion of days covered and its summaries.
 
-All figures are built bottom up: dispensings are reduced to treatments (a
-treatment is one combination of patient, drug and prescription), treatments to
-posologies, posologies to specialties. Each level is a small aggregate of the
-one below, so no dispensing row is read twice.
+Dispensings are reduced to one row per patient, specialty and posology, those to
+one per patient and specialty; both are joined to the treatments, the distinct
+combinations of patient, drug and prescription. Everything is combined on the map
+side before it is shuffled.
 """
 
 from __future__ import annotations
@@ -43,15 +43,11 @@ def coverage_ratio(valid: DataFrame, weight: str = "row", rounding: str = "half_
     """
     if weight not in ("row", "posology"):
         raise ValueError(f"unknown weight {weight!r}")
-    treatment = [c for c in valid.columns if c not in ("dispensed_at", "qty")]
     ts, qty = F.col("dispensed_at"), F.col("qty")
-    treatments = valid.groupBy(*treatment).agg(
-        F.count(F.lit(1)).alias("n_rows"), strict(F.sum(qty), qty).alias("t_units"),
-        F.min(ts).alias("t_first"), F.max(ts).alias("t_last"))
-    posologies = (treatments.groupBy(*POSOLOGY)
-                  .agg(F.sum("n_rows").alias("n_rows"),
-                       strict(F.sum("t_units"), "t_units").alias("units"),
-                       elapsed_days(F.min("t_first"), F.max("t_last")).alias("days"))
+    posologies = (valid.groupBy(*POSOLOGY)
+                  .agg(F.count(F.lit(1)).alias("n_rows"),
+                       strict(F.sum(qty), qty).alias("units"),
+                       elapsed_days(F.min(ts), F.max(ts)).alias("days"))
                   .withColumn("coverage_posology",
                               _ratio(F.col("units"), F.col("posology_days"), F.col("days"),
                                      rounding))
@@ -61,7 +57,7 @@ def coverage_ratio(valid: DataFrame, weight: str = "row", rounding: str = "half_
                    .agg(mean_of_tenths(F.sum(tenths(F.col("coverage_posology")) * rows),
                                        F.sum(rows)).alias("coverage")))
     rated = join_on(posologies.drop("n_rows"), specialties, SPECIALTY)
-    return join_on(treatments.drop("n_rows", "t_units", "t_first", "t_last"), rated, POSOLOGY)
+    return join_on(valid.drop("dispensed_at", "qty").distinct(), rated, POSOLOGY)
 
 
 def classified(treatments: DataFrame) -> DataFrame:
@@ -102,27 +98,36 @@ def patients_total(treatments: DataFrame) -> DataFrame:
             .select(F.lit("Numero de pacients totals").alias("variable"), "n"))
 
 
-def _wide(counts: DataFrame, keys: list[str], total: str, rounding: str) -> DataFrame:
-    """One row per key with a count and a share per class, absent classes as zero."""
-    n_of = {level: F.coalesce(F.sum(F.when(F.col("coverage_class") == level, F.col("n"))),
-                              F.lit(0)).alias(f"n_{name}")
-            for level, name in CLASS_NAMES.items()}
-    wide = counts.groupBy(*keys).agg(*n_of.values(), F.sum("n").alias(total))
-    shares = {f"pct_{name}": percent_text(round_to(
+def _class_counts(count: Column) -> list[Column]:
+    """Sum of `count` per coverage class, absent classes as zero."""
+    return [F.coalesce(F.sum(F.when(F.col("coverage_class") == level, count)), F.lit(0))
+            .alias(f"n_{name}") for level, name in CLASS_NAMES.items()]
+
+
+def _with_shares(wide: DataFrame, total: str, rounding: str) -> DataFrame:
+    return wide.withColumns({f"pct_{name}": percent_text(round_to(
         F.try_divide(F.col(f"n_{name}").cast("double"), F.col(total)) * 100.0, 1, rounding))
-        for name in CLASS_NAMES.values()}
-    return wide.withColumns(shares)
+        for name in CLASS_NAMES.values()})
 
 
 def coverage_summary(treatments: DataFrame, rounding: str = "half_up") -> DataFrame:
-    """Wide table per drug group with patients and treatments per patient."""
-    wide = _wide(coverage_by_group(treatments), ["med_group"], "treatments", rounding)
-    return (join_on(wide, patients_by_group(treatments), ["med_group"], "left")
-            .withColumn("treatments_per_patient",
-                        round_to(F.try_divide(F.col("treatments").cast("double"),
-                                              F.col("patients")), 1, rounding)))
+    """Per drug group: treatments per class with shares, patients, treatments per patient.
+
+    Treatments are counted per patient first, so one pass gives treatments and
+    distinct patients.
+    """
+    per_patient = treatments.groupBy("med_group", "nhc").agg(
+        *_class_counts(F.lit(1)), F.count(F.lit(1)).alias("treatments"))
+    counts = [f"n_{name}" for name in CLASS_NAMES.values()] + ["treatments"]
+    wide = per_patient.groupBy("med_group").agg(
+        *[F.sum(c).alias(c) for c in counts], F.count(F.lit(1)).alias("patients"))
+    return _with_shares(wide, "treatments", rounding).withColumn(
+        "treatments_per_patient",
+        round_to(F.try_divide(F.col("treatments").cast("double"), F.col("patients")), 1, rounding))
 
 
 def coverage_summary_by_drug(treatments: DataFrame, rounding: str = "half_up") -> DataFrame:
-    """Wide table per drug, for all drug groups at once."""
-    return _wide(coverage_by_drug(treatments), ["med_group", "med_name"], "total", rounding)
+    """Treatments per class with shares for every drug, all drug groups at once."""
+    wide = treatments.groupBy("med_group", "med_name").agg(
+        *_class_counts(F.lit(1)), F.count(F.lit(1)).alias("total"))
+    return _with_shares(wide, "total", rounding)

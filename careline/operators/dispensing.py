@@ -10,7 +10,7 @@ from careline.functions.posology import posology_days
 from careline.functions.semantics import is_in, join_on, single_valued
 from careline.functions.text import strip_zeros
 from careline.functions.timeparts import elapsed_days
-from careline.operators.intervals import SLICE_DAYS, interval_join
+from careline.operators.intervals import SLICE_DAYS, earliest_interval, interval_join
 from careline.operators.ordered import HOT_ROWS, with_previous
 
 MATCH = ["nhc", "med_code"]
@@ -98,14 +98,15 @@ def valid_dispensings(rows: DataFrame, prescriptions: DataFrame, as_of: str,
     """Distinct dispensings within the validity of a prescription.
 
     Two overlapping prescriptions that differ in a kept column keep the dispensing
-    twice. Both sides are reduced to distinct rows before they meet.
+    twice. Both sides are reduced to distinct rows before they meet; as all their
+    columns are kept, the pairs are then distinct too.
     """
     left = rows.select(*present(rows, DISPENSED)).distinct()
     right = (prescriptions.filter(F.col("prescription_id").isNotNull())
              .select(*MATCH, *PRESCRIBED).distinct())
     joined = interval_join(left, right, MATCH, "dispensed_at", "valid_from", "valid_to", as_of,
                            slice_days=slice_days)
-    return joined.select(*left.columns, *PRESCRIBED).distinct()
+    return joined.select(*left.columns, *PRESCRIBED)
 
 
 def _numbered(frame: DataFrame, code: str) -> DataFrame:
@@ -136,13 +137,11 @@ def point_in_time_posology(rows: DataFrame, prescriptions: DataFrame, as_of: str
     there is none.
     """
     events = rows.select("nhc", "national_code", "dispensed_at").distinct()
-    right = (prescriptions.select("nhc", "presc_national_code", "posology_days", "valid_from",
-                                  "valid_to").distinct())
-    pairs = interval_join(events, right, ["nhc", ("national_code", "presc_national_code")],
-                          "dispensed_at", "valid_from", "valid_to", as_of, "left", slice_days)
-    first = F.min(F.struct("valid_from", F.col("posology_days").isNull(), "posology_days"))
-    return (pairs.groupBy("nhc", "national_code", "dispensed_at")
-            .agg(first.getField("posology_days").alias("posology_days")))
+    intervals = (prescriptions.select("nhc", "presc_national_code", "posology_days",
+                                      "valid_from", "valid_to").distinct())
+    return earliest_interval(events, intervals, ["nhc", ("national_code", "presc_national_code")],
+                             "dispensed_at", "valid_from", "valid_to", "posology_days", as_of,
+                             slice_days)
 
 
 def one_group_patients(rows: DataFrame, key: str = "nhc") -> DataFrame:

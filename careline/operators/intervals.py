@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from careline.functions.semantics import join_on
@@ -17,26 +17,56 @@ def closed_end(end: Column, as_of: str | None) -> Column:
     return end if as_of is None else F.coalesce(end, F.lit(as_of).cast("timestamp_ntz"))
 
 
+def _slice_of(ts: Column, slice_days: int) -> Column:
+    return F.floor(day_number(ts) / F.lit(slice_days)).cast("int")
+
+
+def _sliced(intervals: DataFrame, start: str, end: str, as_of: str | None,
+            slice_days: int) -> DataFrame:
+    """A copy of every interval per time slice it touches, its end in `__stop`."""
+    slices = F.sequence(_slice_of(F.col(start), slice_days),
+                        _slice_of(F.col("__stop"), slice_days))
+    return (intervals.withColumn("__stop", closed_end(F.col(end), as_of))
+            .filter(F.col(start) <= F.col("__stop"))
+            .withColumn("__slice", F.explode(slices)))
+
+
 def interval_join(events: DataFrame, intervals: DataFrame, keys, at: str, start: str, end: str,
-                  as_of: str | None, how: str = "inner",
-                  slice_days: int = SLICE_DAYS) -> DataFrame:
+                  as_of: str | None, slice_days: int = SLICE_DAYS) -> DataFrame:
     """Pairs with equal keys and start <= at <= end (NULL end = `as_of`).
 
     An interval is copied to every time slice it touches and an event belongs to
     one slice, so a pair meets once and only events and intervals of the same
     slice are compared. That keeps the pairs looked at near the pairs returned for
-    keys with long histories, and cuts a hot key into one key per slice. With
-    `how='left'` an event without interval is kept once.
+    keys with long histories, and cuts a hot key into one key per slice.
     """
-    def in_slices(ts: Column) -> Column:
-        return F.floor(day_number(ts) / F.lit(slice_days)).cast("int")
-
-    stop = closed_end(F.col(end), as_of)
-    sliced = (intervals.withColumn("__stop", stop)
-              .filter(F.col(start) <= F.col("__stop"))
-              .withColumn("__slice", F.explode(F.sequence(in_slices(F.col(start)),
-                                                          in_slices(F.col("__stop"))))))
-    at_slice = events.withColumn("__at_slice", in_slices(F.col(at)))
+    at_slice = events.withColumn("__at_slice", _slice_of(F.col(at), slice_days))
     inside = (F.col(at) >= F.col(start)) & (F.col(at) <= F.col("__stop"))
-    return (join_on(at_slice, sliced, [*keys, ("__at_slice", "__slice")], how, inside)
+    return (join_on(at_slice, _sliced(intervals, start, end, as_of, slice_days),
+                    [*keys, ("__at_slice", "__slice")], "inner", inside)
             .drop("__stop", "__at_slice"))
+
+
+def earliest_interval(events: DataFrame, intervals: DataFrame, keys, at: str, start: str,
+                      end: str, value: str, as_of: str | None,
+                      slice_days: int = SLICE_DAYS) -> DataFrame:
+    """For each event the `value` of the interval that contains it and began first.
+
+    Of intervals that began together the lowest value counts, a missing one last.
+    In this order an interval decides only after the end of all before it, so the
+    intervals of a slice become disjoint stretches and an event meets at most one:
+    no pairs are built and reduced again. An event without interval gets NULL.
+    """
+    right_keys = [k if isinstance(k, str) else k[1] for k in keys]
+    before = (Window.partitionBy(*right_keys, "__slice")
+              .orderBy(start, F.col(value).asc_nulls_last(), F.desc("__stop"))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    stretches = (_sliced(intervals, start, end, as_of, slice_days)
+                 .withColumn("__after", F.max("__stop").over(before))
+                 .filter(F.col("__after").isNull() | (F.col("__stop") > F.col("__after")))
+                 .select(*right_keys, "__slice", start, "__after", "__stop", value))
+    inside = ((F.col(at) >= F.col(start)) & (F.col(at) <= F.col("__stop"))
+              & (F.col("__after").isNull() | (F.col(at) > F.col("__after"))))
+    at_slice = events.withColumn("__at_slice", _slice_of(F.col(at), slice_days))
+    return (join_on(at_slice, stretches, [*keys, ("__at_slice", "__slice")], "left", inside)
+            .select(*events.columns, value))

@@ -2,10 +2,11 @@
 
 A window puts a whole group into one task. That is fine for the usual patient
 with some hundred rows, not for a key that holds a large part of the table. Keys
-above `hot_rows` rows are therefore cut into days: the window runs per (key,
-day), and the first row of a day takes its predecessor from a second window over
-one row per day. All other keys take the ordinary single window; both go through
-the same shuffle.
+with at least `hot_rows` rows therefore take another way to the same result: equal
+rows are collapsed first, the window runs per (key, day), and the first row of a
+day takes its predecessor from a second window over one row per day. All other
+keys take the ordinary single window. Without hot keys the second branch is empty
+and is dropped at run time.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ HOT_ROWS = 2_000_000
 # lost: they take the ordinary window like any other key.
 HOT_LIMIT = 10_000
 
+# Copies of one row written by one task.
+COPIES_PER_TASK = 1_000_000
+
 _UNDATED = 2_147_483_647
 
 
@@ -47,29 +51,40 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str],
     """Add, for each `new: column` pair, the column's value in the previous row.
 
     `order` starts with the timestamp of the row and has to make the order total
-    inside a key. The first row of a key gets NULL.
+    inside a key, but for equal rows. The first row of a key gets NULL.
     """
     hot = F.broadcast(hot_keys(df, keys, hot_rows))
     is_hot = _key_hash(keys) == F.col("__hot")
-    day = F.coalesce(day_number(F.col(order[0])), F.lit(_UNDATED))
     values = F.struct(*[F.col(c).alias(new) for new, c in previous.items()])
+    ordinary = (df.join(hot, is_hot, "left_anti")
+                .withColumn("__before", F.lag(values).over(
+                    Window.partitionBy(*keys).orderBy(*sort_columns(*order)))))
+    split = _hot_previous(df.join(hot, is_hot, "left_semi"), keys, order, values)
+    return (ordinary.unionByName(split)
+            .select(*df.columns, *[F.col(f"__before.{new}").alias(new) for new in previous]))
 
-    by_day = Window.partitionBy(*keys, "__day").orderBy(*sort_columns(*order))
-    rows = (df.join(hot, is_hot, "left")
-              .withColumn("__day", F.when(F.col("__hot").isNotNull(), day))
-              .withColumn("__before", F.lag(values).over(by_day))
-              .drop("__hot"))
 
-    # Last row of every day of a hot key, handed to the key's next day.
+def _hot_previous(df: DataFrame, keys: list[str], order: list[str], values: Column) -> DataFrame:
+    day = F.coalesce(day_number(F.col(order[0])), F.lit(_UNDATED))
+    distinct = (df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
+                .withColumn("__day", day))
+    by_day = Window.partitionBy(*keys, "__day").orderBy(*sort_columns(*order))
+    rows = distinct.withColumn("__within", F.lag(values).over(by_day))
+    # Last row of every day, handed to the key's next day.
     across_days = Window.partitionBy(*keys).orderBy("__day")
-    carried = (df.join(hot, is_hot, "inner")
-                 .groupBy(*keys, day.alias("__day"))
-                 .agg(F.max_by(values, order_key(*order)).alias("__last"))
-                 .select(*keys, "__day", F.lag("__last").over(across_days).alias("__carried"))
-                 .filter(F.col("__carried").isNotNull()))
-
-    joined = join_on(rows, carried, [*keys, "__day"], "left")
-    return joined.select(*df.columns, *[
-        F.when(F.col("__before").isNull(), F.col(f"__carried.{new}"))
-         .otherwise(F.col(f"__before.{new}")).alias(new)
-        for new in previous])
+    carried = (distinct.groupBy(*keys, "__day")
+               .agg(F.max_by(values, order_key(*order)).alias("__last"))
+               .select(*keys, "__day", F.lag("__last").over(across_days).alias("__carried")))
+    first = (join_on(rows, carried, [*keys, "__day"])
+             .withColumn("__before", F.coalesce("__within", "__carried")))
+    # Every further copy follows an equal row.
+    chunks = F.ceil((F.col("__copies") - 1) / COPIES_PER_TASK)
+    left = F.col("__copies") - 1 - (F.col("__chunk") - 1) * COPIES_PER_TASK
+    copies = (first.filter(F.col("__copies") > 1)
+              .withColumn("__chunk", F.explode(F.sequence(F.lit(1), chunks)))
+              .repartition(*keys, *order, "__chunk")
+              .withColumn("__copy", F.explode(F.sequence(
+                  F.lit(1), F.least(left, F.lit(COPIES_PER_TASK)))))
+              .withColumn("__before", values))
+    return (first.select(*df.columns, "__before")
+            .unionByName(copies.select(*df.columns, "__before")))

@@ -104,7 +104,7 @@ class Star:
 
     @cached_property
     def cohort_rows(self) -> DataFrame:
-        return C.cohort_rows(C.naive_rows(self.fine_valid), self.table("patients"))
+        return C.cohort_rows(self.fine_valid, self.people)
 
     @cached_property
     def ranked(self) -> DataFrame:

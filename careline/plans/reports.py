@@ -72,7 +72,7 @@ def adherence_tables(treatments: DataFrame) -> dict[str, Table]:
 def persistence_tables(valid: DataFrame, patients: DataFrame, excluded_drug: str | None = None,
                        sex_levels=("F", "M"), more_than: int = 100) -> dict[str, Table]:
     people = C.cohort_patients(valid, patients)
-    rows = C.cohort_rows(C.naive_rows(valid), patients)
+    rows = C.cohort_rows(valid, people)
     ranked = K.frequent_drugs(C.patients_by_drug(people), more_than)
     counts = K.persistence_counts(rows)
     compared = K.top_drugs(counts, ranked, (1, 2, 3, 4))
