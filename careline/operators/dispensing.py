@@ -11,7 +11,7 @@ from careline.functions.semantics import is_in, join_on, single_valued
 from careline.functions.text import strip_zeros
 from careline.functions.timeparts import elapsed_days
 from careline.operators.intervals import SLICE_DAYS, earliest_interval, interval_join
-from careline.operators.ordered import HOT_ROWS, with_previous
+from careline.operators.ordered import with_previous
 
 MATCH = ["nhc", "med_code"]
 DISPENSED = ["nhc", "cip", "episode", "med_code", "med_group", "med_name", "national_code",
@@ -32,7 +32,7 @@ def dispensing_order(dispensings: DataFrame) -> list[str]:
     return ["dispensed_at", *sorted(c for c in dispensings.columns if c.startswith("tie"))]
 
 
-def dispensing_gaps(dispensings: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def dispensing_gaps(dispensings: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Non-empty dispensings with the days since the previous one of the same drug.
 
     Empty dispensings take part in the gaps and are dropped afterwards; the gaps

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from careline.functions.semantics import join_on, order_key, sort_columns
 from careline.functions.timeparts import day_number
 
-# A group of this many rows still sorts comfortably within one task.
+# A group of this many rows still sorts comfortably within one task. The session
+# setting overrides the number, for executors of another size.
 HOT_ROWS = 2_000_000
+HOT_ROWS_SETTING = "spark.careline.hotRows"
 # Bound of the broadcast list of hot keys (8 bytes each). Keys past it are not
 # lost: they take the ordinary window like any other key.
 HOT_LIMIT = 10_000
@@ -47,12 +49,14 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str],
-                  previous: dict[str, str], hot_rows: int = HOT_ROWS) -> DataFrame:
+                  previous: dict[str, str], hot_rows: int | None = None) -> DataFrame:
     """Add, for each `new: column` pair, the column's value in the previous row.
 
     `order` starts with the timestamp of the row and has to make the order total
     inside a key, but for equal rows. The first row of a key gets NULL.
     """
+    if hot_rows is None:
+        hot_rows = int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
     hot = F.broadcast(hot_keys(df, keys, hot_rows))
     is_hot = _key_hash(keys) == F.col("__hot")
     values = F.struct(*[F.col(c).alias(new) for new, c in previous.items()])

@@ -15,7 +15,7 @@ from careline.functions import labels as L
 from careline.functions.bands import activity_band
 from careline.functions.semantics import join_on, order_key, strict
 from careline.functions.timeparts import elapsed_days, elapsed_weeks, whole_months
-from careline.operators.ordered import HOT_ROWS, with_previous
+from careline.operators.ordered import with_previous
 
 PROCESS = ["nhc", "process_id"]
 # Attributes that describe a process and are kept in its outcome rows.
@@ -208,7 +208,7 @@ def _started_between(steps: DataFrame, first_year: int, last_year: int) -> DataF
     return steps.filter(F.year("process_start").between(first_year, last_year))
 
 
-def followup_gaps(steps: DataFrame, as_of_year: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def followup_gaps(steps: DataFrame, as_of_year: int, hot_rows: int | None = None) -> DataFrame:
     """Days since the previous step, for processes of this and the last three years."""
     recent = _started_between(steps, as_of_year - 3, as_of_year)
     rows = with_previous(recent, PROCESS, step_order(steps), {"previous_ts": "step_ts"},
@@ -255,7 +255,7 @@ def process_timeline(spans: DataFrame, year: int, drug: str | None = None) -> Da
                 .select("*", "__p.*").drop("__p").withColumn("label", label))
 
 
-def step_changes(steps: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def step_changes(steps: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Change from step to step and over the whole process.
 
     `span_result` keeps the superseded rule: it tests first minus lowest score

@@ -19,7 +19,7 @@ from careline.functions.rounding import round_to
 from careline.functions.semantics import join_on, order_key
 from careline.functions.tails import chisq_p_value
 from careline.functions.timeparts import months_between
-from careline.operators.ordered import HOT_ROWS, with_previous
+from careline.operators.ordered import with_previous
 
 SUBJECT = ["nhc", "med_group"]
 # A survival of one half is recognised within this distance.
@@ -37,7 +37,7 @@ def _check(end: str, unit: str) -> None:
         raise ValueError(f"unknown end {end!r} or unit {unit!r}")
 
 
-def persistence_times(rows: DataFrame, end: str = "previous", hot_rows: int = HOT_ROWS) -> DataFrame:
+def persistence_times(rows: DataFrame, end: str = "previous", hot_rows: int | None = None) -> DataFrame:
     """Months since the first dispensing per row, and whether the row is the last one.
 
     By default the time runs to the previous dispensing, so the last row's time
