@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from careline.functions import labels as L
 from careline.functions.bands import activity_band
-from careline.functions.semantics import join_on, order_key, strict
+from careline.functions.semantics import join_on, order_key, single_valued, strict
 from careline.functions.timeparts import elapsed_days, elapsed_weeks, whole_months
 from careline.operators.ordered import with_previous
 
@@ -105,15 +105,10 @@ def _start_error() -> Column:
     return F.when(flag, L.YES).when(~flag, L.NO)
 
 
-def pure_patients(processes: DataFrame) -> DataFrame:
-    """Flag per patient: a single drug code, a missing code counting as one.
-
-    Every process contributes its lowest and highest code; a missing code sorts first.
-    """
-    codes = F.transform("variants", lambda v: F.struct(v["drug_code"].alias("code")))
-    one = F.min(F.array_min(codes)).eqNullSafe(F.max(F.array_max(codes)))
-    return processes.groupBy("nhc").agg(
-        F.when(one, L.YES).otherwise(L.NO).alias("pure_treatment"))
+def pure_patients(steps: DataFrame) -> DataFrame:
+    """Flag per patient: a single drug code, a missing code counting as one."""
+    return steps.groupBy("nhc").agg(
+        F.when(single_valued("drug_code"), L.YES).otherwise(L.NO).alias("pure_treatment"))
 
 
 def process_table(steps: DataFrame, outlier_rule: str = "after") -> DataFrame:
@@ -131,7 +126,7 @@ def process_table(steps: DataFrame, outlier_rule: str = "after") -> DataFrame:
              .withColumn("start_error", _start_error())
              .withColumn("days_to_minimum",
                          elapsed_days(F.col("first_ts"), F.col("minimum_ts"))))
-    return join_on(table, pure_patients(table), ["nhc"])
+    return join_on(table, pure_patients(steps), ["nhc"])
 
 
 def with_best_change(processes: DataFrame, steps: DataFrame) -> DataFrame:

@@ -238,7 +238,7 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "months_since_first": lambda s: s.frame.select(*STEP_ROW, "months_since_first"),
     "days_to_minimum": lambda s: s.processes.select(*S.PROCESS, "n", "days_to_minimum"),
     "start_error": lambda s: s.processes.select(*S.PROCESS, "start_error"),
-    "pure_treatment": lambda s: S.pure_patients(s.processes),
+    "pure_treatment": lambda s: S.pure_patients(s.steps),
     "process_outcomes": _process_outcomes,
     "clean_cohort": lambda s: S.clean(s.frame).select(
         *STEP_ROW, "drug_name", "start_year", "score", "activity", "difference",

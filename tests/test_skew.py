@@ -5,7 +5,9 @@ import pytest
 from conftest import TESTDATA
 
 import __spark_entry__ as contract
+from careline.operators import steps as S
 from careline.operators.ordered import HOT_ROWS_SETTING
+from careline.sources.star import star_table
 from oracle.check import compare, connect
 
 QUERIES = ["outcome_summary", "process_outcomes", "clean_cohort", "followup_gaps", "step_changes",
@@ -36,3 +38,25 @@ def test_skewed(spark, skewed, name):
     finally:
         spark.conf.unset(HOT_ROWS_SETTING)
     assert problems == [] and rows > 0
+
+
+def test_engine_splits_the_hot_key_in_joins(spark, skewed):
+    """With thresholds fit for small data the join back to the steps is split."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8KB",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    steps = star_table(spark, skewed, "steps").repartition(16)
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        frame = S.step_frame(steps, S.process_table(steps))
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert "SortMergeJoin(skew=true)" in plan

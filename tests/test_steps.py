@@ -64,10 +64,11 @@ def test_start_error(spark):
 
 
 def test_pure_treatment_counts_missing_code(spark):
-    table = S.process_table(frame(spark, [
+    steps = frame(spark, [
         ("a", 1, "X", 0, 5.0), ("a", 2, None, 0, 5.0), ("b", 3, "X", 0, 5.0), ("b", 4, "X", 9, 5.0),
-        ("c", 5, None, 0, 5.0), ("d", 6, "X", 0, 5.0), ("d", 6, "Y", 9, 5.0)]))
-    got = {r.nhc: r.pure_treatment for r in S.pure_patients(table).collect()}
+        ("c", 5, None, 0, 5.0), ("d", 6, "X", 0, 5.0), ("d", 6, "Y", 9, 5.0)])
+    got = {r.nhc: r.pure_treatment for r in S.pure_patients(steps).collect()}
+    assert got == {r.nhc: r.pure_treatment for r in S.process_table(steps).collect()}
     assert got == {"a": L.NO, "b": L.YES, "c": L.YES, "d": L.NO}
 
 
