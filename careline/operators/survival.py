@@ -9,15 +9,12 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from careline.functions.rounding import round_to
 from careline.functions.semantics import join_on, order_key
-from careline.functions.tails import chisq_p_value
+from careline.functions.tails import chisq_p_value, quadratic_form
 from careline.functions.timeparts import months_between
 from careline.operators.ordered import with_previous
 
@@ -202,30 +199,21 @@ def logrank_observed_expected(counts: DataFrame, comparisons=COMPARISONS) -> Dat
     return join_on(rows, names, ["position"])
 
 
-@F.pandas_udf(DoubleType())
-def _quadratic_form(distance: pd.Series, covariance: pd.Series) -> pd.Series:
-    """d' V^-1 d of one comparison per row, the last drug left out as redundant."""
-    results = []
-    for d, v in zip(distance, covariance):
-        d = np.asarray(d, dtype=float)
-        k = len(d)
-        v = np.asarray(v, dtype=float).reshape(k, k)
-        keep = slice(0, k - 1)
-        try:
-            results.append(float(d[keep] @ np.linalg.solve(v[keep, keep], d[keep])))
-        except np.linalg.LinAlgError:
-            results.append(None)
-    return pd.Series(results, dtype="float64")
-
-
 def logrank_test(counts: DataFrame, comparisons=COMPARISONS) -> DataFrame:
-    """Statistic and p-value of every comparison, each from its own statistic."""
+    """Statistic and p-value of every comparison, each from its own statistic.
+
+    A position of the ranking that no drug holds does not take part; with a single
+    drug left there is no statistic.
+    """
     def distances(c) -> Column:
         return F.array(*[F.col(f"o{p}") - F.col(f"e{p}") for p in c])
 
     def covariances(c) -> Column:
         return F.array(*[F.col(f"v{min(p, q)}_{max(p, q)}") for p in c for q in c])
 
+    def rows(c) -> Column:
+        return F.array(*[F.col(f"n{p}") for p in c])
+
     def chosen(build) -> Column:
         expression = None
         for c in comparisons:
@@ -235,7 +223,10 @@ def logrank_test(counts: DataFrame, comparisons=COMPARISONS) -> DataFrame:
         return expression
 
     return (_logrank_sums(counts, comparisons)
+            .select("comparison", chosen(distances).alias("distance"),
+                    chosen(covariances).alias("covariance"), chosen(rows).alias("rows"))
             .select("comparison",
-                    _quadratic_form(chosen(distances), chosen(covariances)).alias("chisq"),
-                    (F.size(F.split("comparison", "_")) - 1).alias("df"))
+                    quadratic_form(F.col("distance"), F.col("covariance"), F.col("rows"))
+                    .alias("chisq"),
+                    (F.size(F.filter("rows", lambda n: n > 0)) - 1).alias("df"))
             .withColumn("p_value", chisq_p_value(F.col("chisq"), F.col("df").cast("double"))))

@@ -310,11 +310,13 @@ _LOGRANK = f"""SELECT * FROM (WITH d AS (SELECT comparison, position AS p, obser
   FROM d JOIN (VALUES ('1_2_3_4', 1, 2, 3), ('1_2', 1, 0, 0), ('1_3', 1, 0, 0), ('1_4', 1, 0, 0)) s(comparison, a, b, c) USING (comparison) GROUP BY comparison),
  m AS (SELECT comparison, max(v) FILTER (WHERE p = 1 AND q = 1) AS a, max(v) FILTER (WHERE p = 1 AND q = 2) AS b, max(v) FILTER (WHERE p = 1 AND q = 3) AS c,
   max(v) FILTER (WHERE p = 2 AND q = 2) AS d, max(v) FILTER (WHERE p = 2 AND q = 3) AS e, max(v) FILTER (WHERE p = 3 AND q = 3) AS f FROM cov GROUP BY comparison),
- x AS (SELECT comparison, CASE WHEN comparison <> '1_2_3_4' THEN z1 * z1 / a ELSE
-   (z1 * z1 * (d * f - e * e) + z2 * z2 * (a * f - c * c) + z3 * z3 * (a * d - b * b)
+ k AS (SELECT comparison, CAST(count(*) AS INT) AS k FROM oe WHERE n > 0 GROUP BY comparison),
+ x AS (SELECT comparison, CASE WHEN k = 2 THEN z1 * z1 / a
+   WHEN k = 3 THEN (z1 * z1 * d - 2 * z1 * z2 * b + z2 * z2 * a) / (a * d - b * b)
+   WHEN k = 4 THEN (z1 * z1 * (d * f - e * e) + z2 * z2 * (a * f - c * c) + z3 * z3 * (a * d - b * b)
     + 2 * z1 * z2 * (c * e - b * f) + 2 * z1 * z3 * (b * e - c * d) + 2 * z2 * z3 * (b * c - a * e))
    / (a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)) END AS chisq,
-  CASE WHEN comparison = '1_2_3_4' THEN 3 ELSE 1 END AS df FROM z JOIN m USING (comparison))
+  k - 1 AS df FROM z JOIN m USING (comparison) JOIN k USING (comparison))
  SELECT comparison, {rnd('chisq', 6)} AS chisq, df, {rnd(chisq_tail('chisq', 'df'), 6)} AS p_value FROM x)"""
 
 

@@ -58,6 +58,15 @@ def test_logrank(spark):
     assert sum(r.observed - r.expected for r in parts) == pytest.approx(0.0)
 
 
+def test_logrank_leaves_absent_drugs_out(spark):
+    table = counts(spark, [("A", 1.0, 2, 1), ("A", 3.0, 2, 2), ("B", 2.0, 2, 1), ("B", 4.0, 3, 1)])
+    table = table.withColumn("position", F.when(F.col("med_group") == "A", 1).otherwise(2))
+    got = {r.comparison: r for r in K.logrank_test(table).collect()}
+    assert got["1_2_3_4"].chisq == pytest.approx(got["1_2"].chisq)
+    assert (got["1_2_3_4"].df, got["1_2"].df, got["1_3"].df) == (1, 1, 0)
+    assert got["1_3"].chisq is None and got["1_3"].p_value is None
+
+
 def cohort(spark):
     days = {"p": [0, 0, 31, 60], "q": [5], "r": [1, 1, 1], "s": [0, 45]}
     rows = [(p, "A" if p in "pq" else "B", DAY0 + dt.timedelta(days=d), i)
