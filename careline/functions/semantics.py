@@ -30,11 +30,6 @@ def any_true(condition: Column) -> Column:
              .when(F.count(condition) == F.count(F.lit(1)), F.lit(False)))
 
 
-def either(a: Column, b: Column) -> Column:
-    """Three-valued OR as an explicit expression (same truth table as `|`)."""
-    return a | b
-
-
 def single_valued(*columns: Column | str) -> Column:
     """Whether a group holds one distinct value, NULL counting as a value.
 
