@@ -112,7 +112,7 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], size: int, epochs:
     return w[:size], float(w[size])
 
 
-def train(sample: DataFrame, bits: int = BITS, shards: int = 8, epochs: int = 5) -> Model:
+def train(sample: DataFrame, bits: int = BITS, shards: int = 4, epochs: int = 10) -> Model:
     """Shards learn apart, each from its part of the bounded sample; their weights are averaged.
 
     The driver gets at most 2 ** bits weights. Without examples every score is one half.
@@ -132,10 +132,10 @@ def train(sample: DataFrame, bits: int = BITS, shards: int = 8, epochs: int = 5)
         rows = rows.sort_values(["h", "doc_id"])
         examples = [(np.asarray(a, np.int64), np.asarray(v, np.float64), int(y))
                     for a, v, y in zip(rows["at"], rows["values"], rows["y"], strict=True)]
-        # The rarer label counts for up to three of the other.
+        # The rarer label counts for up to ten of the other.
         ones = max(1, int(rows["y"].sum()))
         zeros = max(1, len(rows) - ones)
-        weight = {0: min(3.0, max(1.0, ones / zeros)), 1: min(3.0, max(1.0, zeros / ones))}
+        weight = {0: min(10.0, max(1.0, ones / zeros)), 1: min(10.0, max(1.0, zeros / ones))}
         w, bias = ftrl(examples, 1 << bits, epochs, weight)
         at = np.nonzero(w)[0]
         return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], bias)})
