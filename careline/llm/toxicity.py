@@ -23,8 +23,9 @@ STEM = 5
 REMEMBERED = 200_000
 #: Strength of the Dirichlet priors: a stem is drawn to the corpus, a word to its stem.
 STEM_PRIOR, WORD_PRIOR = 4.0, 4.0
-#: Taken from each token's log-odds, so that neutral text scores below zero.
-DRIFT = 1.0
+#: Taken from each token's log-odds, so that neutral text scores below zero. A word that
+#: repeats the one before it is no new evidence and scores the loss alone.
+DRIFT = 2.0
 #: A passage is significant if fewer than this many as good are expected in a clean text.
 SIGNIFICANT = 0.01
 EULER = 0.5772156649015329
@@ -93,15 +94,17 @@ class Model:
         word, stem = codes >> BITS, codes & ((1 << BITS) - 1)
         share = ((self.toxic[word] + WORD_PRIOR * self.stem_share[stem])
                  / (self.toxic[word] + self.clean[word] + WORD_PRIOR))
-        return (np.log(share / (1 - share)) - np.log(self.base / (1 - self.base)) - DRIFT)
+        out = np.log(share / (1 - share)) - np.log(self.base / (1 - self.base)) - DRIFT
+        out[1:][codes[1:] == codes[:-1]] = -DRIFT
+        return out
 
     def passages(self, codes: np.ndarray) -> list[tuple[int, int, float, float]]:
-        """Significant ones: start, end, score, and how many as good a clean text would have."""
+        """Start, end, score, and how many as good a clean text would have: fewer than one."""
         out = []
         for start, end, s in segments(self.scores(codes)):
             expected = float(np.exp(min(50.0, self.log_size + np.log(len(codes))
                                         - self.decay * s)))
-            if expected <= SIGNIFICANT:
+            if expected < 1:
                 out.append((start, end, s, expected))
         return out
 
@@ -232,7 +235,8 @@ def find_passages(docs: DataFrame, model: Model) -> DataFrame:
                 [batch.column(0),
                  pa.array([own.probability(strength_of(f)) for f in found], pa.float64()),
                  pa.array([[dict(zip(("start", "end", "score", "expected"), p, strict=True))
-                            for p in f] for f in found], pa.list_(passage))],
+                            for p in f if p[3] <= SIGNIFICANT] for f in found],
+                          pa.list_(passage))],
                 ["doc_id", "score", "passages"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
