@@ -47,7 +47,7 @@ IDENTIFIERS = (
 SURROUNDING = 512
 #: Characters between a sensitive word and a candidate at most.
 REACH = 32
-NOVELTY = 0.55
+NOVELTY = 0.65
 
 Span = tuple[str, int, int, float]
 
