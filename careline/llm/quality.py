@@ -172,6 +172,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose whole text scores `least` or more."""
+    weights, bias, bits = model.weights, model.bias, model.bits
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, own = Features(bits), Model(weights, bias, bits)
+        for batch in batches:
+            stays = [own.score(*features((t.as_py() or "").encode())) >= least
+                     for t in batch.column(at)]
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = 40_000) -> DataFrame:
     """(doc_id, score): how likely each document has quality 1.
 

@@ -14,6 +14,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from careline.llm.common import folded_words, utf8, written
 from careline.llm.components import components
@@ -97,6 +98,14 @@ def linked(classes: DataFrame, max_bits: int = 2) -> DataFrame:
             .select("a", "b").distinct())
 
 
+def _named_classes(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, first_id, component) of each distinct fingerprint of `rows`."""
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    groups = components(linked(classes.select("fp"), max_bits), "a", "b")
+    return classes.join(groups, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first_id", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of `docs`.
 
@@ -107,11 +116,38 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Data
     Equal fingerprints are one class from the start, so copies are never paired.
     """
     rows = written(fingerprints(docs, shingle), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    groups = components(linked(classes.select("fp"), max_bits), "a", "b")
-    labelled = classes.join(groups, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    labelled = _named_classes(rows, max_bits)
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = labelled.join(least, "component").select("fp", "component_id")
     return rows.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def distinct_documents(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """One row of each group of `simhash_groups`, with all columns of `docs`.
+
+    It is the row with the smallest doc_id, those without id last; of several with that id the one with
+    the smallest fingerprint, then text, then other columns. NULL and empty texts are one group.
+    """
+    columns, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint((t.as_py() or "").encode(), shingle)
+                            for t in batch.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())],
+                                             [*columns, "__fp"])
+
+    rows = written(fingerprints(docs, shingle), "fingerprints")
+    labelled = _named_classes(rows, max_bits)
+    first = (labelled.groupBy("component").agg(F.min(F.struct(
+        F.col("first_id").isNull().alias("unnamed"), "first_id", "fp")).alias("first"))
+        .select(F.coalesce(F.col("first.first_id").cast("string"), F.lit("")).alias("__id"),
+                F.col("first.fp").alias("__fp")))
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+    named = docs.mapInArrow(run, schema).withColumn(
+        "__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    order = ["text", *[c for c in columns if c != "text"]]
+    return (named.join(first, ["__id", "__fp"])
+            .groupBy("__id", "__fp").agg(F.min(F.struct(*order)).alias("row"))
+            .select(*[F.col(f"row.{c}").alias(c) for c in columns]))
