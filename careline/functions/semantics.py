@@ -24,12 +24,6 @@ def strict(aggregate: Column, *inputs: Column | str) -> Column:
     return F.when(complete, aggregate)
 
 
-def any_true(condition: Column) -> Column:
-    """Three-valued `any`: TRUE if one is TRUE, else NULL if one is NULL, else FALSE."""
-    return (F.when(F.coalesce(F.bool_or(condition), F.lit(False)), F.lit(True))
-             .when(F.count(condition) == F.count(F.lit(1)), F.lit(False)))
-
-
 def single_valued(*columns: Column | str) -> Column:
     """Whether a group holds one distinct value, NULL counting as a value.
 

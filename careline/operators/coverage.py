@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from careline.functions import labels as L
 from careline.functions.bands import coverage_class, level_order
-from careline.functions.rounding import mean_of_tenths, round_to, tenths
+from careline.functions.rounding import mean_of_tenths, round_to, round_up_to, tenths
 from careline.functions.semantics import join_on, strict
 from careline.functions.text import count_label, percent_text
 from careline.functions.timeparts import elapsed_days
@@ -79,6 +79,22 @@ def coverage_by_drug(treatments: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def totals_by_drug(treatments: DataFrame) -> DataFrame:
+    """Treatments per drug and class with the drug's total, and the axis of the group's chart.
+
+    The axis ends at the next tick above the group's largest total; ticks stand a
+    tenth of that total apart, rounded up to tens.
+    """
+    counts = coverage_by_drug(treatments)
+    totals = counts.groupBy("med_group", "med_name").agg(F.sum("n").alias("total"))
+    top = totals.groupBy("med_group").agg(F.max("total").alias("top"))
+    breaks = round_up_to(F.col("top") / 100 * 10, 10)
+    axis = (top.withColumn("breaks", breaks.cast("bigint"))
+            .withColumn("axis_limit", round_up_to(F.col("top"), F.col("breaks")).cast("bigint"))
+            .drop("top"))
+    return join_on(join_on(counts, totals, ["med_group", "med_name"]), axis, ["med_group"])
+
+
 def coverage_by_group(treatments: DataFrame) -> DataFrame:
     """Treatments per drug group and class, with the group's total and a chart label."""
     counts = (treatments.groupBy("med_group", "coverage_class", "class_order")

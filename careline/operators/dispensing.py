@@ -32,14 +32,14 @@ def dispensing_order(dispensings: DataFrame) -> list[str]:
     return ["dispensed_at", *sorted(c for c in dispensings.columns if c.startswith("tie"))]
 
 
-def dispensing_gaps(dispensings: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def dispensing_gaps(dispensings: DataFrame) -> DataFrame:
     """Non-empty dispensings with the days since the previous one of the same drug.
 
     Empty dispensings take part in the gaps and are dropped afterwards; the gaps
     use the patient id as delivered, the result the id without leading zeros.
     """
     rows = with_previous(dispensings, ["nhc_raw", "med_name"], dispensing_order(dispensings),
-                         {"previous_at": "dispensed_at"}, hot_rows)
+                         {"previous_at": "dispensed_at"})
     return _without_empty(
         rows.withColumn("gap_days", elapsed_days(F.col("previous_at"), F.col("dispensed_at")))
             .drop("previous_at"))
@@ -109,6 +109,15 @@ def valid_dispensings(rows: DataFrame, prescriptions: DataFrame, as_of: str,
     return joined.select(*left.columns, *PRESCRIBED)
 
 
+def overlap_counts(valid: DataFrame) -> DataFrame:
+    """Quality control: dispensings that overlapping prescriptions multiply, and the rows added."""
+    per_dispensing = valid.groupBy(*present(valid, DISPENSED)).agg(F.count(F.lit(1)).alias("k"))
+    several = F.when(F.col("k") > 1, F.lit(1)).otherwise(0)
+    return per_dispensing.agg(F.count(F.lit(1)).alias("dispensings"),
+                              F.coalesce(F.sum(several), F.lit(0)).alias("multiplied"),
+                              F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("added_rows"))
+
+
 def _numbered(frame: DataFrame, code: str) -> DataFrame:
     return frame.withColumns({"__nhc": F.col("nhc").try_cast("double"),
                               "__code": F.col(code).cast("string").try_cast("double")})

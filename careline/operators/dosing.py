@@ -34,15 +34,19 @@ def _key_pairs(rows: DataFrame, prescriptions: DataFrame) -> DataFrame:
 
 
 def dose_optimised(rows: DataFrame, prescriptions: DataFrame, drug: str) -> DataFrame:
-    """Dispensings of `drug` with every prescription, flagged naive and dose-optimised.
+    """Dispensings of `drug` with every dose and frequency, flagged naive and dose-optimised.
 
-    The flags go by the prescription-side patient id, so dispensings without
-    prescription form one group.
+    `prescriptions` counts those of the same patient, drug, dose and frequency, 0 without any:
+    a dispensing has a row for each regimen, not for each prescription. The flags go by the
+    prescription-side patient id, so dispensings without prescription form one group.
     """
     naive, doses = _flags(_key_pairs(rows, prescriptions), drug)
     mine = rows.filter(F.col("med_group") == drug).select(*present(rows, [
         "nhc", "cip", "med_code", "med_name", "dispensed_at", "qty"]))
-    pairs = join_on(mine, prescriptions.select(*MATCH, "presc_nhc_raw", *_FREQUENCY), MATCH, "left")
+    regimens = (prescriptions.groupBy(*MATCH, "presc_nhc_raw", *_FREQUENCY)
+                .agg(F.count(F.lit(1)).alias("prescriptions")))
+    pairs = (join_on(mine, regimens, MATCH, "left")
+             .withColumn("prescriptions", F.coalesce("prescriptions", F.lit(0))))
     flagged = join_on(join_on(pairs, naive, ["presc_nhc_raw"], "left"),
                       doses, ["presc_nhc_raw", "med_code"], "left")
     return flagged.drop("presc_nhc_raw")
@@ -82,10 +86,10 @@ def patient_variants(numbered: DataFrame) -> DataFrame:
             .withColumn("combination", F.array_join("variants", " + ")))
 
 
-def dose_variants_wide(per_patient: DataFrame, positions: int = 14) -> DataFrame:
-    """Variants side by side; `combination` names all of them."""
-    return per_patient.select("nhc", "combination", *[
-        F.get("variants", F.lit(i - 1)).alias(f"variant_{i}") for i in range(1, positions + 1)])
+def dose_variants_by_position(per_patient: DataFrame) -> DataFrame:
+    """Every variant of every patient with its position and the patient's combination."""
+    return (per_patient.select("nhc", "combination", F.posexplode("variants").alias("i", "variant"))
+            .select("nhc", "combination", (F.col("i") + 1).alias("position"), "variant"))
 
 
 def dose_combinations(per_patient: DataFrame) -> DataFrame:

@@ -21,14 +21,21 @@ def _slice_of(ts: Column, slice_days: int) -> Column:
     return F.floor(day_number(ts) / F.lit(slice_days)).cast("int")
 
 
-def _sliced(intervals: DataFrame, start: str, end: str, as_of: str | None,
-            slice_days: int) -> DataFrame:
-    """A copy of every interval per time slice it touches, its end in `__stop`."""
-    slices = F.sequence(_slice_of(F.col(start), slice_days),
-                        _slice_of(F.col("__stop"), slice_days))
+def _sliced(events: DataFrame, at: str, intervals: DataFrame, start: str, end: str,
+            as_of: str | None, slice_days: int) -> DataFrame:
+    """A copy of every interval per time slice it touches, its end in `__stop`.
+
+    Only slices between the first and the last event count, so an end in the year
+    9999 costs no more than one at the last event.
+    """
+    place = _slice_of(F.col(at), slice_days)
+    low, high = events.agg(F.min(place), F.max(place)).first()
+    low, high = (0, -1) if low is None else (low, high)
+    first = F.greatest(_slice_of(F.col(start), slice_days), F.lit(low))
+    last = F.least(_slice_of(F.col("__stop"), slice_days), F.lit(high))
     return (intervals.withColumn("__stop", closed_end(F.col(end), as_of))
-            .filter(F.col(start) <= F.col("__stop"))
-            .withColumn("__slice", F.explode(slices)))
+            .filter((F.col(start) <= F.col("__stop")) & (first <= last))
+            .withColumn("__slice", F.explode(F.sequence(first, last))))
 
 
 def interval_join(events: DataFrame, intervals: DataFrame, keys, at: str, start: str, end: str,
@@ -42,7 +49,7 @@ def interval_join(events: DataFrame, intervals: DataFrame, keys, at: str, start:
     """
     at_slice = events.withColumn("__at_slice", _slice_of(F.col(at), slice_days))
     inside = (F.col(at) >= F.col(start)) & (F.col(at) <= F.col("__stop"))
-    return (join_on(at_slice, _sliced(intervals, start, end, as_of, slice_days),
+    return (join_on(at_slice, _sliced(events, at, intervals, start, end, as_of, slice_days),
                     [*keys, ("__at_slice", "__slice")], "inner", inside)
             .drop("__stop", "__at_slice"))
 
@@ -55,13 +62,17 @@ def earliest_interval(events: DataFrame, intervals: DataFrame, keys, at: str, st
     Of intervals that began together the lowest value counts, a missing one last.
     In this order an interval decides only after the end of all before it, so the
     intervals of a slice become disjoint stretches and an event meets at most one:
-    no pairs are built and reduced again. An event without interval gets NULL.
+    no pairs are built and reduced again. Intervals that begin together with one
+    value are one before that, so the window over a key and slice sees a row for
+    each beginning and value, not for each interval. An event without interval gets NULL.
     """
     right_keys = [k if isinstance(k, str) else k[1] for k in keys]
     before = (Window.partitionBy(*right_keys, "__slice")
               .orderBy(start, F.col(value).asc_nulls_last(), F.desc("__stop"))
               .rowsBetween(Window.unboundedPreceding, -1))
-    stretches = (_sliced(intervals, start, end, as_of, slice_days)
+    once = (_sliced(events, at, intervals, start, end, as_of, slice_days)
+            .groupBy(*right_keys, "__slice", start, value).agg(F.max("__stop").alias("__stop")))
+    stretches = (once
                  .withColumn("__after", F.max("__stop").over(before))
                  .filter(F.col("__after").isNull() | (F.col("__stop") > F.col("__after")))
                  .select(*right_keys, "__slice", start, "__after", "__stop", value))

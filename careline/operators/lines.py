@@ -48,13 +48,12 @@ def treatment_paths(lines: DataFrame) -> DataFrame:
                     F.transform("lines", lambda x: x["months"]).alias("durations")))
 
 
-def paths_wide(paths: DataFrame, positions: int = 9) -> DataFrame:
-    """Drug group and months of each line side by side; `path` names all lines."""
-    columns = []
-    for i in range(1, positions + 1):
-        columns += [F.get("drugs", F.lit(i - 1)).alias(f"drug_{i}"),
-                    F.get("durations", F.lit(i - 1)).alias(f"months_{i}")]
-    return paths.select("nhc", "path", *columns)
+def paths_by_position(paths: DataFrame) -> DataFrame:
+    """Drug group and months of every line of every patient, with the patient's path."""
+    entry = F.arrays_zip("drugs", "durations")
+    return (paths.select("nhc", "path", F.posexplode(entry).alias("i", "x"))
+            .select("nhc", "path", (F.col("i") + 1).alias("position"),
+                    F.col("x.drugs").alias("med_group"), F.col("x.durations").alias("months")))
 
 
 def path_frequency(paths: DataFrame) -> DataFrame:

@@ -1,94 +1,52 @@
 """Looking at the previous row of an ordered group, without one task per group.
 
-A window puts a whole group into one task. That is fine for the usual patient
-with some hundred rows, not for a key that holds a large part of the table. Keys
-with at least `hot_rows` rows therefore take another way to the same result: equal
-rows are collapsed first, the window runs per (key, day), and the first row of a
-day takes its predecessor from a second window over one row per day. All other
-keys take the ordinary single window. Without hot keys the second branch is empty
-and is dropped at run time.
+A window puts a whole group into one task. Here the whole table is cut into slices
+of the order (keys, order) instead, wherever the sizes ask for it: inside a key, inside a
+day, inside rows without a date. Rows look back inside their slice, and the last row of each
+slice, one small row, is handed to the next one. All keys take this one way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from careline.functions.semantics import join_on, order_key, sort_columns
-from careline.functions.timeparts import day_number
+from careline.functions.semantics import order_key, sort_columns
+from careline.session import written
 
-# A group of this many rows still sorts comfortably within one task. The session
-# setting overrides the number, for executors of another size.
-HOT_ROWS = 2_000_000
-HOT_ROWS_SETTING = "spark.careline.hotRows"
-# Bound of the broadcast list of hot keys (8 bytes each). Keys past it are not
-# lost: they take the ordinary window like any other key.
-HOT_LIMIT = 10_000
 
-# Copies of one row written by one task.
-COPIES_PER_TASK = 1_000_000
+def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows with `__slice`, ascending along (keys, order), and `__tie`, which makes the order total.
 
-_UNDATED = 2_147_483_647
-
-
-def _key_hash(keys: list[str]) -> Column:
-    return F.xxhash64(*keys)
-
-
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the keys with at least `hot_rows` rows, at most HOT_LIMIT of them.
-
-    A hash collision only sends a small key down the hot path, which gives the
-    same rows.
+    Slices are the range partitions of one pass, `spark.sql.shuffle.partitions` of
+    them or fewer, and are written so that every later use sees the same cuts.
     """
-    return (df.select(_key_hash(keys).alias("__hot"))
-              .groupBy("__hot").agg(F.count(F.lit(1)).alias("__rows"))
-              .filter(F.col("__rows") >= hot_rows)
-              .orderBy(F.desc("__rows"), "__hot").limit(HOT_LIMIT)
-              .select("__hot"))
+    rows = df.withColumn("__tie", F.monotonically_increasing_id())
+    return written(rows.repartitionByRange(*sort_columns(*keys, *order, "__tie"))
+                   .withColumn("__slice", F.spark_partition_id()), "slices")
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str],
-                  previous: dict[str, str], hot_rows: int | None = None) -> DataFrame:
+                  previous: dict[str, str]) -> DataFrame:
     """Add, for each `new: column` pair, the column's value in the previous row.
 
-    `order` starts with the timestamp of the row and has to make the order total
-    inside a key, but for equal rows. The first row of a key gets NULL.
+    `order` has to make the order total inside a key, but for equal rows. The
+    first row of a key gets NULL.
     """
-    if hot_rows is None:
-        hot_rows = int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
-    hot = F.broadcast(hot_keys(df, keys, hot_rows))
-    is_hot = _key_hash(keys) == F.col("__hot")
-    values = F.struct(*[F.col(c).alias(new) for new, c in previous.items()])
-    ordinary = (df.join(hot, is_hot, "left_anti")
-                .withColumn("__before", F.lag(values).over(
-                    Window.partitionBy(*keys).orderBy(*sort_columns(*order)))))
-    split = _hot_previous(df.join(hot, is_hot, "left_semi"), keys, order, values)
-    return (ordinary.unionByName(split)
-            .select(*df.columns, *[F.col(f"__before.{new}").alias(new) for new in previous]))
-
-
-def _hot_previous(df: DataFrame, keys: list[str], order: list[str], values: Column) -> DataFrame:
-    day = F.coalesce(day_number(F.col(order[0])), F.lit(_UNDATED))
-    distinct = (df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
-                .withColumn("__day", day))
-    by_day = Window.partitionBy(*keys, "__day").orderBy(*sort_columns(*order))
-    rows = distinct.withColumn("__within", F.lag(values).over(by_day))
-    # Last row of every day, handed to the key's next day.
-    across_days = Window.partitionBy(*keys).orderBy("__day")
-    carried = (distinct.groupBy(*keys, "__day")
-               .agg(F.max_by(values, order_key(*order)).alias("__last"))
-               .select(*keys, "__day", F.lag("__last").over(across_days).alias("__carried")))
-    first = (join_on(rows, carried, [*keys, "__day"])
-             .withColumn("__before", F.coalesce("__within", "__carried")))
-    # Every further copy follows an equal row.
-    chunks = F.ceil((F.col("__copies") - 1) / COPIES_PER_TASK)
-    left = F.col("__copies") - 1 - (F.col("__chunk") - 1) * COPIES_PER_TASK
-    copies = (first.filter(F.col("__copies") > 1)
-              .withColumn("__chunk", F.explode(F.sequence(F.lit(1), chunks)))
-              .repartition(*keys, *order, "__chunk")
-              .withColumn("__copy", F.explode(F.sequence(
-                  F.lit(1), F.least(left, F.lit(COPIES_PER_TASK)))))
-              .withColumn("__before", values))
-    return (first.select(*df.columns, "__before")
-            .unionByName(copies.select(*df.columns, "__before")))
+    rows = sliced(df, keys, order)
+    seen = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)],
+                    *[F.col(c).alias(new) for new, c in previous.items()])
+    within = Window.partitionBy("__slice").orderBy(*sort_columns(*keys, *order, "__tie"))
+    # One row a slice; a slice without rows isn't there and is stepped over.
+    between = Window.partitionBy(F.lit(1)).orderBy("__slice")
+    handed = (rows.groupBy("__slice")
+              .agg(F.max_by(seen, order_key(*keys, *order, "__tie")).alias("__last"))
+              .select("__slice", F.lag("__last").over(between).alias("__handed")))
+    before = F.coalesce(F.lag(seen).over(within), F.col("__handed"))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__before.k{i}"))
+    return (rows.join(F.broadcast(handed), "__slice")
+            .withColumn("__before", before)
+            .select(*df.columns, *[F.when(same, F.col(f"__before.{new}")).alias(new)
+                                   for new in previous]))

@@ -52,10 +52,6 @@ def _attributes(steps: DataFrame, names: list[str]) -> list[Column]:
 
 def _process_aggregates(steps: DataFrame) -> DataFrame:
     score, ts = F.col("score"), F.col("step_ts")
-    usable = F.coalesce(score <= L.SCORE_LIMIT, F.lit(False))
-    variant = F.struct(usable.alias("usable"),
-                       F.year("process_start").cast("int").alias("start_year"),
-                       *_attributes(steps, ATTRIBUTES))
     # the first minimum is the earliest row among those with the lowest score
     lowest = F.when(score.isNotNull(), F.struct(score, *_nulls_last(ts)))
     return steps.groupBy(*PROCESS).agg(
@@ -71,8 +67,6 @@ def _process_aggregates(steps: DataFrame) -> DataFrame:
         F.min(F.when(score.isNull(), ts)).alias("unscored_ts"),
         F.count(F.when(ts.isNull() & F.coalesce(score < L.SCORE_LOW, F.lit(True)), 1))
          .alias("n_undated"),
-        # few per process: a process has one regimen, at most some revisions of it
-        F.collect_set(variant).alias("variants"),
     )
 
 
@@ -112,7 +106,7 @@ def pure_patients(steps: DataFrame) -> DataFrame:
 
 
 def process_table(steps: DataFrame, outlier_rule: str = "after") -> DataFrame:
-    """One row per process with its outcome, flags and attribute variants.
+    """One row per process with its outcome and flags.
 
     `outlier_rule='after'` lets an outlier act as first score and count in `n`;
     `'before'` removes outliers first.
@@ -152,14 +146,17 @@ def with_best_change(processes: DataFrame, steps: DataFrame) -> DataFrame:
             .withColumn("best_change", best).drop("__above"))
 
 
-def process_outcomes(processes: DataFrame) -> DataFrame:
-    """Distinct outcome rows: a process per attribute variant among usable steps."""
+def process_outcomes(processes: DataFrame, steps: DataFrame) -> DataFrame:
+    """Distinct outcome rows: a process per attribute variant among usable steps.
+
+    Variants are distinct rows joined to the process, however many it has.
+    """
     extra = ["best_change"] if "best_change" in processes.columns else []
-    return (processes
-            .select(*PROCESS, "n", "result", "days_to_minimum", "start_error",
-                    "pure_treatment", *extra,
-                    F.explode(F.filter("variants", lambda v: v["usable"])).alias("__v"))
-            .select("*", "__v.*").drop("__v", "usable"))
+    variants = plausible(steps).select(
+        *PROCESS, F.year("process_start").cast("int").alias("start_year"),
+        *_attributes(steps, ATTRIBUTES)).distinct()
+    return join_on(processes.select(*PROCESS, "n", "result", "days_to_minimum", "start_error",
+                                    "pure_treatment", *extra), variants, PROCESS)
 
 
 def clean(frame: DataFrame) -> DataFrame:
@@ -203,11 +200,10 @@ def _started_between(steps: DataFrame, first_year: int, last_year: int) -> DataF
     return steps.filter(F.year("process_start").between(first_year, last_year))
 
 
-def followup_gaps(steps: DataFrame, as_of_year: int, hot_rows: int | None = None) -> DataFrame:
+def followup_gaps(steps: DataFrame, as_of_year: int) -> DataFrame:
     """Days since the previous step, for processes of this and the last three years."""
     recent = _started_between(steps, as_of_year - 3, as_of_year)
-    rows = with_previous(recent, PROCESS, step_order(steps), {"previous_ts": "step_ts"},
-                         hot_rows)
+    rows = with_previous(recent, PROCESS, step_order(steps), {"previous_ts": "step_ts"})
     return (rows.withColumn("start_year", F.year("process_start").cast("int"))
                 .withColumn("gap_days", elapsed_days(F.col("previous_ts"), F.col("step_ts")))
                 .drop("previous_ts"))
@@ -219,18 +215,14 @@ def followup_span(steps: DataFrame, as_of_year: int) -> DataFrame:
     An undated step sorts last, so it leaves the last follow-up unknown.
     """
     names = ["cip", "drug_code", "drug_name"]
-    variant = F.struct(F.year("process_start").cast("int").alias("start_year"),
-                       *_attributes(steps, ["process_start", "process_end", *names]))
+    variants = _started_between(steps, as_of_year - 3, as_of_year).select(
+        *PROCESS, F.year("process_start").cast("int").alias("start_year"),
+        *_attributes(steps, ["process_start", "process_end", *names])).distinct()
     spans = steps.groupBy(*PROCESS).agg(
         F.min("step_ts").alias("first_followup"),
-        strict(F.max("step_ts"), "step_ts").alias("last_followup"),
-        F.collect_set(variant).alias("variants"))
-    return (spans
-            .withColumn("followup_days",
-                        elapsed_days(F.col("first_followup"), F.col("last_followup")))
-            .select("*", F.explode("variants").alias("__v")).select("*", "__v.*")
-            .drop("variants", "__v")
-            .filter(F.col("start_year").between(as_of_year - 3, as_of_year)))
+        strict(F.max("step_ts"), "step_ts").alias("last_followup"))
+    return join_on(spans.withColumn("followup_days", elapsed_days(
+        F.col("first_followup"), F.col("last_followup"))), variants, PROCESS)
 
 
 def process_timeline(spans: DataFrame, year: int, drug: str | None = None) -> DataFrame:
@@ -250,7 +242,7 @@ def process_timeline(spans: DataFrame, year: int, drug: str | None = None) -> Da
                 .select("*", "__p.*").drop("__p").withColumn("label", label))
 
 
-def step_changes(steps: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def step_changes(steps: DataFrame) -> DataFrame:
     """Change from step to step and over the whole process.
 
     `span_result` keeps the superseded rule: it tests first minus lowest score
@@ -262,7 +254,7 @@ def step_changes(steps: DataFrame, hot_rows: int | None = None) -> DataFrame:
         F.min("step_ts").alias("first_ts"),
         strict(F.max("step_ts"), "step_ts").alias("last_ts"))
     rows = with_previous(steps, PROCESS, step_order(steps),
-                         {"previous_ts": "step_ts", "previous_score": "score"}, hot_rows)
+                         {"previous_ts": "step_ts", "previous_score": "score"})
     first, last = F.col("first_ts"), F.col("last_ts")
     span_change = F.col("first_score") - F.col("min_score")
     return (join_on(rows, spans, PROCESS)

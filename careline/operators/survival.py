@@ -34,11 +34,12 @@ def _check(end: str, unit: str) -> None:
         raise ValueError(f"unknown end {end!r} or unit {unit!r}")
 
 
-def persistence_times(rows: DataFrame, end: str = "previous", hot_rows: int | None = None) -> DataFrame:
+def persistence_times(rows: DataFrame, end: str = "previous") -> DataFrame:
     """Months since the first dispensing per row, and whether the row is the last one.
 
     By default the time runs to the previous dispensing, so the last row's time
-    stops one dispensing early; `end='current'` runs to the row itself.
+    stops one dispensing early; `end='current'` runs to the row itself. Rows are
+    distinct: of equal last rows each would be the event, where `persistence_counts` has one.
     """
     _check(end, "row")
     order = ["dispensed_at", *[c for c in rows.columns if c not in (*SUBJECT, "dispensed_at")]]
@@ -46,7 +47,7 @@ def persistence_times(rows: DataFrame, end: str = "previous", hot_rows: int | No
                                        F.max(order_key(*order)).alias("__last"))
     upto = F.col("dispensed_at")
     if end == "previous":
-        rows = with_previous(rows, SUBJECT, order, {"__previous": "dispensed_at"}, hot_rows)
+        rows = with_previous(rows, SUBJECT, order, {"__previous": "dispensed_at"})
         upto = F.col("__previous")
     return (join_on(rows, spans, SUBJECT)
             .withColumn("months", _months(F.col("__first"), upto))
@@ -64,13 +65,12 @@ def persistence_counts(rows: DataFrame, end: str = "previous", unit: str = "row"
     _check(end, unit)
     instants = (rows.groupBy(*SUBJECT, "dispensed_at")
                 .agg(F.count(F.lit(1)).alias("k")))
-    by_time = Window.partitionBy(*SUBJECT).orderBy(F.col("dispensed_at").asc_nulls_last())
-    whole = by_time.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     now, k = F.col("dispensed_at"), F.col("k")
-    marked = instants.withColumns({
-        "first": F.min("dispensed_at").over(whole),
-        "before": F.lag("dispensed_at").over(by_time),
-        "final": F.lead(F.lit(1)).over(by_time).isNull()})
+    instants = with_previous(instants, SUBJECT, ["dispensed_at"], {"before": "dispensed_at"})
+    spans = instants.groupBy(*SUBJECT).agg(F.min("dispensed_at").alias("first"),
+                                           F.max(order_key("dispensed_at")).alias("__last"))
+    marked = join_on(instants, spans, SUBJECT).withColumn(
+        "final", order_key("dispensed_at").eqNullSafe(F.col("__last")))
     here = _months(F.col("first"), now)
     leading = _months(F.col("first"), F.col("before")) if end == "previous" else here
     marked = marked.select("med_group", "k", "final", here.alias("here"),

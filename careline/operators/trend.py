@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from careline.functions import labels as L
 from careline.functions.bands import activity_band
 from careline.functions.rounding import round_to
+from careline.functions.semantics import join_on
 from careline.functions.tails import student_p_value, student_quantile_975
 from careline.functions.text import or_na
 
@@ -69,21 +70,23 @@ def _trend_band(score: Column) -> Column:
              .when(score < L.SCORE_LOW, L.TREND_LOW))
 
 
-def threshold_crossing(prediction: DataFrame, thresholds=L.TREND_THRESHOLDS) -> DataFrame:
+def threshold_crossing(fit: DataFrame, thresholds=L.TREND_THRESHOLDS) -> DataFrame:
     """Last month before the fitted score first falls below each threshold.
 
-    No row if it never falls below or starts below.
+    No row if it never falls below or starts below. The score there follows from
+    the line, so no curve is kept.
     """
     month, predicted = F.col("month"), F.col("predicted")
-    first_below = prediction.groupBy(*DRUG).agg(
-        F.map_from_entries(F.collect_list(F.struct("month", "predicted"))).alias("curve"),
+    first_below = trend_prediction(fit).groupBy(*DRUG).agg(
         *[F.min(F.when(predicted < t, month)).alias(f"below_{i}")
           for i, t in enumerate(thresholds)])
     found = F.array(*[F.struct(F.lit(t).alias("threshold"), (F.col(f"below_{i}") - 1).alias("month"))
                       for i, t in enumerate(thresholds)])
-    rows = (first_below.select(*DRUG, "curve", F.explode(found).alias("x"))
-            .select(*DRUG, "curve", "x.*").filter(month >= 0)
-            .withColumn("predicted", F.try_element_at("curve", month)).drop("curve"))
+    crossings = (first_below.select(*DRUG, F.explode(found).alias("x"))
+                 .select(*DRUG, "x.*").filter(month >= 0))
+    rows = (join_on(crossings, fit.select(*DRUG, "intercept", "slope"), DRUG)
+            .withColumn("predicted", F.col("intercept") + F.col("slope") * month)
+            .drop("intercept", "slope"))
     band = _trend_band(predicted)
     label = F.concat(or_na(band), F.lit(": "), month.cast("string"), F.lit("mesos"))
     return rows.withColumn("activity", band).withColumn("label", label)

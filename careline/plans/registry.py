@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careline.functions.rounding import round_to, round_up_to
@@ -20,7 +20,7 @@ from careline.operators import summary as M
 from careline.operators import survival as K
 from careline.operators import trend as R
 from careline.plans.reports import write_all_reports
-from careline.session import configure, shared_folder
+from careline.session import configure, shared_folder, written
 from careline.sources import delimited as T
 from careline.sources.star import AS_OF, AS_OF_YEAR, star_table
 
@@ -58,7 +58,7 @@ class Star:
 
     @cached_property
     def clean_outcomes(self) -> DataFrame:
-        return S.process_outcomes(S.clean(self.processes))
+        return S.process_outcomes(S.clean(self.processes), self.steps)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -66,8 +66,17 @@ class Star:
 
     @cached_property
     def fit(self) -> DataFrame:
-        # the correlation test needs three points
-        return R.trend_fit(R.success_steps(S.clean(self.frame))).filter(F.col("n") >= 3)
+        return R.trend_fit(self.points)
+
+    @cached_property
+    def points(self) -> DataFrame:
+        return R.success_steps(S.clean(self.frame))
+
+    @cached_property
+    def falling(self) -> DataFrame:
+        """Fit of scores that fall with time: a fifth a month from five, and a little of their own."""
+        score = 5.0 - 0.2 * F.col("months_since_first") + F.col("score") / 100.0
+        return R.trend_fit(self.points.withColumn("score", score))
 
     @cached_property
     def dispensed(self) -> DataFrame:
@@ -79,7 +88,8 @@ class Star:
 
     @cached_property
     def valid(self) -> DataFrame:
-        return D.valid_dispensings(self.dispensed, self.prescriptions, AS_OF)
+        """Written, as several steps of a query start from it: one interval join for all."""
+        return written(D.valid_dispensings(self.dispensed, self.prescriptions, AS_OF), "valid")
 
     @cached_property
     def treatments(self) -> DataFrame:
@@ -95,8 +105,8 @@ class Star:
 
     @cached_property
     def fine_valid(self) -> DataFrame:
-        return D.valid_dispensings(self.fine, D.with_posology(self.table("prescriptions_fine")),
-                                   AS_OF)
+        return written(D.valid_dispensings(
+            self.fine, D.with_posology(self.table("prescriptions_fine")), AS_OF), "valid")
 
     @cached_property
     def people(self) -> DataFrame:
@@ -141,7 +151,7 @@ def _outlier_split(s: Star) -> DataFrame:
 
 
 def _process_outcomes(s: Star) -> DataFrame:
-    rows = S.process_outcomes(S.with_best_change(s.processes, s.steps))
+    rows = S.process_outcomes(S.with_best_change(s.processes, s.steps), s.steps)
     best = F.col("best_change")
     return (rows.withColumn("unchanged", best == float("inf"))
             .withColumn("best_change", F.when(best != float("inf"), round_to(best, 6)))
@@ -170,19 +180,65 @@ def _valid_ids(s: Star) -> DataFrame:
                                                  "tie1", "tie2")
 
 
+def _extract(s: Star, frame: DataFrame, columns, values: dict[str, Column], marker: Column,
+             header=lambda name: name) -> str:
+    """Folder of a delimited extract of two files: the second has its columns the other way round.
+
+    `values` are texts by canonical name; rows for which `marker` holds get `NA` as their id.
+    """
+    folder = f"{shared_folder(s.spark)}/extracts/{uuid.uuid4().hex}"
+    names = {name: header(source) for source, name, _ in columns}
+    first = next(iter(values))
+    values = {**values, first: F.when(marker, T.MISSING).otherwise(values[first])}
+    texts = [c.alias(names[n]) for n, c in values.items()]
+    half = F.pmod(F.xxhash64(*values.values()), F.lit(2))
+    for k, part in enumerate((texts, texts[::-1])):
+        (frame.filter(half == k).select(*part).write.mode("append")
+         .option("sep", ";").option("header", True).csv(folder))
+    return folder
+
+
+def _text(name: str, kind: str = "text") -> Column:
+    c = F.col(name)
+    if kind == "time":
+        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return F.replace(c.cast("string"), F.lit("."), F.lit(",")) if kind == "number" else c.cast("string")
+
+
 def _scan_delimited(s: Star) -> DataFrame:
     """Dispensings exported as a delimited extract, read back and typed."""
-    folder = f"{shared_folder(s.spark)}/extracts/{uuid.uuid4().hex}"
-    text = {"nhc_raw": F.col("nhc_raw"), "med_code": F.col("med_code"),
-            "med_name": F.col("med_name"), "med_group": F.col("med_group"),
-            "episode": F.col("tie1").cast("string"),
-            "national_code": F.col("national_code").cast("string"),
-            "dispensed_at": F.date_format("dispensed_at", "yyyy-MM-dd HH:mm:ss"),
-            "qty": F.replace(F.col("qty").cast("string"), F.lit("."), F.lit(","))}
-    names = {name: source for source, name, _ in T.DISPENSING_COLUMNS}
-    (s.table("dispensings").select(*[c.alias(names[n]) for n, c in text.items()])
-     .write.option("sep", ";").option("header", True).csv(folder))
-    return T.read_dispensings(s.spark, folder)
+    values = {"nhc_raw": _text("nhc_raw"), "med_code": _text("med_code"),
+              "med_name": _text("med_name"), "med_group": _text("med_group"),
+              "episode": _text("tie1"), "national_code": _text("national_code"),
+              "dispensed_at": _text("dispensed_at", "time"), "qty": _text("qty", "number")}
+    folder = _extract(s, s.table("dispensings"), T.DISPENSING_COLUMNS, values,
+                      F.col("nhc_raw").cast("bigint") % 50 == 0)
+    return T.read_dispensings(s.spark, folder).select(*values)
+
+
+def _scan_steps(s: Star) -> DataFrame:
+    """Steps exported and read back; every tenth patient's trimmed id is `NA`."""
+    values = {"nhc": _text("nhc"), "cip": _text("cip"), "process_id": _text("process_id"),
+              "drug_code": _text("drug_code"), "drug_name": _text("drug_name"),
+              "process_start": _text("process_start", "time"),
+              "process_end": _text("process_end", "time"), "step_ts": _text("step_ts", "time"),
+              "step_no": _text("step_no"), "score": _text("score", "number"),
+              "step_code": _text("tie1")}
+    folder = _extract(s, s.steps, T.STEP_COLUMNS, values, F.col("nhc").cast("bigint") % 10 == 0)
+    return T.read_steps(s.spark, folder).select(*values)
+
+
+def _scan_prescriptions(s: Star) -> DataFrame:
+    """Prescriptions exported with a check digit and read back without it; some ids are `NA`."""
+    values = {"presc_nhc_raw": _text("presc_nhc_raw"), "nhc": _text("nhc"),
+              "prescription_id": _text("prescription_id"), "med_code": _text("med_code"),
+              "presc_national_code": F.concat(_text("presc_national_code"), F.lit("7")),
+              "dose": _text("dose"), "freq_type": _text("freq_type"),
+              "freq_code": _text("freq_code"), "freq_desc": _text("freq_desc"),
+              "valid_from": _text("valid_from", "time"), "valid_to": _text("valid_to", "time")}
+    folder = _extract(s, s.table("prescriptions"), T.PRESCRIPTION_COLUMNS, values,
+                      F.col("presc_nhc_raw").cast("bigint") % 50 == 0)
+    return T.read_prescriptions(s.spark, folder).select(*values, "posology_days")
 
 
 def _gaps(s: Star) -> DataFrame:
@@ -206,7 +262,7 @@ def _round_up_to(s: Star) -> DataFrame:
 
 
 def _report_sinks(s: Star) -> DataFrame:
-    """Write all reports to the shared folder and count the rows read back."""
+    """Write all reports to the shared folder; count and sum up the rows read back."""
     inputs = {"steps": s.steps, "patients": s.table("patients"),
               "dispensings": s.table("dispensings"), "prescriptions": s.table("prescriptions"),
               "cohort_dispensings": s.table("dispensings_fine"),
@@ -215,18 +271,68 @@ def _report_sinks(s: Star) -> DataFrame:
     written = write_all_reports(inputs, folder, AS_OF, DOSE_DRUG, EXCLUDED_DRUG)
     counts = None
     for report, table, path in written:
-        one = s.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(report).alias("report"), F.lit(table).alias("table_name"), "n_rows")
+        one = s.spark.read.parquet(path).selectExpr(
+            f"'{report}' AS report", f"'{table}' AS table_name", "count(*) AS n_rows",
+            f"{checksum(report, table)} AS checksum")
         counts = one if counts is None else counts.unionByName(one)
     return counts
 
 
+# Columns of each report table that its checksum covers: numbers in thousandths, those marked with
+# ~ (their quantile is a series on the other side) in tenths, texts marked with $ by length.
+CHECKED = {
+    ("outcome", "summary"): "n_success n_failure mean_days_to_minimum pct_success$",
+    ("outcome", "chart"): "n result_order result_type$",
+    ("outcome", "steps"): "score difference step_no",
+    ("trend", "fit"): "n slope intercept r_squared", ("trend", "correlation"): "n r t p_value",
+    ("trend", "points"): "months_since_first score activity$",
+    ("trend", "band"): "month predicted low~ high~", ("trend", "crossings"): "month predicted label$",
+    ("quality", "start_in_remission"): "step_no score activity$ result$",
+    ("quality", "unmatched_dispensings"): "qty national_code med_code$",
+    ("quality", "prescriptions"): "presc_national_code med_code$",
+    ("quality", "overlaps"): "dispensings multiplied added_rows",
+    ("adherence", "summary"): "treatments patients treatments_per_patient pct_below_05$",
+    ("adherence", "patients"): "n", ("adherence", "by_drug"): "total n_below_05 n_from_09 med_group$",
+    ("adherence", "chart"): "n total class_order label_text$",
+    ("adherence", "chart_by_drug"): "n total breaks axis_limit med_name$",
+    ("adherence", "detail"): "units days coverage prescription_days freq_desc$",
+    ("persistence", "patients"): "n", ("persistence", "by_drug"): "patients pct",
+    ("persistence", "by_drug_sex"): "n_f n_m n_unknown",
+    ("persistence", "by_drug_age"): "under_20 from_41_to_50 over_80 unavailable",
+    ("persistence", "chisq_drug"): "chisq df p_value", ("persistence", "chisq_sex"): "chisq df p_value",
+    ("persistence", "chisq_age"): "chisq df p_value",
+    ("persistence", "curves"): "months at_risk events survival",
+    ("persistence", "medians"): "median_months med_group$",
+    ("persistence", "logrank"): "chisq df p_value", ("paths", "top_20"): "n path$",
+    ("paths", "flows"): "n first_drug$ second_drug$",
+    ("paths", "all_paths"): "n position mean_months sd_months max_months",
+    ("paths", "lines"): "position months med_group$", ("paths", "patients"): "position months path$",
+    ("dosing", "combinations"): "patients combination$",
+    ("dosing", "optimised_patients"): "position variant$ combination$",
+    ("dosing", "all_patients"): "qty prescriptions naive$ dose_optimised$",
+}
+
+
+def checksum(report: str, table: str) -> str:
+    """SQL text both engines accept: the sum of the table's checked columns."""
+    def measure(name: str) -> str:
+        if name.endswith("$"):
+            return f"length({name[:-1]})"
+        return f"round({name[:-1]} * 10)" if name.endswith("~") else f"round({name} * 1000)"
+
+    parts = [f"coalesce(sum(CAST({measure(c)} AS BIGINT)), 0)"
+             for c in CHECKED[report, table].split()]
+    return f"CAST({' + '.join(parts)} AS BIGINT)"
+
+
 SEXES = ("F", "M")
 AGES = list(C.AGE_COLUMNS)
 
 QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     # scans and typing
     "scan_delimited": _scan_delimited,
+    "scan_steps": _scan_steps,
+    "scan_prescriptions": _scan_prescriptions,
     "typed_projection": _typed_projection,
     "valid_ids": _valid_ids,
     # steps and processes
@@ -270,8 +376,9 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "trend_correlation": lambda s: rounded(R.with_p_value(R.trend_correlation(s.fit)),
                                            "r", "t", "low", "high", "p_value"),
     "trend_prediction": lambda s: rounded(R.trend_prediction(s.fit), "predicted"),
-    "threshold_crossing": lambda s: rounded(
-        R.threshold_crossing(R.trend_prediction(s.fit)), "predicted"),
+    "threshold_crossing": lambda s: rounded(R.threshold_crossing(s.fit), "predicted"),
+    "threshold_crossing_falling": lambda s: rounded(R.threshold_crossing(s.falling), "predicted"),
+    "activity_points": lambda s: R.activity_points(s.points),
     "trend_band": lambda s: rounded(R.trend_band(s.fit), "predicted", "low", "high"),
     "trend_inverse": lambda s: rounded(R.trend_inverse(s.fit), "months_to_score"),
     # dispensings and prescriptions
@@ -304,8 +411,11 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "coverage_summary": lambda s: V.coverage_summary(s.rated),
     "coverage_summary_by_drug": lambda s: V.coverage_summary_by_drug(s.rated),
     "round_up_to": _round_up_to,
+    "coverage_drug_totals": lambda s: V.totals_by_drug(s.rated),
+    "qc_overlaps": lambda s: D.overlap_counts(s.valid),
     # cohort
     "naive_patients": lambda s: C.naive_rows(s.fine_valid),
+    "naive_patients_total": lambda s: V.patients_total(C.naive_rows(s.fine_valid)),
     "cohort_demographics": lambda s: s.cohort_rows,
     "age_band": _age_band,
     "cohort_by_drug": lambda s: C.cohort_by_drug(s.people),
@@ -334,7 +444,7 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "multi_drug_patients": lambda s: N.multi_drug_patients(s.fine).select(
         "nhc", "med_group", "med_name", "dispensed_at", "qty", "tie2", "tie3", "tie4", "tie5"),
     "treatment_lines": lambda s: N.treatment_lines(s.fine),
-    "paths_wide": lambda s: N.paths_wide(s.paths, 6),
+    "paths_wide": lambda s: N.paths_by_position(s.paths),
     "path_frequency": lambda s: N.path_frequency(s.paths),
     "path_duration_stats": lambda s: N.path_duration_stats(s.paths),
     "top_paths": lambda s: N.top_paths(N.path_frequency(s.paths)),
@@ -343,7 +453,7 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     # dosing
     "dose_optimised": lambda s: O.dose_optimised(s.dispensed, s.prescriptions, DOSE_DRUG),
     "dose_variants": lambda s: s.variants,
-    "dose_variants_wide": lambda s: O.dose_variants_wide(s.per_patient_variants, 6),
+    "dose_variants_wide": lambda s: O.dose_variants_by_position(s.per_patient_variants),
     "dose_combinations": lambda s: O.dose_combinations(s.per_patient_variants),
     # sinks
     "report_sinks": _report_sinks,

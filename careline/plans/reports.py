@@ -1,7 +1,8 @@
 """The tables of the six reports, built from the canonical inputs.
 
-A table that several tables of one report start from is cached for that report
-only; lost cache blocks are recomputed from their lineage.
+Large tables that several report tables start from are written to the shared folder
+once; small ones (a row per process, treatment or line) are cached for one report
+only, and lost cache blocks are recomputed from their lineage.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from careline.operators import steps as S
 from careline.operators import summary as M
 from careline.operators import survival as K
 from careline.operators import trend as R
+from careline.session import written as shared_table
 from careline.sources.sinks import Table, write_report
 
 
@@ -36,7 +38,7 @@ def shared(frame: DataFrame) -> Iterator[DataFrame]:
 
 
 def outcome_tables(steps: DataFrame, processes: DataFrame, as_of_year: int) -> dict[str, Table]:
-    summary = M.outcome_summary(S.process_outcomes(S.clean(processes)))
+    summary = M.outcome_summary(S.process_outcomes(S.clean(processes), steps))
     rollup = M.outcome_rollup(summary, as_of_year)
     return {
         "summary": Table(M.outcome_report(summary, as_of_year),
@@ -47,13 +49,14 @@ def outcome_tables(steps: DataFrame, processes: DataFrame, as_of_year: int) -> d
 
 
 def trend_tables(steps: DataFrame, processes: DataFrame) -> dict[str, Table]:
-    fit = R.trend_fit(R.success_steps(S.clean(S.step_frame(steps, processes))))
-    prediction = R.trend_prediction(fit)
+    points = R.success_steps(S.clean(S.step_frame(steps, processes)))
+    fit = R.trend_fit(points)
     return {
         "fit": Table(fit, ["drug_code"]),
         "correlation": Table(R.with_p_value(R.trend_correlation(fit)), ["drug_code"]),
         "band": Table(R.trend_band(fit), ["drug_code", "month"]),
-        "crossings": Table(R.threshold_crossing(prediction), ["drug_code", "threshold"]),
+        "crossings": Table(R.threshold_crossing(fit), ["drug_code", "threshold"]),
+        "points": Table(R.activity_points(points)),
     }
 
 
@@ -65,6 +68,8 @@ def adherence_tables(treatments: DataFrame) -> dict[str, Table]:
         "by_drug": Table(V.coverage_summary_by_drug(treatments), ["med_group", "med_name"],
                          ("med_group",)),
         "chart": Table(V.coverage_by_group(treatments), ["med_group", "class_order"]),
+        "chart_by_drug": Table(V.totals_by_drug(treatments),
+                               ["med_group", "med_name", "class_order"]),
         "detail": Table(V.coverage_detail(treatments)),
     }
 
@@ -80,6 +85,7 @@ def persistence_tables(valid: DataFrame, patients: DataFrame, excluded_drug: str
     sexes = C.crosstab(people, "sex", sex_levels, excluded_drug)
     ages = C.crosstab(people, "age_band", list(C.AGE_COLUMNS), excluded_drug)
     return {
+        "patients": Table(V.patients_total(C.naive_rows(valid))),
         "by_drug": Table(C.cohort_by_drug(people)),
         "by_drug_sex": Table(C.cohort_by_drug_sex(people, sex_levels)),
         "by_drug_age": Table(C.cohort_by_drug_age(people)),
@@ -99,6 +105,7 @@ def path_tables(lines: DataFrame) -> dict[str, Table]:
         "flows": Table(N.line_flows(paths), [F.desc("n"), "first_drug", "second_drug"]),
         "all_paths": Table(N.path_duration_stats(paths), [F.desc("n"), "path", "position"]),
         "lines": Table(lines),
+        "patients": Table(N.paths_by_position(paths)),
     }
 
 
@@ -108,17 +115,18 @@ def dosing_tables(rows: DataFrame, prescriptions: DataFrame, drug: str) -> dict[
     return {
         "combinations": Table(O.dose_combinations(per_patient),
                               [F.desc("patients"), "combination"]),
-        "optimised_patients": Table(O.dose_variants_wide(per_patient)),
+        "optimised_patients": Table(O.dose_variants_by_position(per_patient)),
         "all_patients": Table(O.dose_optimised(rows, prescriptions, drug)),
     }
 
 
 def quality_tables(steps: DataFrame, processes: DataFrame, rows: DataFrame,
-                   prescriptions: DataFrame) -> dict[str, Table]:
+                   prescriptions: DataFrame, valid: DataFrame) -> dict[str, Table]:
     return {
         "start_in_remission": Table(S.start_in_remission(steps, processes)),
         "unmatched_dispensings": Table(D.unmatched_dispensings(rows, prescriptions)),
         "prescriptions": Table(D.prescription_extract(prescriptions)),
+        "overlaps": Table(D.overlap_counts(valid)),
     }
 
 
@@ -141,19 +149,20 @@ def write_all_reports(inputs: dict[str, DataFrame], folder: str, as_of: str, dru
 
     prescriptions = D.with_posology(inputs["prescriptions"])
     rows = D.dispensing_gaps(inputs["dispensings"])
+    valid = shared_table(D.valid_dispensings(D.dispensed(inputs["dispensings"]), prescriptions, as_of),
+                         "valid")
     with shared(S.process_table(steps)) as processes:
         write("outcome", outcome_tables(steps, processes, year))
         write("trend", trend_tables(steps, processes))
-        write("quality", quality_tables(steps, processes, rows, prescriptions))
-    valid = D.valid_dispensings(D.dispensed(inputs["dispensings"]), prescriptions, as_of)
+        write("quality", quality_tables(steps, processes, rows, prescriptions, valid))
     with shared(V.classified(V.coverage_ratio(valid))) as treatments:
         write("adherence", adherence_tables(treatments))
 
     cohort_rows = D.dispensed(inputs.get("cohort_dispensings", inputs["dispensings"]))
     cohort_presc = D.with_posology(inputs.get("cohort_prescriptions", inputs["prescriptions"]))
-    with shared(D.valid_dispensings(cohort_rows, cohort_presc, as_of)) as cohort_valid:
-        write("persistence", persistence_tables(cohort_valid, inputs["patients"], excluded_drug,
-                                                sex_levels))
+    cohort_valid = shared_table(D.valid_dispensings(cohort_rows, cohort_presc, as_of), "valid")
+    write("persistence", persistence_tables(cohort_valid, inputs["patients"], excluded_drug,
+                                            sex_levels))
     with shared(N.treatment_lines(cohort_rows)) as lines:
         write("paths", path_tables(lines))
     write("dosing", dosing_tables(rows, prescriptions, drug))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings, safe to apply to a session somebody else created.
 # forceOptimizeSkewedJoin lets the engine split a hot key in every shuffled join,
@@ -17,10 +18,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-# Shuffle partitions are sized so that one holds about this many bytes.
-TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a running session."""
     for key, value in RUNTIME_CONF.items():
@@ -29,15 +26,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shuffle_partitions_for(input_bytes: int, cores: int) -> int:
-    """Shuffle partition count for a job over `input_bytes` on `cores` cores.
-
-    Adaptive execution merges small partitions but only splits skewed ones, so
-    the starting count has to be high enough for the data.
-    """
-    return max(cores, -(-input_bytes // TARGET_PARTITION_BYTES))
-
-
 def build_session(app_name: str = "careline", master: str | None = None,
                   shuffle_partitions: int | None = None,
                   extra_conf: dict[str, str] | None = None) -> SparkSession:
@@ -60,8 +48,20 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="careline-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once to the shared folder and read from there.
+
+    Several uses of the result then share one computation, and a lost executor
+    costs a read, not a repetition.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from careline.functions.text import drop_last_character, integer_of
 from careline.operators.dispensing import valid_ids, with_posology
 
-# Year, month, day, hour, minute, second with any separators; a date without time
-# does not qualify.
-DATE_TIME = (r"^\D*(\d{4})\D?(\d{1,2})\D?(\d{1,2})\D+(\d{1,2})\D?(\d{1,2})\D?"
+# Year (of four digits, or of two), month, day, hour, minute, second with any separators;
+# a date without time does not qualify.
+DATE_TIME = (r"^\D*(\d{4}|\d{2}(?=\D))\D?(\d{1,2})\D?(\d{1,2})\D+(\d{1,2})\D?(\d{1,2})\D?"
              r"(\d{1,2}(?:\.\d+)?)\D*$")
 
 # Source column, canonical column and type of the three extracts.
@@ -57,22 +57,52 @@ PRESCRIPTION_COLUMNS = (
 
 
 def mangled(names: list[str]) -> list[str]:
-    """Header names with every character outside letters, digits and `_` as a dot."""
+    """Header names with every character outside letters, digits and `_` as a dot.
+
+    A name that doesn't begin with a letter, or a dot without a digit behind it, gets an `X` before it.
+    """
     seen: dict[str, int] = {}
     result = []
     for name in names:
         clean = re.sub(r"[^\w.]", ".", name)
+        if not re.match(r"[^\W\d_]|\.(?!\d)", clean):
+            clean = f"X{clean}"
         seen[clean] = seen.get(clean, -1) + 1
         result.append(clean if seen[clean] == 0 else f"{clean}.{seen[clean]}")
     return result
 
 
+MISSING = "NA"
+
+
+def _headers(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """The files of a folder by their header line; a row for each file on the driver."""
+    lines = (spark.read.option("pathGlobFilter", "*.csv").text(folder)
+             .select("value", "_metadata.file_path", "_metadata.file_block_start")
+             .filter("file_block_start = 0")
+             .withColumn("at", F.monotonically_increasing_id()))
+    firsts = lines.groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
+    files: dict[str, list[str]] = {}
+    for path, header in sorted(map(tuple, firsts.collect())):
+        files.setdefault(header, []).append(path)
+    return files
+
+
 def read_delimited(spark: SparkSession, folder: str, mangle_header: bool = True) -> DataFrame:
-    """All `.csv` files of a folder as text columns; empty fields are NULL."""
-    rows = (spark.read.option("sep", ";").option("header", True).option("encoding", "UTF-8")
-            .option("quote", '"').option("escape", '"').option("pathGlobFilter", "*.csv")
-            .csv(folder))
-    return rows.toDF(*mangled(rows.columns)) if mangle_header else rows
+    """All `.csv` files of a folder as text columns; empty fields and `NA` are NULL.
+
+    Columns go by name: files may have them in another order, and lack some.
+    """
+    whole = None
+    for paths in _headers(spark, folder).values():
+        rows = (spark.read.option("sep", ";").option("header", True).option("encoding", "UTF-8")
+                .option("quote", '"').option("escape", '"').option("nullValue", MISSING)
+                .option("emptyValue", MISSING).option("enforceSchema", False).csv(paths))
+        rows = rows.toDF(*mangled(rows.columns)) if mangle_header else rows
+        whole = rows if whole is None else whole.unionByName(rows, allowMissingColumns=True)
+    if whole is None:
+        raise FileNotFoundError(f"no .csv file with a header in {folder}")
+    return whole
 
 
 def to_number(text: Column) -> Column:
@@ -81,8 +111,12 @@ def to_number(text: Column) -> Column:
 
 
 def to_time(text: Column) -> Column:
-    """Timestamp from date and time text; NULL if it is none."""
-    normal = F.regexp_replace(text, DATE_TIME, "$1-$2-$3 $4:$5:$6")
+    """Timestamp from date and time text; NULL if it is none. Years 00-68 are 2000-2068, 69-99 1969-1999."""
+    parts = F.regexp_extract(text, DATE_TIME, 1)
+    short = parts.cast("int")
+    year = (F.when(F.length(parts) == 4, parts)
+             .otherwise((short + F.when(short <= 68, 2000).otherwise(1900)).cast("string")))
+    normal = F.concat(year, F.regexp_replace(text, DATE_TIME, "-$2-$3 $4:$5:$6"))
     return F.when(text.rlike(DATE_TIME), F.try_to_timestamp(normal))
 
 
@@ -92,7 +126,7 @@ def typed_projection(frame: DataFrame) -> DataFrame:
         c = F.col(f"`{name}`")
         if "data" in name.lower():
             c = to_time(c)
-        elif name.startswith("Valor.Variable"):
+        elif name.lower().startswith("valor.variable"):
             c = to_number(c)
         elif name.lower().startswith("nhc"):
             c = c.cast("string")
@@ -133,7 +167,3 @@ def read_prescriptions(spark: SparkSession, folder: str) -> DataFrame:
     return with_posology(valid_ids(canonical(rows, PRESCRIPTION_COLUMNS), "presc_nhc_raw")
                          .withColumn("presc_national_code", code))
 
-
-def patients_of(steps: DataFrame) -> DataFrame:
-    """Sex and birth year per patient, as delivered with the steps."""
-    return steps.select("nhc", "sex", F.year("birth_date").cast("int").alias("birth_year"))

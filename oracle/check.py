@@ -84,6 +84,8 @@ def main() -> int:
         if chosen and name not in chosen:
             continue
         started = time.time()
+        if name not in oracle:
+            continue
         try:
             problems, n = compare(query(spark, sf_dir), oracle[name], con)
         except Exception as error:  # noqa: BLE001 - report and go on

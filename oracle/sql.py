@@ -6,7 +6,7 @@ analysis is defined, not in the order the Spark operators evaluate it.
 
 from __future__ import annotations
 
-from careline.plans.registry import DOSE_DRUG, EXCLUDED_DRUG, TIMELINE_YEAR
+from careline.plans.registry import DOSE_DRUG, EXCLUDED_DRUG, TIMELINE_YEAR, checksum
 from careline.sources import star
 
 Y = star.AS_OF_YEAR
@@ -170,7 +170,11 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
   CASE WHEN n > 2 THEN sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2)) END AS residual_sd
   FROM (SELECT drug_code, CAST(regr_count(y, x) AS BIGINT) AS n, regr_avgx(y, x) AS mean_months, regr_slope(y, x) AS slope,
    regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r_squared, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy,
-   regr_sxy(y, x) AS sxy, corr(y, x) AS r, max(m) AS max_months FROM points GROUP BY drug_code) WHERE n >= 3"""),
+   regr_sxy(y, x) AS sxy, corr(y, x) AS r, max(m) AS max_months FROM points GROUP BY drug_code)"""),
+    "fallfit": (("points",), """SELECT drug_code, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, max(m) AS max_months
+  FROM (SELECT drug_code, x, m, 5.0 - 0.2 * m + y / 100.0 AS y FROM points) GROUP BY drug_code"""),
+    "fallcurve": (("fallfit",), """SELECT drug_code, CAST(g.m AS INT) AS month, intercept + slope * g.m AS predicted
+  FROM fallfit, LATERAL (SELECT unnest(range(0, max_months + 1)) AS m) g"""),
     "curve": (("fit",), """SELECT drug_code, CAST(g.m AS INT) AS month, intercept + slope * g.m AS predicted
   FROM fit, LATERAL (SELECT unnest(range(0, max_months + 1)) AS m) g"""),
     "disp": (("dispensings",), "SELECT * EXCLUDE (nhc_raw), regexp_replace(nhc_raw, '^0+', '') AS nhc FROM dispensings WHERE qty <> 0"),
@@ -324,7 +328,12 @@ _LOGRANK = f"""SELECT * FROM (WITH d AS (SELECT comparison, position AS p, obser
 
 SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     "scan_delimited": (("dispensings",), """SELECT nhc_raw, med_code, med_name, med_group, CAST(tie1 AS VARCHAR) AS episode,
-  national_code, dispensed_at, qty FROM dispensings"""),
+  national_code, dispensed_at, qty FROM dispensings WHERE CAST(nhc_raw AS BIGINT) % 50 <> 0"""),
+    "scan_steps": (("steps",), """SELECT CASE WHEN CAST(nhc AS BIGINT) % 10 <> 0 THEN nhc END AS nhc, cip, process_id, drug_code, drug_name,
+  process_start, process_end, step_ts, CAST(step_no AS INT) AS step_no, score, CAST(tie1 AS VARCHAR) AS step_code FROM steps"""),
+    "scan_prescriptions": (("presc",), """SELECT presc_nhc_raw, nhc, prescription_id, med_code, presc_national_code,
+  CAST(dose AS DOUBLE) AS dose, freq_type, freq_code, freq_desc, valid_from, valid_to, posology_days FROM presc
+  WHERE CAST(presc_nhc_raw AS BIGINT) % 50 <> 0"""),
     "typed_projection": (("dispensings",), """SELECT nhc_raw AS nhc, dispensed_at AS data_consum, qty AS valor,
   med_name AS medicament, CAST(tie1 AS VARCHAR) AS episodi FROM dispensings"""),
     "valid_ids": (("dispensings",), """SELECT nhc_raw, med_name, dispensed_at, qty, tie1, tie2 FROM dispensings
@@ -378,7 +387,8 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
   {_normalised('mean_months slope intercept r_squared sxx syy sxy r residual_sd')} FROM fit"""),
     "trend_correlation": (("fit",), f"""SELECT drug_code, n, df, {_normalised('r t low high')},
   {rnd(t_tail('t', 'df'), 6)} AS p_value FROM (SELECT drug_code, n, n - 2 AS df, r, r * sqrt((n - 2) / (1 - r * r)) AS t,
-   tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)) AS low, tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)) AS high FROM fit)"""),
+   CASE WHEN n > 3 THEN tanh(atanh(r) - 1.959963984540054 / sqrt(greatest(n - 3, 1))) END AS low,
+   CASE WHEN n > 3 THEN tanh(atanh(r) + 1.959963984540054 / sqrt(greatest(n - 3, 1))) END AS high FROM fit WHERE n >= 3)"""),
     "trend_prediction": (("curve",), f"SELECT drug_code, month, {rnd('predicted', 6)} AS predicted FROM curve"),
     "threshold_crossing": (("curve",), f"""SELECT drug_code, threshold, month, {rnd('predicted', 6)} AS predicted, activity,
   coalesce(activity, 'NA') || ': ' || month || 'mesos' AS label FROM (
@@ -386,10 +396,17 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     CASE WHEN c.predicted < 2.6 THEN 'Remissió' WHEN c.predicted < 3.2 THEN 'Activ.Baixa' END AS activity
    FROM curve c JOIN (SELECT drug_code, CAST(t AS DOUBLE) AS threshold, min(month) - 1 AS month FROM curve, (VALUES (2.5), (3.1)) v(t)
     WHERE predicted < CAST(t AS DOUBLE) GROUP BY ALL) t ON c.drug_code = t.drug_code AND c.month = t.month)"""),
+    "threshold_crossing_falling": (("fallcurve",), f"""SELECT drug_code, threshold, month, {rnd('predicted', 6)} AS predicted, activity,
+  coalesce(activity, 'NA') || ': ' || month || 'mesos' AS label FROM (
+   SELECT c.drug_code, t.threshold, c.month, c.predicted,
+    CASE WHEN c.predicted < 2.6 THEN 'Remissió' WHEN c.predicted < 3.2 THEN 'Activ.Baixa' END AS activity
+   FROM fallcurve c JOIN (SELECT drug_code, CAST(t AS DOUBLE) AS threshold, min(month) - 1 AS month FROM fallcurve, (VALUES (2.5), (3.1)) v(t)
+    WHERE predicted < CAST(t AS DOUBLE) GROUP BY ALL) t ON c.drug_code = t.drug_code AND c.month = t.month)"""),
+    "activity_points": (("points",), f"""SELECT drug_code, m AS months_since_first, y AS score, {band('y')} AS activity FROM points"""),
     "trend_band": (("fit",), f"""SELECT drug_code, month, {rnd('y', 6)} AS predicted, {rnd('(y - h)', 6)} AS low, {rnd('(y + h)', 6)} AS high FROM (
    SELECT drug_code, CAST(g.m AS INT) AS month, intercept + slope * g.m AS y,
     {_T975} * residual_sd * sqrt(1.0 / n + (g.m - mean_months) * (g.m - mean_months) / sxx) AS h
-   FROM (SELECT *, n - 2 AS v FROM fit) f, LATERAL (SELECT unnest(range(0, max_months + 1)) AS m) g)"""),
+   FROM (SELECT *, n - 2 AS v FROM fit WHERE n > 2) f, LATERAL (SELECT unnest(range(0, max_months + 1)) AS m) g)"""),
     "trend_inverse": (("fit",), f"""SELECT drug_code, CAST(c AS DOUBLE) AS score, {rnd('(intercept + slope * CAST(c AS DOUBLE))', 1)} AS line_value,
   {rnd('((CAST(c AS DOUBLE) - intercept) / slope)', 6)} AS months_to_score FROM fit, (VALUES (2.5), (3.1), (5.0)) v(c)"""),
     "posology_days": (("presc",), """SELECT nhc, med_code, presc_national_code, dose, freq_type, freq_code, freq_desc,
@@ -430,6 +447,14 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     "coverage_summary_by_drug": (("rated",), _wide("med_group, med_name", "total", _BYDRUG)),
     "round_up_to": (("bygroup",), """SELECT top, breaks, CAST(ceil(top / breaks) * breaks AS BIGINT) AS axis_limit FROM (
   SELECT max(total) AS top, CAST(ceil(max(total) / 100 * 10 / 10) * 10 AS BIGINT) AS breaks FROM bygroup)"""),
+    "coverage_drug_totals": (("rated",), f"""SELECT * EXCLUDE (top), CAST(ceil(top / breaks::DOUBLE) * breaks AS BIGINT) AS axis_limit FROM (
+  SELECT *, CAST(ceil(top / 100.0 * 10 / 10) * 10 AS BIGINT) AS breaks FROM (
+   SELECT *, max(total) OVER (PARTITION BY med_group) AS top FROM (
+    SELECT *, CAST(sum(n) OVER (PARTITION BY med_group, med_name) AS BIGINT) AS total FROM ({_BYDRUG}))))"""),
+    "qc_overlaps": (("valid",), """SELECT count(*) AS dispensings, count(*) FILTER (WHERE k > 1) AS multiplied,
+  CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS added_rows FROM (SELECT nhc, med_code, med_group, med_name, national_code, dispensed_at, qty,
+   count(*) AS k FROM valid GROUP BY ALL)"""),
+    "naive_patients_total": (("naive",), "SELECT 'Numero de pacients totals' AS variable, count(DISTINCT nhc) AS n FROM naive"),
     "naive_patients": (("naive",), "SELECT * FROM naive"),
     "cohort_demographics": (("cohort",), "SELECT * FROM cohort"),
     "age_band": (("people",), "SELECT nhc, age, age_band, age_order FROM people"),
@@ -457,8 +482,8 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     "multi_drug_patients": (("fine",), """SELECT nhc, med_group, med_name, dispensed_at, qty, tie2, tie3, tie4, tie5 FROM fine
   WHERE nhc IN (SELECT nhc FROM fine GROUP BY nhc HAVING count(DISTINCT coalesce(med_group, '?')) > 1)"""),
     "treatment_lines": (("lines",), "SELECT * FROM lines"),
-    "paths_wide": (("paths",), "SELECT nhc, path, " + ", ".join(
-        f"drugs[{i}] AS drug_{i}, durations[{i}] AS months_{i}" for i in range(1, 7)) + " FROM paths"),
+    "paths_wide": (("paths", "lines"), """SELECT l.nhc, p.path, l.position, l.med_group, l.months
+  FROM lines l JOIN paths p USING (nhc)"""),
     "path_frequency": (("freq",), "SELECT * FROM freq"),
     "path_duration_stats": (("vectors", "freq"), f"""SELECT path, n, CAST(i AS INT) AS position, drug AS med_group,
   floor(sum(x) / CAST(count(*) AS DOUBLE) + 0.5) / 10 AS mean_months, {rnd('(sqrt((count(*) * sum(x * x) - sum(x) * sum(x)) / nullif(CAST(count(*) * (count(*) - 1) AS DOUBLE), 0)) / 10.0)', 1)} AS sd_months,
@@ -471,10 +496,16 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
   LEFT JOIN (SELECT med_group, position, count(*) AS n FROM lines GROUP BY ALL) c USING (med_group, position)"""),
     "line_flows": (("paths", "freq"), """SELECT drugs[1] AS first_drug, drugs[2] AS second_drug, count(*) AS n FROM paths
   WHERE path IN (SELECT path FROM freq ORDER BY n DESC, path LIMIT 20) GROUP BY ALL"""),
-    "dose_optimised": (("dosed",), """SELECT nhc, med_code, med_name, dispensed_at, qty, dose, freq_code, freq_desc, naive, dose_optimised FROM dosed"""),
+    "dose_optimised": (("disp", "presc", "dosed"), f"""SELECT d.nhc, d.med_code, d.med_name, d.dispensed_at, d.qty, p.dose, p.freq_code,
+  p.freq_desc, coalesce(p.prescriptions, 0) AS prescriptions, f.naive, f.dose_optimised FROM disp d
+  LEFT JOIN (SELECT nhc, med_code, presc_nhc_raw, dose, freq_code, freq_desc, count(*) AS prescriptions FROM presc GROUP BY ALL) p
+   ON d.nhc = p.nhc AND d.med_code = p.med_code
+  JOIN (SELECT DISTINCT presc_nhc_raw, med_code, naive, dose_optimised FROM dosed) f
+   ON f.presc_nhc_raw IS NOT DISTINCT FROM p.presc_nhc_raw AND f.med_code = d.med_code
+  WHERE d.med_group = '{DOSE_DRUG}'"""),
     "dose_variants": (("variants",), "SELECT * FROM variants"),
-    "dose_variants_wide": (("pervariant",), "SELECT nhc, combination, " + ", ".join(
-        f"v[{i}] AS variant_{i}" for i in range(1, 7)) + " FROM pervariant"),
+    "dose_variants_wide": (("pervariant",), """SELECT nhc, combination, CAST(g.i AS INT) AS position, v[g.i] AS variant
+  FROM pervariant, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i) g"""),
     "dose_combinations": (("pervariant",), "SELECT combination, count(*) AS patients FROM pervariant GROUP BY ALL"),
 }
 
@@ -484,13 +515,14 @@ REPORT_ROWS = {
     ("outcome", "summary"): "outcome_report", ("outcome", "chart"): "outcome_long",
     ("outcome", "steps"): "baseline_difference",
     ("trend", "fit"): "trend_fit", ("trend", "correlation"): "trend_correlation",
-    ("trend", "band"): "trend_band", ("trend", "crossings"): "threshold_crossing",
+    ("trend", "points"): "activity_points", ("trend", "band"): "trend_band", ("trend", "crossings"): "threshold_crossing",
     ("quality", "start_in_remission"): "qc_start_in_remission",
     ("quality", "unmatched_dispensings"): "unmatched_dispensings",
-    ("quality", "prescriptions"): "qc_prescriptions",
+    ("quality", "prescriptions"): "qc_prescriptions", ("quality", "overlaps"): "qc_overlaps",
     ("adherence", "summary"): "coverage_summary", ("adherence", "patients"): "patients_total",
     ("adherence", "by_drug"): "coverage_summary_by_drug", ("adherence", "chart"): "coverage_by_group",
-    ("adherence", "detail"): "coverage_detail",
+    ("adherence", "detail"): "coverage_detail", ("adherence", "chart_by_drug"): "coverage_drug_totals",
+    ("persistence", "patients"): "naive_patients_total", ("paths", "patients"): "paths_wide",
     ("persistence", "by_drug"): "cohort_by_drug", ("persistence", "by_drug_sex"): "cohort_by_drug_sex",
     ("persistence", "by_drug_age"): "cohort_by_drug_age", ("persistence", "chisq_drug"): "chisq_drug",
     ("persistence", "chisq_sex"): "chisq_drug_sex", ("persistence", "chisq_age"): "chisq_drug_age",
@@ -525,7 +557,7 @@ def _report_counts() -> str:
     for (report, table), query in REPORT_ROWS.items():
         tables, select = SELECTS[query]
         needed += tables
-        parts.append(f"SELECT '{report}' AS report, '{table}' AS table_name, count(*) AS n_rows FROM ({select})")
+        parts.append(f"SELECT '{report}' AS report, '{table}' AS table_name, count(*) AS n_rows, {checksum(report, table)} AS checksum FROM ({select})")
     return with_tables(tuple(needed), "\nUNION ALL ".join(parts))
 
 

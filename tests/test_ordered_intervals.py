@@ -5,8 +5,8 @@ import random
 
 import pytest
 
-from careline.operators.intervals import earliest_interval, interval_join
-from careline.operators.ordered import hot_keys, with_previous
+from careline.operators.intervals import _sliced, earliest_interval, interval_join
+from careline.operators.ordered import sliced, with_previous
 
 DAY0 = dt.datetime(2015, 1, 1)
 
@@ -28,27 +28,28 @@ def brute_previous(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 30, 10**9])
-def test_previous_row(spark, hot_rows):
+def test_previous_row(spark):
     rows, frame = events(spark)
-    got = with_previous(frame, ["k"], ["at", "tie"], {"p_at": "at", "p_v": "v"}, hot_rows)
+    got = with_previous(frame, ["k"], ["at", "tie"], {"p_at": "at", "p_v": "v"})
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_previous(rows)
 
 
-@pytest.mark.parametrize("hot_rows", [1, 10**9])
-def test_previous_of_equal_rows(spark, hot_rows, monkeypatch):
-    monkeypatch.setattr("careline.operators.ordered.COPIES_PER_TASK", 7)
-    row = ("hot", DAY0, 1, 2.0)
-    rows = [row] * 40 + [("hot", DAY0 + dt.timedelta(days=2), 1, 3.0)] * 3 + [("cold", DAY0, 1, 1.0)]
-    frame = spark.createDataFrame(rows, "k string, at timestamp_ntz, tie int, v double")
-    got = with_previous(frame, ["k"], ["at", "tie"], {"p_at": "at", "p_v": "v"}, hot_rows)
+def test_no_key_day_or_undated_row_needs_one_slice(spark):
+    """One key has all rows on one instant, one has no dates, one many equal rows."""
+    rows = ([("day", DAY0, i, float(i)) for i in range(900)]
+            + [("undated", None, i, float(i)) for i in range(900)]
+            + [("equal", DAY0, 1, 2.0)] * 900 + [("cold", DAY0, 1, 1.0)])
+    frame = spark.createDataFrame(rows, "k string, at timestamp_ntz, tie int, v double").repartition(5)
+    got = with_previous(frame, ["k"], ["at", "tie"], {"p_at": "at", "p_v": "v"})
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_previous(rows)
-
-
-def test_hot_keys_are_few_and_known(spark):
-    _, frame = events(spark)
-    assert hot_keys(frame, ["k"], 60).count() == 1
-    assert hot_keys(frame, ["k"]).count() == 0
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        slices = sliced(frame, ["k"], ["at", "tie"]).groupBy("__slice").count().collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(slices) == 8 and max(r["count"] for r in slices) < 2 * len(rows) / 8
 
 
 def intervals(spark, n=120, seed=2):
@@ -89,3 +90,19 @@ def test_interval_join(spark, slice_days, as_of):
         expected_first.append((k, at, i, min(hits, key=lambda h: (h[0], h[1], h[2] or 0))[2]
                                if hits else None))
     assert sorted((tuple(r) for r in first.collect()), key=str) == sorted(expected_first, key=str)
+
+
+def test_far_ends_and_a_heavy_key(spark):
+    """An end in the year 9999 costs a row for each slice with events, not for each year."""
+    far = dt.datetime(9999, 12, 31)
+    rows = ([("hot", float(i % 3), DAY0 + dt.timedelta(days=i % 20), far) for i in range(400)]
+            + [("k0", 1.0, DAY0, DAY0 + dt.timedelta(days=5))])
+    ranges = spark.createDataFrame(rows, "key string, value double, start timestamp_ntz, end timestamp_ntz")
+    frame = spark.createDataFrame([("hot", DAY0 + dt.timedelta(days=d), d) for d in range(25)],
+                                  "k string, at timestamp_ntz, id int")
+    copies = _sliced(frame, "at", ranges, "start", "end", None, 365)
+    assert copies.count() == len(rows)
+    got = earliest_interval(frame, ranges, [("k", "key")], "at", "start", "end", "value", None)
+    assert [r.value for r in got.collect()] == [0.0] * 25
+    joined = interval_join(frame, ranges, [("k", "key")], "at", "start", "end", None)
+    assert joined.count() == sum(1 for d in range(25) for i in range(400) if i % 20 <= d)

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from careline.sources import delimited as T
-from careline.sources.sinks import Table, write_report
+from careline.sources.sinks import Table, write_report, write_table
 
 
 def write(path, text):
@@ -64,6 +64,32 @@ def test_report_directories(spark, tmp_path):
     done = dict(write_report({"summary": Table(frame, [F.desc("n")]), "parts": Table(frame, [], ("g",))},
                              str(tmp_path)))
     assert [tuple(r) for r in spark.read.parquet(done["summary"]).collect()] == [("a", 2), ("b", 1)]
-    assert (tmp_path / "parts" / "g=a").is_dir()
+    assert (tmp_path / "parts" / "by_g=a").is_dir()
     csv = dict(write_report({"summary": Table(frame, ["g"])}, str(tmp_path / "csv"), "csv"))
     assert spark.read.option("sep", ";").option("header", True).csv(csv["summary"]).count() == 2
+
+
+def test_columns_go_by_name_over_files(spark, tmp_path):
+    """Files in another order or without a column; `NA`, upper case, digits first, short years."""
+    (tmp_path / "a.csv").write_text("Nhc;Medicament.AGRUPAT;Data.Consum;VALOR.VARIABLE.CODI;1r camp\n"
+                                    "001;A;2001/02/03 04:05:06;1,5;x\n")
+    (tmp_path / "b.csv").write_text("Medicament.AGRUPAT;Nhc;Data.Consum\n"
+                                    "B;002;01/02/03 04:05:06\nNA;NA;99-1-2 3:4:5\n;\"003\";\n")
+    frame = T.read_delimited(spark, str(tmp_path))
+    assert "X1r.camp" in frame.columns
+    got = {r["Nhc"]: r for r in T.typed_projection(frame).collect()}
+    assert {k: r["Medicament.AGRUPAT"] for k, r in got.items()} == {
+        "001": "A", "002": "B", None: None, "003": None}
+    assert got["001"]["VALOR.VARIABLE.CODI"] == 1.5 and got["002"]["X1r.camp"] is None
+    assert [str(got[k]["Data.Consum"]) for k in ("001", "002", None)] == [
+        "2001-02-03 04:05:06", "2001-02-03 04:05:06", "1999-01-02 03:04:05"]
+    ids = T.read_dispensings(spark, str(tmp_path))
+    assert {r.nhc_raw for r in ids.collect()} == {"001", "002", "003"}
+
+
+def test_partition_columns_keep_their_type(spark, tmp_path):
+    frame = spark.createDataFrame([("007", 1), ("7", 2)], "med_group string, n int")
+    write_table(Table(frame, ["n"], ("med_group",)), str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert dict(back.dtypes)["med_group"] == "string"
+    assert {r.med_group for r in back.collect()} == {"007", "7"}

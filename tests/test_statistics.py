@@ -133,7 +133,7 @@ def test_trend_line_and_crossings(spark):
     assert line["UP"].slope == pytest.approx(1.0) and line["UP"].residual_sd == pytest.approx(0, abs=1e-7)
     x = line["X"]
     got = {r.threshold: (r.month, r.activity, r.label)
-           for r in R.threshold_crossing(R.trend_prediction(fit)).collect() if r.drug_code == "X"}
+           for r in R.threshold_crossing(fit).collect() if r.drug_code == "X"}
 
     def before(threshold):
         return min(m for m in range(13) if x.intercept + x.slope * m < threshold) - 1
@@ -141,7 +141,7 @@ def test_trend_line_and_crossings(spark):
     assert got[3.1][0] == before(3.1) and got[2.5][0] == before(2.5)
     assert got[3.1][1:] == (None, "NA: 5mesos") or got[3.1][1] == "Activ.Baixa"
     # the rising line never falls below, the low one starts below
-    assert {r.drug_code for r in R.threshold_crossing(R.trend_prediction(fit)).collect()} == {"X", "UP"} - {"UP"}
+    assert {r.drug_code for r in R.threshold_crossing(fit).collect()} == {"X", "UP"} - {"UP"}
     inverse = {(r.drug_code, r.score): r for r in R.trend_inverse(fit).collect()}
     assert inverse[("UP", 5.0)].months_to_score == pytest.approx(2.0)
     assert inverse[("UP", 5.0)].line_value == 8.0

@@ -78,7 +78,7 @@ def test_unknown_result_hides_group_counts(spark):
         ("b", 2, "X", 0, 5.0), ("b", 2, "X", 40, None), ("b", 2, "X", 80, 4.0),
         ("c", 3, "Y", 0, 5.0), ("c", 3, "Y", 40, 4.0), ("d", 4, "Y", 0, 5.0), ("d", 4, "Y", 40, 6.0),
         ("e", 5, "Y", 0, 5.0)])
-    summary = M.outcome_summary(S.process_outcomes(S.clean(S.process_table(steps))))
+    summary = M.outcome_summary(S.process_outcomes(S.clean(S.process_table(steps)), steps))
     got = {r.drug_name: r for r in summary.collect()}
     assert got["X"].n_success is None and got["X"].pct_success is None
     assert (got["Y"].n_success, got["Y"].n_failure, got["Y"].n_no_change) == (1, 1, 0)
