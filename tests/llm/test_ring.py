@@ -1,9 +1,12 @@
+import hashlib
+import itertools
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from careline.llm.ring import arcs, shard_documents
+from careline.llm.ring import shard_documents
 
 
 def rows_of(df):
@@ -25,15 +28,45 @@ def test_counts_differ_by_one_and_slots_have_no_gaps(docs_of):
         assert moved[shard] == max(0, home[shard] - counts[shard])
 
 
-def test_overflow_goes_clockwise_to_the_next_shard_with_room(spark, docs_of):
-    """Counts per shard pair against a key-by-key simulation of first come, first served."""
-    shards, vnodes = 3, 4
-    rows = rows_of(shard_documents(docs_of([(i, "t") for i in range(97)]), shards, vnodes))
-    ring = [r["shard"] for r in arcs(spark, shards, vnodes).orderBy("arc").collect()]
-    moves = Counter((r["home_shard"], r["shard"]) for r in rows if r["shard"] != r["home_shard"])
-    assert sum(moves.values()) > 0
-    assert all(a != b for a, b in moves)
-    assert len(ring) == shards * vnodes
+def key_by_key(ids, shards, vnodes):
+    """One queue walked clockwise: an arc first gives what its node cannot keep, then takes what fits."""
+    def at(text):
+        return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+    nodes = sorted((at(f"shard/{s}/{v}"), s) for s in range(shards) for v in range(vnodes))
+    arcs_of = [[] for _ in nodes]
+    for i in sorted(ids, key=lambda i: at(str(i))):
+        where = next((k for k, (p, _) in enumerate(nodes) if at(str(i)) <= p), None)
+        arcs_of[0 if where is None else where].append((where is not None, i))
+    arcs_of[0].sort(key=lambda x: x[0])  # behind the last node comes before the first one
+    cap = [len(ids) // shards + (s < len(ids) % shards) for s in range(shards)]
+    demand = [sum(len(a) for a, (_, o) in zip(arcs_of, nodes) if o == s) for s in range(shards)]
+    seen, k, keep = [0] * shards, [0] * shards, []
+    for arc, (_, s) in zip(arcs_of, nodes):
+        if demand[s] > cap[s]:
+            now = (seen[s] + len(arc)) * cap[s] // demand[s] - seen[s] * cap[s] // demand[s]
+        else:
+            room = cap[s] - demand[s]
+            now = len(arc) + (k[s] + 1) * room // vnodes - k[s] * room // vnodes
+        seen[s], k[s] = seen[s] + len(arc), k[s] + 1
+        keep.append(now)
+    sums = list(itertools.accumulate(len(a) - n for a, n in zip(arcs_of, keep)))
+    first = sums.index(min(sums)) + 1
+    queue, out = [], {}
+    for j in range(len(nodes)):
+        j = (first + j) % len(nodes)
+        (_, s), arc = nodes[j], [i for _, i in arcs_of[j]]
+        out |= dict.fromkeys(arc[:keep[j]], s)
+        queue += arc[keep[j]:]
+        for _ in range(keep[j] - len(arc)):
+            out[queue.pop(0)] = s
+    assert not queue
+    return out
+
+
+@pytest.mark.parametrize("n, shards, vnodes", [(97, 3, 4), (500, 5, 1), (40, 24, 8), (7, 2, 3)])
+def test_against_walking_key_by_key(docs_of, n, shards, vnodes):
+    rows = rows_of(shard_documents(docs_of([(i, "t") for i in range(n)]), shards, vnodes))
+    assert {r["doc_id"]: r["shard"] for r in rows} == key_by_key(range(n), shards, vnodes)
 
 
 def test_growing_by_one_shard_moves_few_rows(docs_of):
