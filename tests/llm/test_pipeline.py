@@ -3,8 +3,8 @@ import random
 import corpus_pipeline
 from careline.llm.pieces import Decoder, Vocabulary
 from careline.llm.queries import model_file
-from test_decontaminate import brute as brute_contamination
-from test_simhash import brute_groups
+from llm.test_decontaminate import brute as brute_contamination
+from llm.test_simhash import brute_groups
 
 
 def test_stages_one_by_one(spark, docs_of, tmp_path):
