@@ -55,3 +55,11 @@ def test_engine_splits_the_hot_key_in_joins(spark, skewed):
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     assert "SortMergeJoin(skew=true)" in plan
+
+
+@pytest.mark.parametrize("name", ["km_curve", "logrank_test", "coverage_summary"])
+def test_no_window_per_patient_and_no_second_interval_join(spark, skewed, name):
+    """The valid dispensings are read as written; windows go by slice, drug or comparison."""
+    frame = contract.queries()[name](spark, skewed)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(nhc" not in plan and "__at_slice" not in plan
