@@ -20,8 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SPACE = "▁"
 #: Below the lowest score: what a character without a piece costs.
 UNKNOWN_PENALTY = 10.0
-#: Chunks whose pieces a task remembers, and the longest of them.
-REMEMBERED, LONGEST = 150_000, 64
+#: Parts of texts whose pieces a task remembers, in each of two generations, and the longest.
+REMEMBERED, LONGEST = 250_000, 64
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,26 @@ class Vocabulary:
                    model.unk_id())
 
 
+class Remembered(dict):
+    """Pieces by part of a text. When full it becomes the old generation, from which parts that come
+    again are taken back, so frequent ones are never worked out anew."""
+
+    def __init__(self, work) -> None:
+        super().__init__()
+        self._work, self._old = work, {}
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        ids = self._old.get(part)
+        if ids is None:
+            ids = tuple(self._work(part)[0])
+        if len(part) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self._old = dict(self)
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class Encoder:
     """The best-scoring pieces of a text.
 
@@ -67,7 +87,7 @@ class Encoder:
         self._lowest = min((v.scores[i] for i in v.matched), default=0.0) - UNKNOWN_PENALTY
         crossing = any(SPACE in v.pieces[i].lstrip(SPACE) for i in v.matched)
         self._chunks = re.compile(r".+" if crossing else f"{SPACE}+[^{SPACE}]*", re.DOTALL)
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known = Remembered(self.best)
 
     def best(self, text: str) -> tuple[list[int], float]:
         """Pieces of a normalised text and their score.
@@ -100,21 +120,11 @@ class Encoder:
                 at -= len(v.pieces[back[at]])
         return ids[::-1], scores[-1]
 
-    def _of(self, part: str) -> tuple[int, ...]:
-        ids = self._known.get(part)
-        if ids is None:
-            ids = tuple(self.best(part)[0])
-            if len(part) <= LONGEST:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[part] = ids
-        return ids
-
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         parts = self._chunks.findall(SPACE + text.replace(" ", SPACE))
-        return np.fromiter(chain.from_iterable(map(self._of, parts)), np.int32)
+        return np.fromiter(chain.from_iterable(map(self._known.__getitem__, parts)), np.int32)
 
 
 class Decoder:
