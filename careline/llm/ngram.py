@@ -7,6 +7,7 @@ go back to the blocks that asked. The tables of a range and of a block are of bo
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Tokens of a block; a longer document is cut into pieces that carry the state over.
 BLOCK_TOKENS = 1_500_000
-#: Entries of a range of hashes, over all blocks, about.
+#: Entries of a range of hashes, over all blocks, at most about.
 RANGE_ENTRIES = 3_000_000
 REMEMBERED = 300_000
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -158,37 +159,43 @@ class Block:
                                   minlength=len(self.pairs))
 
 
-def _cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    bounds = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(hashes, bounds), [len(hashes)]))
+def _ranges_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The range of each hash: its leading bits."""
+    return ((hashes >> np.uint64(1)) >> np.uint64(63 - bits)).astype(np.int64)
 
 
-REQUESTS = "part int, block long, words binary, n_words binary, pairs binary, n_pairs binary"
-ANSWERS = "part int, block long, words binary, pairs binary, vocabulary long"
+REQUESTS = "part long, block long, words binary, n_words binary, pairs binary, n_pairs binary"
+ANSWERS = "part long, block long, words binary, pairs binary, vocabulary long"
 
 
-def requests(blocks: DataFrame, ranges: int) -> DataFrame:
-    """For each block and range of hashes: the hashes, and their counts in training documents."""
+def requests(blocks: DataFrame, bits: int) -> DataFrame:
+    """For each block and range of hashes: the hashes, and their counts in training documents.
+
+    A block has a row for each of the 2 ** bits ranges in which it has a hash: never more
+    rows than hashes, however many ranges and blocks there are.
+    """
+
+    def rows_of(block_id: int, block: Block) -> pa.RecordBatch:
+        counts = block.own_counts()
+        places = [_ranges_of(h, bits) for h in (block.words, block.pairs)]
+        parts = np.unique(np.concatenate(places))
+        columns: list[list] = [[] for _ in range(4)]
+        for k, hashes in enumerate((block.words, block.pairs)):
+            cuts = zip(np.searchsorted(places[k], parts, "left"),
+                       np.searchsorted(places[k], parts, "right"), strict=True)
+            for a, b in cuts:
+                columns[2 * k].append(packed(hashes[a:b]))
+                columns[2 * k + 1].append(packed(counts[k][a:b]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(parts), pa.array([block_id] * len(parts), pa.int64()),
+             *(pa.array(c, pa.binary()) for c in columns)],
+            ["part", "block", "words", "n_words", "pairs", "n_pairs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                counts, cuts = block.own_counts(), [_cuts(h, ranges)
-                                                    for h in (block.words, block.pairs)]
-                columns: list[list] = [[] for _ in range(6)]
-                for k in range(ranges):
-                    (a, b), (c, d) = (cuts[0][k:k + 2], cuts[1][k:k + 2])
-                    if a < b or c < d:
-                        for column, value in zip(columns, (
-                                k, row["block"], packed(block.words[a:b]),
-                                packed(counts[0][a:b]), packed(block.pairs[c:d]),
-                                packed(counts[1][c:d])), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (
-                        pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)],
-                    ["part", "block", "words", "n_words", "pairs", "n_pairs"])
+            for i in range(batch.num_rows):  # one block in Python at a time
+                (row,) = batch.slice(i, 1).to_pylist()
+                yield rows_of(row["block"], Block(row))
 
     return blocks.mapInArrow(run, REQUESTS)
 
@@ -270,8 +277,8 @@ def score_corpus(docs: DataFrame, learn: Column, block_tokens: int = BLOCK_TOKEN
     blocks = written(make_blocks(docs, learn, block_tokens), "blocks")
     size = blocks.agg(F.sum(F.col("n_words") + F.col("n_pairs")).alias("entries"),
                       F.sum("n_train").alias("total")).first()
-    ranges = max(1, -(-(size["entries"] or 0) // range_entries))
-    totals = written(answers(requests(blocks, ranges)), "totals")
+    bits = max(0, math.ceil(math.log2(max(1, (size["entries"] or 0) / range_entries))))
+    totals = written(answers(requests(blocks, bits)), "totals")
     vocabulary = totals.agg(F.sum("vocabulary")).first()[0] or 0
     total = int(size["total"] or 0)
 
