@@ -22,14 +22,29 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of `[0-9a-f]+` that are long enou
 #: What a text must hold in some case for ASSIGN to match.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 
-#: Words that make what follows sensitive.
+#: Words that make what follows sensitive: alone, in the plural, or as a part of a camel-case name.
 SENSITIVE = re.compile(
-    r"(?<![A-Za-z])(?:passphrase|passcode|pwd|secret|token|credentials?|authorization|bearer|"
-    r"api[_ -]?key|access[_ -]?key|private[_ -]?key|signing[_ -]?key|client[_ -]?secret|"
-    r"auth|key)(?![a-z])", re.IGNORECASE | re.ASCII)
+    r"(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"
+    r"(?:passwords?|passwd|passphrases?|passcodes?|pwd|secrets?|tokens?|credentials?|"
+    r"authorization|bearer|api[_ -]?keys?|access[_ -]?keys?|private[_ -]?keys?|"
+    r"signing[_ -]?keys?|client[_ -]?secrets?|auth|keys?)"
+    r"(?:(?![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))",
+    re.IGNORECASE | re.ASCII)
 SENSITIVE_WORDS = ("pass", "pwd", "secret", "token", "cred", "auth", "bearer", "key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
+NAME_REST = re.compile(r"(?:[A-Za-z][A-Za-z0-9]*)?")
+#: Pairs of letters of which words and names in European languages mostly consist; to the
+#: compressor a short word costs as much as random letters.
+PAIRS = frozenset((
+    "ab ac ad ag ai al am an ap ar as at au ba be bi bl bo bu ca ce ch ci ck cl co cr ct cu da de "
+    "di dl do ds du ea ec ed ee ef eg el em en ep er es et ev ex fa fe ff fi fl fo fr fu ge gi gr "
+    "gs ha he hi ho ia ib ic id ie if ig il im in io ip ir is it iv iz ke la ld le li ll lo ls lt "
+    "lu ly ma me mi mo mp na nc nd ne nf ng ni nn no ns nt nu ob oc od ol om on oo op or os ot ou "
+    "ow pa pe pi pl po pp pr pt qu ra rc rd re rg ri rm rn ro rr rs rt ru ry sa sc se sh si so sp "
+    "ss st su sy ta tc te th ti tl to tp tr ts tt tu ty ub ue ul um un up ur us ut va ve vi wa we "
+    "wi xt yp ze").split())
+#: Share of such pairs from which a string without digits is made of words.
+WORDLIKE = 0.55
 #: Names that code repeats; content of the compressor's dictionary.
 IDENTIFIERS = (
     "password passwd passphrase username user_name secret secret_key client_secret client_id "
@@ -81,6 +96,15 @@ class Novelty:
         return (len(size(around + own)) - len(size(around))) / len(own)
 
 
+def made_of_words(string: str) -> bool:
+    """No digits, and neighbouring letters pair as they do in words and names."""
+    if any(c.isdigit() for c in string):
+        return False
+    folded = string.lower()
+    pairs = [a + b for a, b in zip(folded, folded[1:]) if a.isalpha() and b.isalpha()]
+    return sum(p in PAIRS for p in pairs) >= WORDLIKE * len(pairs)
+
+
 def novel_spans(text: str, known: list[Span], novelty: Novelty, least: float) -> list[Span]:
     """Incompressible strings close behind a sensitive word, apart from the known spans."""
     folded = text.lower()
@@ -90,11 +114,12 @@ def novel_spans(text: str, known: list[Span], novelty: Novelty, least: float) ->
     found: list[Span] = []
     seen_to = 0
     for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), seen_to)):
-            if m.start() - word.end() > REACH:
+        after = NAME_REST.match(text, word.end()).end()
+        for m in CANDIDATE.finditer(text, max(after, seen_to)):
+            if m.start() - after > REACH:
                 break
             seen_to = m.end()
-            if (MIXED.match(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken)
+            if (not made_of_words(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken)
                     and (value := novelty(text, *m.span())) >= least):
                 found.append(("novel", *m.span(), value))
     return found
@@ -110,10 +135,10 @@ def find_secrets(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
     """(doc_id, secrets), one row for each row of `docs`; secrets: kind, start, end, novelty.
 
     Spans count code points, end exclusive, by start, then kind as in KINDS. The base kinds are
-    the fixed patterns, on whole matches. `novel` spans hold letters and digits, stand close
-    behind a sensitive word, and cost at least `novelty` compressed bytes a character when the
-    compressor already knows the text around them and a dictionary of identifiers. A NULL text is empty and has
-    none; repeated rows each get a row; other columns are ignored; no rows give none.
+    the fixed patterns, on whole matches. `novel` spans stand close behind a sensitive word, are not
+    made of words, and cost at least `novelty` compressed bytes a character when the compressor
+    already knows the text around them and a dictionary of identifiers. A NULL text is empty and
+    has none; repeated rows each get a row; other columns are ignored; no rows give none.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
                       ("novelty", pa.float64())])

@@ -64,3 +64,24 @@ def test_redaction_keeps_rows_and_columns(docs_of):
     assert by_id[5].text.endswith("x [SECRET]")
     assert find_secrets(docs_of([])).count() == 0
     assert find_secrets(docs).filter(F.size("secrets") > 0).count() == 3
+
+
+def test_sensitive_words_in_names_and_plural(docs_of):
+    secret, letters = "Zq8vT3kLw9XbP2rYd7NfJ4hG6sAe1uCm", "qzXkvWjpBqGhxZtKwmRdVcNf"
+    forms = ['secretKey = "{}"', 'encryptionKey: "{}"', 'awsSecretAccessKey = "{}"',
+             'the password is {}', 'the passwd is {}', 'two tokens {} are set', 'APIKey {}',
+             'userPassword("{}")', 'MY_SECRET_KEYS {}', 'secretKeyOfTheMainAccount = "{}"']
+    rows = [(k, form.format(own)) for own in (secret, letters)
+            for k, form in enumerate(forms, start=100 * (own is letters))]
+    rows += [(200, "the key responsibilities and Lebensversicherungsgesellschaft"),
+             (201, "token getAuthenticationManager"), (202, f"monkeys like keyboards {secret}"),
+             (203, "authTokenValidationService2Impl"), (204, "password: ----------------------")]
+    texts = dict(rows)
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start:s.end]) for s in r.secrets]
+           for r in find_secrets(docs_of(rows)).collect()}
+    for k in range(len(forms)):
+        assert got[k] == [("novel", secret)], forms[k]
+        assert got[100 + k] == [("novel", letters)], forms[k]
+    assert got[200] == got[201] == got[202] == got[203] == []
+    assert "novel" not in [kind for kind, _ in got[204]]
+    assert {r.text for r in redact(docs_of(rows[:1])).collect()} == {'secretKey = "[SECRET]"'}
