@@ -32,6 +32,8 @@ SENSITIVE = re.compile(
     re.IGNORECASE | re.ASCII)
 SENSITIVE_WORDS = ("pass", "pwd", "secret", "token", "cred", "auth", "bearer", "key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A candidate without the sign that assigns it.
+VALUE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 NAME_REST = re.compile(r"(?:[A-Za-z][A-Za-z0-9]*)?")
 #: Pairs of letters of which words and names in European languages mostly consist; to the
 #: compressor a short word costs as much as random letters.
@@ -88,14 +90,31 @@ class Novelty:
             level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
                 IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
-    def __call__(self, text: str, start: int, end: int) -> float:
-        around = (text[max(0, start - SURROUNDING):start] + "\n"
-                  + text[end:end + SURROUNDING] + "\n").encode()
+    def __call__(self, text: str, start: int, end: int, since: int) -> float:
+        """Without what stands of the string's other occurrences from `since` on."""
+        core = core_of(text[start:end])
+        around = (without(text, max(0, start - SURROUNDING), start, core, since) + "\n"
+                  + without(text, end, end + SURROUNDING, core, since) + "\n").encode()
         own = text[start:end].encode()
         size = self._compressor.compress
         return (len(size(around + own)) - len(size(around))) / len(own)
 
 
+def core_of(string: str) -> str:
+    return string.strip("=+/_-") or string
+
+
+def without(text: str, start: int, end: int, core: str, since: int) -> str:
+    """text[start:end] less the occurrences of core from `since` on, also those the ends cut."""
+    parts, kept_to = [], start
+    at = text.find(core, max(0, since, start - len(core) + 1), end + len(core) - 1)
+    while at >= 0:
+        parts.append(text[kept_to:max(kept_to, min(at, end))])
+        kept_to = max(kept_to, at + len(core))
+        at = text.find(core, at + len(core), end + len(core) - 1)
+    return "".join([*parts, text[kept_to:end]])
+
+
 def made_of_words(string: str) -> bool:
     """No digits, and neighbouring letters pair as they do in words and names."""
     if any(c.isdigit() for c in string):
@@ -106,12 +125,20 @@ def made_of_words(string: str) -> bool:
 
 
 def novel_spans(text: str, known: list[Span], novelty: Novelty, least: float) -> list[Span]:
-    """Incompressible strings close behind a sensitive word, apart from the known spans."""
+    """Incompressible strings close behind a sensitive word, apart from the known spans.
+
+    From its first occurrence in a span or behind a sensitive word on, a string doesn't speak for
+    itself as surrounding text. All its occurrences behind sensitive words go by the largest value.
+    """
     folded = text.lower()
     if not any(w in folded for w in SENSITIVE_WORDS):
         return []
     taken = sorted((s, e) for _, s, e, _ in known)
-    found: list[Span] = []
+    since: dict[str, int] = {}
+    for s, e in taken:
+        for part in VALUE.finditer(text, s, e):
+            since.setdefault(core_of(part[0]), part.start())
+    found: list[tuple[int, int]] = []
     seen_to = 0
     for word in SENSITIVE.finditer(text):
         after = NAME_REST.match(text, word.end()).end()
@@ -119,10 +146,17 @@ def novel_spans(text: str, known: list[Span], novelty: Novelty, least: float) ->
             if m.start() - after > REACH:
                 break
             seen_to = m.end()
-            if (not made_of_words(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken)
-                    and (value := novelty(text, *m.span())) >= least):
-                found.append(("novel", *m.span(), value))
-    return found
+            if (not made_of_words(m[0])
+                    and not any(s < m.end() and m.start() < e for s, e in taken)):
+                core = core_of(m[0])
+                since[core] = min(m.start(), since.get(core, m.start()))
+                found.append(m.span())
+    values: dict[str, float] = {}
+    for start, end in found:
+        core = core_of(text[start:end])
+        values[core] = max(novelty(text, start, end, since[core]), values.get(core, 0.0))
+    return [("novel", start, end, value) for start, end in found
+            if (value := values[core_of(text[start:end])]) >= least]
 
 
 def spans_of(text: str, novelty: Novelty, least: float) -> list[Span]:
@@ -137,7 +171,8 @@ def find_secrets(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
     Spans count code points, end exclusive, by start, then kind as in KINDS. The base kinds are
     the fixed patterns, on whole matches. `novel` spans stand close behind a sensitive word, are not
     made of words, and cost at least `novelty` compressed bytes a character when the compressor
-    already knows the text around them and a dictionary of identifiers. A NULL text is empty and
+    already knows the text around them and a dictionary of identifiers; of the text around, copies
+    of the string itself count only before it first stands in a span or behind a sensitive word. A NULL text is empty and
     has none; repeated rows each get a row; other columns are ignored; no rows give none.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()),

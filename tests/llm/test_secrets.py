@@ -85,3 +85,19 @@ def test_sensitive_words_in_names_and_plural(docs_of):
     assert got[200] == got[201] == got[202] == got[203] == []
     assert "novel" not in [kind for kind, _ in got[204]]
     assert {r.text for r in redact(docs_of(rows[:1])).collect()} == {'secretKey = "[SECRET]"'}
+
+
+def test_repeated_secrets_do_not_vouch_for_themselves(docs_of):
+    secret = "Zq8vT3kLw9XbP2rYd7NfJ4hG6sAe1uCm"
+    rows = [(1, f"credential: {secret} and again credential: {secret}"),
+            (2, f"private key {secret}\nechoed: the picture {secret} hangs"),
+            (3, f"credentials {secret} " + "plain words " * 30 + f"bearer {secret}"),
+            (4, f"token = {secret} or bearer {secret}"),
+            (5, f"credential ({secret}) " + "." * 490 + f" credential ({secret})"),
+            (6, f"bearer {secret} bearer _{secret}_")]
+    texts = dict(rows)
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start:s.end].strip("_")) for s in r.secrets]
+           for r in find_secrets(docs_of(rows)).collect()}
+    for k, n in ((1, 2), (2, 1), (3, 2), (5, 2), (6, 2)):
+        assert got[k] == [("novel", secret)] * n, k
+    assert [kind for kind, _ in got[4]] == ["assign", "novel"]
