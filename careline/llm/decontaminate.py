@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from careline.llm.common import ALNUM, utf8, written
@@ -126,8 +126,9 @@ def document_frequencies(docs: DataFrame, bits: np.ndarray, sizes: list[int]) ->
             .groupBy("shingle").agg(F.sum("n").alias("n")))
 
 
-def meetings(docs: DataFrame, bits: np.ndarray, sizes: list[int], window: int) -> DataFrame:
-    """(row, doc_id, n_words, hits): hits are the shingles that pass the filter, each with
+def meetings(docs: DataFrame, bits: np.ndarray, sizes: list[int], window: int,
+             name: Column) -> DataFrame:
+    """(row, doc_id, n_words, hits): doc_id is `name` of the row; hits are the shingles that pass the filter, each with
     its place and the words around it that a window over it could cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,14 +156,14 @@ def meetings(docs: DataFrame, bits: np.ndarray, sizes: list[int], window: int) -
                 [pa.array(rows, pa.int64()), ids, pa.array(lengths, pa.int64()),
                  pa.array(found, pa.list_(hit))], ["row", "doc_id", "n_words", "hits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       utf8(F.col("text")).alias("t")).mapInArrow(
-        run, "row long, doc_id long, n_words long, hits array<struct<shingle:long,place:int,"
-             "first:int,around:string>>")
+    rows = docs.select(name.alias("doc_id"), utf8(F.col("text")).alias("t"))
+    return rows.mapInArrow(
+        run, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, "
+             "hits array<struct<shingle:long,place:int,first:int,around:string>>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
-                  share: int = 20) -> DataFrame:
+                  share: int = 20, name: Column | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated), one row for each row of `docs`.
 
     A window is `window` consecutive words of an item, or the whole of a shorter item with words.
@@ -173,8 +174,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     items lists the item ids as sorted strings, contaminated: n_hit > 0 and share * n_hit >=
     n_words. NULL and empty texts have no words; an item id of NULL is an empty string; repeated
     items are one; repeated rows each get a row. Other columns are ignored. Documents are read twice
-    and not shuffled; only shingles that pass a 2 MB filter leave the tasks.
+    and not shuffled; only shingles that pass a 2 MB filter leave the tasks. `name` stands in doc_id
+    in place of the id.
     """
+    name = F.col("doc_id").cast("long") if name is None else name
     spark = docs.sparkSession
     windows = written(item_windows(benchmark, window), "windows")
     sizes = sorted(r["k"] for r in windows.select(
@@ -189,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
         .agg(F.min(F.struct(rarity.alias("n"), "shingle", "offset")).alias("rarest"))
         .select("item", "words", "length", "rarest.shingle", "rarest.offset").distinct(),
         "prefixes")
-    rows = written(meetings(docs, _filter_of(prefixes), sizes, window), "meetings")
+    rows = written(meetings(docs, _filter_of(prefixes), sizes, window, name), "meetings")
     hits = rows.filter(F.size("hits") > 0).select("row", "n_words", F.inline("hits"))
     start = F.col("place") - F.col("offset")
     bounded = (hits.join(prefixes, "shingle")
@@ -215,3 +218,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
             .select("doc_id", "n_words", n_hit.alias("n_hit"),
                     F.size(listed).cast("long").alias("n_items"), listed.alias("items"),
                     ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13,
+                      share: int = 20) -> DataFrame:
+    """The rows of `docs`, with all their columns, that `contamination` doesn't find contaminated.
+
+    Decided by the text alone, on its SHA-256: ids may be NULL or repeat. The hashes are written
+    first, so that the engine can split a text that many rows hold.
+    """
+    digest = F.unhex(F.sha2(utf8(F.col("text")), 256))
+    bad = written(contamination(docs, benchmark, window, share, digest).filter("contaminated")
+                  .select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    return docs.join(bad, digest == F.col("__bad"), "left_anti")

@@ -39,10 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth of the words lies in benchmark windows go; all rows of their ids."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), window=13)
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """Documents of which a twentieth of the words lies in benchmark windows go, row by row."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), window=13)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,17 @@ def test_empty_tables(spark, docs_of, tmp_path):
         f"{tmp_path}/benchmark.parquet")
     docs_of([]).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark, docs_of, tmp_path):
+    item = " ".join(f"exam{i}" for i in range(20))
+    clean = " ".join(f"plain{i}" for i in range(50))
+    rows = [(1, item + " end"), (1, clean), (None, item), (None, clean + " x"), (None, None),
+            (None, ""), (2, item + " end"), (1, clean)]
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    docs = docs_of(rows)
+    kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(1, clean), (1, clean), (None, clean + " x"), (None, None), (None, "")], key=str)
