@@ -104,3 +104,15 @@ def test_the_sample_is_bounded_and_holds_out(spark, docs_of):
     learn = fold_of(F.col("doc_id"), 3) != 1
     got = labelled_sample(docs_of(rows), labels, "toxic", learn, 50)
     assert got.count() == 50 and got.filter(~learn).count() == 0
+
+
+def test_the_sample_takes_one_row_of_a_repeated_id(spark, docs_of):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, 0), (3, 1, 0)],
+                                   "doc_id long, quality int, toxic int")
+    rows = [(1, f"text {k % 7}") for k in range(60)] + [(2, "a"), (3, None), (3, None), (4, "b"),
+                                                        (None, "c")]
+    first, again = ([(r.doc_id, bytes(r.text), r.y) for r in labelled_sample(
+        docs_of(own), labels, "quality", F.lit(True), 3).orderBy("doc_id").collect()]
+        for own in (rows, rows[::-1]))
+    assert first == again and [(i, y) for i, _, y in first] == [(1, 1), (2, 1), (3, 1)]
+    assert first[0][1].startswith(b"text ") and [t for _, t, _ in first[1:]] == [b"a", b""]
