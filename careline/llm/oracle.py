@@ -153,7 +153,71 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 FROM roles
 """
 
+#: The shares by their definition, an average over all orders.
+AUDIT = r"""
+WITH texts AS (
+  SELECT d.doc_id, coalesce(d.source, '') AS part, coalesce(d.text, '') AS s,
+         coalesce(l.quality = 1, false)::INT AS good, coalesce(l.toxic = 1, false)::INT AS toxic
+  FROM documents d
+  LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic
+             FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id),
+split AS (
+  SELECT *, list_filter(string_split_regex(s, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM texts),
+marked AS (
+  SELECT part, good, toxic,
+         (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+         + 4 * (100 * length(regexp_replace(s, '[^A-Z]', '', 'g')) > 2 * length(s))::INT
+         + 8 * regexp_matches(s, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY s), false)::INT AS fails
+  FROM split),
+cells AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM marked GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS letter,
+         list_sum(list_transform(range(1, step), lambda i:
+           1 << (ascii(substr(filter_order, i::INT, 1)) - 65)))::INT AS earlier,
+         1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit
+  FROM (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM orders)),
+done AS (
+  SELECT part, filter_order, step, letter,
+         sum(CASE WHEN fails & (coalesce(earlier, 0) | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN fails & coalesce(earlier, 0) = 0 AND fails & bit > 0 THEN n ELSE 0 END)
+           AS removed,
+         sum(CASE WHEN fails & coalesce(earlier, 0) > 0 AND fails & bit > 0 THEN n ELSE 0 END)
+           AS redundant,
+         sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN fails & coalesce(earlier, 0) = 0 AND fails & bit > 0 THEN good ELSE 0 END)
+           AS good_lost,
+         sum(CASE WHEN fails & coalesce(earlier, 0) = 0 AND fails & bit > 0 THEN toxic ELSE 0 END)
+           AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM done
+"""
+
+RADIX = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS s
+  FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id,
+       count(*) OVER (PARTITION BY s) AS group_size,
+       row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS LAST) = 1 AS kept,
+       sha256(s) AS text_sha256
+FROM texts
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_lattice": LATTICE, "op3_sharding": SHARDING,
-            "op4_decontamination": DECONTAMINATION, "op8_warc": WARC}
+            "op4_decontamination": DECONTAMINATION, "op8_warc": WARC, "op11_audit": AUDIT,
+            "op12_radix": RADIX}

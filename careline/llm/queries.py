@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careline.llm import (
+    audit,
     decontaminate,
     lattice,
     ngram,
     pieces,
     quality,
+    radix,
     ring,
     secrets,
     simhash,
@@ -101,7 +103,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         listed(F.col("secrets")).alias("spans"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_lattice, op3_sharding, op4_decontamination, op5_quality, op6_pieces,
-        op7_lm, op8_warc, op9_simhash, op10_secrets)}
+        op7_lm, op8_warc, op9_simhash, op10_secrets, op11_audit, op12_radix)}
