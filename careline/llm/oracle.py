@@ -216,8 +216,53 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id,
 FROM texts
 """
 
+#: All phrases are counted; what is contained is looked for in every longer phrase.
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang,
+         list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> '') AS words
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                           'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+        FROM documents)),
+places AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces WHERE len(words) > 0),
+sized AS (SELECT lang, words, i, unnest(range(1, 6)) AS k FROM places),
+counted AS (
+  SELECT lang, k, words[i:i + k - 1] AS phrase, count(*) AS f
+  FROM sized WHERE i + k - 1 <= len(words) GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::HUGEINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT * FROM counted WHERE f >= 100),
+candidates AS (SELECT * FROM frequent WHERE k >= 2),
+inner_parts AS (
+  SELECT lang, phrase[j:j + m - 1] AS part, max(f) AS f
+  FROM (SELECT lang, phrase, k, f, m, unnest(range(1, k - m + 2)) AS j
+        FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates WHERE k >= 3))
+  GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM candidates c
+  LEFT JOIN inner_parts i ON i.lang = c.lang AND i.part = c.phrase
+  WHERE i.f IS NULL OR 100 * i.f < 100 * c.f),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.cut, x.f AS l, y.f AS r, s.n,
+         (1000::HUGEINT * c.f * s.n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c
+  JOIN frequent x ON x.lang = c.lang AND x.phrase = c.phrase[1:c.cut]
+  JOIN frequent y ON y.lang = c.lang AND y.phrase = c.phrase[c.cut + 1:c.k]
+  JOIN sizes s ON s.lang = c.lang),
+lowest AS (
+  SELECT * FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+named AS (SELECT *, array_to_string(phrase, ' ') AS joined FROM lowest)
+SELECT lang, rank, joined AS phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, joined) AS rank
+      FROM named)
+WHERE rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_lattice": LATTICE, "op3_sharding": SHARDING,
             "op4_decontamination": DECONTAMINATION, "op8_warc": WARC, "op11_audit": AUDIT,
-            "op12_radix": RADIX}
+            "op12_radix": RADIX, "op13_collocations": COLLOCATIONS}

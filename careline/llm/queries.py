@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from careline.llm import (
     audit,
+    collocations,
     decontaminate,
     lattice,
     ngram,
@@ -111,7 +112,12 @@ def op12_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_lattice, op3_sharding, op4_decontamination, op5_quality, op6_pieces,
-        op7_lm, op8_warc, op9_simhash, op10_secrets, op11_audit, op12_radix)}
+        op7_lm, op8_warc, op9_simhash, op10_secrets, op11_audit, op12_radix,
+        op13_collocations)}
