@@ -31,7 +31,8 @@ def exact_groups(docs: DataFrame, width: int = WIDTH, growth: int = GROWTH) -> D
     alone are done. Length goes before the first byte, so all texts of a group end in the same
     round, and a group that got there agrees in every byte: equality needs no digest (the one in the
     result is only reported). A group's rows are counted where they lie before anything is sent, and
-    a round's groups are written, so that the engine can split the rows of a hot group in the join.
+    a round's groups are written, so that the engine can split the rows of a hot group in the join. The
+    join is by sorting at every size: the groups grow with the table, and so may not be broadcast.
 
     Of equal texts the row with the smallest doc_id is kept; one without id only if no row of the group
     has an id; of several with that id one. NULL and empty texts are equal. Texts of any length are
@@ -46,7 +47,7 @@ def exact_groups(docs: DataFrame, width: int = WIDTH, growth: int = GROWTH) -> D
     at, next_width = width, width * growth
     repeated = F.col("name").isNotNull()
     rows = written(
-        texts.join(groups, ["n", "head"], "left").select(
+        texts.join(groups.hint("merge"), ["n", "head"], "left").select(
             F.monotonically_increasing_id().alias("row"), "doc_id", "n", "name",
             F.sha2("t", 256).alias("text_sha256"),
             F.when(repeated, F.expr(f"substring(t, {at + 1}, {next_width})")).alias("head"),
@@ -65,7 +66,7 @@ def exact_groups(docs: DataFrame, width: int = WIDTH, growth: int = GROWTH) -> D
         shared = F.col("next_name").isNotNull()
         going_on = shared & (F.col("n") > at)
         split = written(
-            active.join(groups, ["name", "head"], "left").select(
+            active.join(groups.hint("merge"), ["name", "head"], "left").select(
                 "row", "doc_id", "n", "text_sha256",
                 F.when(going_on, F.col("next_name")).alias("name"),
                 F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
