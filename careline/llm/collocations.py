@@ -27,7 +27,7 @@ BLOCK = 1 << 21
 PART = 1 << 23
 #: Phrases of a block in one row of a written table.
 CHUNK = 1 << 16
-#: An id holds in its low bits the tick in which its phrase reached the threshold.
+#: An id holds in its low bits the tick in which its phrase reached the threshold; none is zero.
 TICK_BITS = 6
 BREAK, NOTHING = -1, -2
 
@@ -293,7 +293,7 @@ class _Counting:
             .agg(F.sum("c").alias("upto"), now.alias("here"))
             .filter((F.col("here") > 0) & (F.col("upto") >= self.least)
                     & (F.col("upto") - F.col("here") < self.least))
-            .select(*self._key(length), (F.monotonically_increasing_id() * (1 << TICK_BITS)
+            .select(*self._key(length), ((F.monotonically_increasing_id() + 1) * (1 << TICK_BITS)
                                          + tick).alias("id")), f"reached-{tick}-{length}")
         if not found.isEmpty():
             self.reached[tick, length] = found
