@@ -198,10 +198,15 @@ def _extract(s: Star, frame: DataFrame, columns, values: dict[str, Column], mark
     return folder
 
 
+# How times are written in the extracts: as usual, without separators, or without seconds, which is no time.
+TIME_LAYOUTS = {"time": "yyyy-MM-dd HH:mm:ss", "compact": "yyyyMMddHHmmss",
+                "minutes": "yyyy-MM-dd HH:mm"}
+
+
 def _text(name: str, kind: str = "text") -> Column:
     c = F.col(name)
-    if kind == "time":
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    if kind in TIME_LAYOUTS:
+        return F.date_format(c, TIME_LAYOUTS[kind])
     return F.replace(c.cast("string"), F.lit("."), F.lit(",")) if kind == "number" else c.cast("string")
 
 
@@ -217,11 +222,21 @@ def _scan_delimited(s: Star) -> DataFrame:
 
 
 def _scan_steps(s: Star) -> DataFrame:
-    """Steps exported and read back; every tenth patient's trimmed id is `NA`."""
+    """Steps exported and read back; every tenth patient's trimmed id is `NA`.
+
+    Times stand in several layouts by process: without separators, two hours on with their zone, and
+    without seconds.
+    """
+    process = F.col("process_id")
+    later = F.date_format(F.col("step_ts") + F.expr("INTERVAL '2' HOUR"), "yyyy-MM-dd'T'HH:mm:ss")
     values = {"nhc": _text("nhc"), "cip": _text("cip"), "process_id": _text("process_id"),
               "drug_code": _text("drug_code"), "drug_name": _text("drug_name"),
-              "process_start": _text("process_start", "time"),
-              "process_end": _text("process_end", "time"), "step_ts": _text("step_ts", "time"),
+              "process_start": F.when(process % 2 == 1, _text("process_start", "compact"))
+              .otherwise(_text("process_start", "time")),
+              "process_end": F.when(process % 5 == 0, _text("process_end", "minutes"))
+              .otherwise(_text("process_end", "time")),
+              "step_ts": F.when(process % 3 == 0, F.concat(later, F.lit("+02:00")))
+              .otherwise(_text("step_ts", "time")),
               "step_no": _text("step_no"), "score": _text("score", "number"),
               "step_code": _text("tie1")}
     folder = _extract(s, s.steps, T.STEP_COLUMNS, values, F.col("nhc").cast("bigint") % 10 == 0)

@@ -14,10 +14,23 @@ from pyspark.sql import functions as F
 from careline.functions.text import drop_last_character, integer_of
 from careline.operators.dispensing import valid_ids, with_posology
 
-# Year (of four digits, or of two), month, day, hour, minute, second with any separators;
-# a date without time does not qualify.
-DATE_TIME = (r"^\D*(\d{4}|\d{2}(?=\D))\D?(\d{1,2})\D?(\d{1,2})\D+(\d{1,2})\D?(\d{1,2})\D?"
-             r"(\d{1,2}(?:\.\d+)?)\D*$")
+_ZONE = r"\s*(Z|[+-]\d{2}(?::?\d{2})?)?\s*$"
+_SECOND = r"(\d{2}(?:\.\d+)?)"
+# Layouts of a date and time, tried in order; each covers the whole text. A time without seconds and a
+# date without time fit none, and of texts without separators only those with a year of four digits do.
+DATE_TIMES = (
+    # separators between all parts, a year of four digits or of two
+    r"^\s*(\d{4}|\d{2})[^0-9A-Za-z]+(\d{1,2})[^0-9A-Za-z]+(\d{1,2})(?:[^0-9A-Za-z]+|[Tt])"
+    r"(\d{1,2})[^0-9A-Za-z]+(\d{1,2})[^0-9A-Za-z]+(\d{1,2}(?:\.\d+)?)" + _ZONE,
+    # no separators but, perhaps, one between date and time
+    r"^\s*(\d{4})(\d{2})(\d{2})(?:[Tt]|[^0-9A-Za-z]+)?(\d{2})(\d{2})" + _SECOND + _ZONE,
+    # a date with separators, a time without
+    r"^\s*(\d{4})[^0-9A-Za-z]+(\d{1,2})[^0-9A-Za-z]+(\d{1,2})(?:[^0-9A-Za-z]+|[Tt])"
+    r"(\d{2})(\d{2})" + _SECOND + _ZONE,
+    # a date without separators, a time with
+    r"^\s*(\d{4})(\d{2})(\d{2})(?:[^0-9A-Za-z]+|[Tt])"
+    r"(\d{1,2})[^0-9A-Za-z]+(\d{1,2})[^0-9A-Za-z]+(\d{1,2}(?:\.\d+)?)" + _ZONE,
+)
 
 # Source column, canonical column and type of the three extracts.
 STEP_COLUMNS = (
@@ -110,14 +123,30 @@ def to_number(text: Column) -> Column:
     return F.replace(F.trim(text), F.lit(","), F.lit(".")).try_cast("double")
 
 
-def to_time(text: Column) -> Column:
-    """Timestamp from date and time text; NULL if it is none. Years 00-68 are 2000-2068, 69-99 1969-1999."""
-    parts = F.regexp_extract(text, DATE_TIME, 1)
-    short = parts.cast("int")
-    year = (F.when(F.length(parts) == 4, parts)
+def _in_layout(text: Column, layout: str) -> Column:
+    """Timestamp of a text in one layout; a zone behind it counts, without one it is UTC."""
+    year, zone = F.regexp_extract(text, layout, 1), F.regexp_extract(text, layout, 7)
+    short = year.try_cast("int")
+    year = (F.when(F.length(year) == 4, year)
              .otherwise((short + F.when(short <= 68, 2000).otherwise(1900)).cast("string")))
-    normal = F.concat(year, F.regexp_replace(text, DATE_TIME, "-$2-$3 $4:$5:$6"))
-    return F.when(text.rlike(DATE_TIME), F.try_to_timestamp(normal))
+    # +02 and +0200 are +02:00
+    zone = F.regexp_replace(zone, r"^([+-]\d{2}):?(\d{2})?$", "$1:$2")
+    zone = F.when(F.endswith(zone, F.lit(":")), F.concat(zone, F.lit("00"))).otherwise(zone)
+    return F.try_to_timestamp(F.concat(
+        year, F.regexp_replace(text, layout, "-$2-$3 $4:$5:$6"), zone))
+
+
+def to_time(text: Column) -> Column:
+    """Timestamp from date and time text in one of DATE_TIMES; NULL if it is in none.
+
+    Years 00-68 are 2000-2068, 69-99 1969-1999. A date or time that doesn't exist is NULL.
+    """
+    found = None
+    for layout in DATE_TIMES:
+        here = text.rlike(layout)
+        value = _in_layout(text, layout)
+        found = F.when(here, value) if found is None else found.when(here, value)
+    return found
 
 
 def typed_projection(frame: DataFrame) -> DataFrame:

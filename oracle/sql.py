@@ -330,7 +330,8 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     "scan_delimited": (("dispensings",), """SELECT nhc_raw, med_code, med_name, med_group, CAST(tie1 AS VARCHAR) AS episode,
   national_code, dispensed_at, qty FROM dispensings WHERE CAST(nhc_raw AS BIGINT) % 50 <> 0"""),
     "scan_steps": (("steps",), """SELECT CASE WHEN CAST(nhc AS BIGINT) % 10 <> 0 THEN nhc END AS nhc, cip, process_id, drug_code, drug_name,
-  process_start, process_end, step_ts, CAST(step_no AS INT) AS step_no, score, CAST(tie1 AS VARCHAR) AS step_code FROM steps"""),
+  process_start, CASE WHEN process_id % 5 <> 0 THEN process_end END AS process_end, step_ts,
+  CAST(step_no AS INT) AS step_no, score, CAST(tie1 AS VARCHAR) AS step_code FROM steps"""),
     "scan_prescriptions": (("presc",), """SELECT presc_nhc_raw, nhc, prescription_id, med_code, presc_national_code,
   CAST(dose AS DOUBLE) AS dose, freq_type, freq_code, freq_desc, valid_from, valid_to, posology_days FROM presc
   WHERE CAST(presc_nhc_raw AS BIGINT) % 50 <> 0"""),

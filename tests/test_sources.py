@@ -93,3 +93,18 @@ def test_partition_columns_keep_their_type(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "t"))
     assert dict(back.dtypes)["med_group"] == "string"
     assert {r.med_group for r in back.collect()} == {"007", "7"}
+
+
+def test_layouts_of_times(spark):
+    at = dt.datetime
+    want = {"20200105103000": at(2020, 1, 5, 10, 30), "2020-01-05 10:30": None, "2020-01-05 1030": None,
+            "20200105 103007.5": at(2020, 1, 5, 10, 30, 7, 500_000), "202001051030": None,
+            "20200105T103000Z": at(2020, 1, 5, 10, 30), "2020-1-5 9:03:04": at(2020, 1, 5, 9, 3, 4),
+            "2020-01-05T10:30:00+02:00": at(2020, 1, 5, 8, 30), "2020-01-05 10:30:00 -0130": at(2020, 1, 5, 12),
+            "2020-01-05 10:30:00+01": at(2020, 1, 5, 9, 30), "20/01/05 10.30.00": at(2020, 1, 5, 10, 30),
+            "70-01-05 10:30:00": at(1970, 1, 5, 10, 30), "2020-01-05 103000": at(2020, 1, 5, 10, 30),
+            "20200105 10:30:00": at(2020, 1, 5, 10, 30), "2020-02-30 10:30:00": None, "20200105": None,
+            "2020-01-05": None, "2020-01-05 25:00:00": None, "": None, "NA": None, "10:30:00": None,
+            "2020-01-05 10:30:00 x": None, " 2020-01-05 10:30:00 ": at(2020, 1, 5, 10, 30), None: None}
+    rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", T.to_time(F.col("t")).alias("at"))
+    assert {r.t: r["at"] for r in rows.collect()} == want
