@@ -7,8 +7,6 @@ whatever the number of dispensings, and the ordered windows run over it.
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,10 +97,10 @@ def frequent_drugs(patients: DataFrame, more_than: int = 100) -> DataFrame:
             .select("med_group", "patients", F.row_number().over(by_patients).alias("position")))
 
 
-def top_drugs(counts: DataFrame, ranked: DataFrame, positions) -> DataFrame:
-    """Counts of the drug groups at the given positions of the ranking."""
-    chosen = ranked.filter(F.col("position").isin(*positions)).select("med_group", "position")
-    return join_on(counts, chosen, ["med_group"])
+def ranked_counts(counts: DataFrame, ranked: DataFrame, positions=None) -> DataFrame:
+    """Counts of the ranked drug groups: all of them, or those at the given positions."""
+    chosen = ranked if positions is None else ranked.filter(F.col("position").isin(*positions))
+    return join_on(counts, chosen.select("med_group", "position"), ["med_group"])
 
 
 def kaplan_meier(counts: DataFrame) -> DataFrame:
@@ -141,92 +139,100 @@ def comparison_name(positions) -> str:
     return "_".join(str(p) for p in positions)
 
 
-def _compared(counts: DataFrame, comparisons) -> DataFrame:
-    """Per comparison and time: rows at risk and events of each compared drug.
+def memberships(counts: DataFrame, comparisons=COMPARISONS, whole: str | None = None) -> DataFrame:
+    """(comparison, position, med_group): the drugs of each comparison.
+
+    `comparisons` name positions of the ranking; one that no drug holds has no row. `whole` is the
+    name of one more comparison of all drugs there are.
+    """
+    ranked = counts.select("position", "med_group").distinct()
+    names = [F.when(F.col("position").isin(*c), F.lit(comparison_name(c))) for c in comparisons]
+    if whole is not None:
+        names.append(F.lit(whole))
+    return (ranked.select(F.explode(F.array(*names)).alias("comparison"), "position", "med_group")
+            .filter(F.col("comparison").isNotNull()))
+
+
+def _at_risk(counts: DataFrame, comparisons, whole: str | None) -> DataFrame:
+    """(comparison, months, position, n, d, r): every drug of a comparison at every time of it.
 
-    Position p of the ranking has the columns r{p} and d{p}; a drug outside the
-    comparison has zeros.
+    A drug is at risk also at times at which only others have rows, so the table has as many rows
+    as times and drugs of each comparison multiply to, whatever the number of dispensings.
     """
-    positions = sorted({p for c in comparisons for p in c})
-    memberships = F.array(*[
-        F.when(F.col("position").isin(*c), F.lit(comparison_name(c))) for c in comparisons])
-    sums = []
-    for p in positions:
-        here = F.col("position") == p
-        sums += [F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias(f"n{p}"),
-                 F.coalesce(F.sum(F.when(here, F.col("d"))), F.lit(0)).alias(f"d{p}")]
-    by_time = (counts.select("position", "months", "n", "d",
-                             F.explode(memberships).alias("comparison"))
-               .filter(F.col("comparison").isNotNull())
-               .groupBy("comparison", "months").agg(*sums))
-    later = (Window.partitionBy("comparison").orderBy("months")
+    members = memberships(counts, comparisons, whole)
+    own = join_on(members, counts.select("med_group", "months", "n", "d"), ["med_group"])
+    times = own.select("comparison", "months").distinct()
+    grid = times.join(members.select("comparison", "position"), "comparison")
+    filled = grid.join(own.select("comparison", "months", "position", "n", "d"),
+                       ["comparison", "months", "position"], "left").fillna(0, ["n", "d"])
+    later = (Window.partitionBy("comparison", "position").orderBy("months")
              .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return by_time.withColumns({f"r{p}": F.sum(f"n{p}").over(later) for p in positions})
-
-
-def _logrank_sums(counts: DataFrame, comparisons) -> DataFrame:
-    """Per comparison: rows, observed and expected events, covariances per position."""
-    positions = sorted({p for c in comparisons for p in c})
-    at_risk = sum((F.col(f"r{p}") for p in positions[1:]), F.col(f"r{positions[0]}"))
-    events = sum((F.col(f"d{p}") for p in positions[1:]), F.col(f"d{positions[0]}"))
-    table = (_compared(counts, comparisons)
-             .withColumn("r", at_risk.cast("double")).withColumn("d", events.cast("double")))
-    share = {p: F.col(f"r{p}") / F.col("r") for p in positions}
-    spread = F.when(F.col("r") > 1,
-                    F.col("d") * (F.col("r") - F.col("d")) / (F.col("r") - 1.0)).otherwise(0.0)
-    sums = []
-    for p in positions:
-        sums += [F.sum(f"n{p}").alias(f"n{p}"), F.sum(f"d{p}").alias(f"o{p}"),
-                 F.sum(F.col("d") * share[p]).alias(f"e{p}")]
-    for p, q in combinations_with_replacement(positions, 2):
-        same = F.lit(1.0 if p == q else 0.0)
-        sums.append(F.sum(spread * share[p] * (same - share[q])).alias(f"v{p}_{q}"))
-    return table.groupBy("comparison").agg(*sums)
-
-
-def logrank_observed_expected(counts: DataFrame, comparisons=COMPARISONS) -> DataFrame:
-    """Observed and expected events of every drug in every comparison."""
-    positions = sorted({p for c in comparisons for p in c})
-    entries = F.array(*[
-        F.when(F.array_contains(F.split("comparison", "_"), str(p)), F.struct(
-            F.lit(p).alias("position"), F.col(f"n{p}").alias("n"),
-            F.col(f"o{p}").alias("observed"), F.col(f"e{p}").alias("expected")))
-        for p in positions])
-    names = counts.select("position", "med_group").distinct()
-    rows = (_logrank_sums(counts, comparisons)
-            .select("comparison", F.explode(entries).alias("x"))
-            .filter(F.col("x").isNotNull()).select("comparison", "x.*"))
-    return join_on(rows, names, ["position"])
-
-
-def logrank_test(counts: DataFrame, comparisons=COMPARISONS) -> DataFrame:
-    """Statistic and p-value of every comparison, each from its own statistic.
-
-    A position of the ranking that no drug holds does not take part; with a single
-    drug left there is no statistic.
+    return filled.withColumn("r", F.sum("n").over(later))
+
+
+def _shares(at_risk: DataFrame) -> DataFrame:
+    """`at_risk` with each drug's share of the rows at risk, and the time's events and spread."""
+    total = at_risk.groupBy("comparison", "months").agg(
+        F.sum("r").cast("double").alias("all_r"), F.sum("d").cast("double").alias("all_d"))
+    spread = F.when(F.col("all_r") > 1, F.col("all_d") * (F.col("all_r") - F.col("all_d"))
+                    / (F.col("all_r") - 1.0)).otherwise(0.0)
+    return (at_risk.join(total, ["comparison", "months"])
+            .withColumn("share", F.col("r") / F.col("all_r")).withColumn("spread", spread))
+
+
+def _observed_expected(shares: DataFrame) -> DataFrame:
+    return shares.groupBy("comparison", "position").agg(
+        F.sum("n").alias("n"), F.sum("d").alias("observed"),
+        F.sum(F.col("all_d") * F.col("share")).alias("expected"))
+
+
+def logrank_observed_expected(counts: DataFrame, comparisons=COMPARISONS,
+                              whole: str | None = None) -> DataFrame:
+    """Observed and expected events of every drug of `memberships` in its comparisons."""
+    rows = _observed_expected(_shares(_at_risk(counts, comparisons, whole)))
+    return join_on(rows, counts.select("position", "med_group").distinct(), ["position"])
+
+
+def logrank_covariance(counts: DataFrame, comparisons=COMPARISONS,
+                       whole: str | None = None) -> DataFrame:
+    """(comparison, p, q, covariance) of the events of each pair of drugs, p <= q.
+
+    One row per time and pair is reduced by pair, so the number of drugs is free.
+    """
+    return _covariance(_shares(_at_risk(counts, comparisons, whole)))
+
+
+def _covariance(shares: DataFrame) -> DataFrame:
+    a = shares.select("comparison", "months", F.col("position").alias("p"),
+                      F.col("share").alias("share_p"), "spread")
+    b = shares.select("comparison", "months", F.col("position").alias("q"),
+                      F.col("share").alias("share_q"))
+    same = F.when(F.col("p") == F.col("q"), 1.0).otherwise(0.0)
+    return (a.join(b, ["comparison", "months"]).filter(F.col("p") <= F.col("q"))
+            .groupBy("comparison", "p", "q")
+            .agg(F.sum(F.col("spread") * F.col("share_p") * (same - F.col("share_q")))
+                 .alias("covariance")))
+
+
+def logrank_test(counts: DataFrame, comparisons=COMPARISONS, whole: str | None = None) -> DataFrame:
+    """Statistic and p-value of every comparison of `memberships`, each from its own statistic.
+
+    A drug without rows does not take part; with a single drug left there is no statistic. The last
+    step has one row per comparison, with its matrix.
     """
-    def distances(c) -> Column:
-        return F.array(*[F.col(f"o{p}") - F.col(f"e{p}") for p in c])
-
-    def covariances(c) -> Column:
-        return F.array(*[F.col(f"v{min(p, q)}_{max(p, q)}") for p in c for q in c])
-
-    def rows(c) -> Column:
-        return F.array(*[F.col(f"n{p}") for p in c])
-
-    def chosen(build) -> Column:
-        expression = None
-        for c in comparisons:
-            mine = F.col("comparison") == comparison_name(c)
-            expression = (F.when(mine, build(c)) if expression is None
-                          else expression.when(mine, build(c)))
-        return expression
-
-    return (_logrank_sums(counts, comparisons)
-            .select("comparison", chosen(distances).alias("distance"),
-                    chosen(covariances).alias("covariance"), chosen(rows).alias("rows"))
+    shares = _shares(_at_risk(counts, comparisons, whole))
+    entry = F.struct(F.col("position"), (F.col("observed") - F.col("expected")).alias("distance"),
+                     F.col("n"))
+    distances = (_observed_expected(shares).groupBy("comparison")
+                 .agg(F.array_sort(F.collect_list(entry)).alias("drugs")))
+    half = _covariance(shares)
+    mirrored = half.unionByName(half.filter(F.col("p") < F.col("q")).select(
+        "comparison", F.col("q").alias("p"), F.col("p").alias("q"), "covariance"))
+    matrices = mirrored.groupBy("comparison").agg(F.array_sort(F.collect_list(
+        F.struct("p", "q", "covariance"))).alias("cells"))
+    return (distances.join(matrices, "comparison")
             .select("comparison",
-                    quadratic_form(F.col("distance"), F.col("covariance"), F.col("rows"))
-                    .alias("chisq"),
-                    (F.size(F.filter("rows", lambda n: n > 0)) - 1).alias("df"))
+                    quadratic_form(F.col("drugs.distance"), F.col("cells.covariance"),
+                                   F.col("drugs.n")).alias("chisq"),
+                    (F.size(F.filter("drugs", lambda x: x["n"] > 0)) - 1).alias("df"))
             .withColumn("p_value", chisq_p_value(F.col("chisq"), F.col("df").cast("double"))))

@@ -122,7 +122,16 @@ class Star:
 
     @cached_property
     def compared(self) -> DataFrame:
-        return K.top_drugs(K.persistence_counts(self.cohort_rows), self.ranked, (1, 2, 3, 4))
+        """Written: a row for each time of a frequent drug, where curves and tests start."""
+        return written(K.ranked_counts(K.persistence_counts(self.cohort_rows), self.ranked), "counts")
+
+    @cached_property
+    def leading(self) -> DataFrame:
+        return K.kaplan_meier(self.compared.filter(F.col("position") <= 4))
+
+    @cached_property
+    def curves(self) -> DataFrame:
+        return K.kaplan_meier(self.compared)
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -318,7 +327,9 @@ CHECKED = {
     ("persistence", "chisq_age"): "chisq df p_value",
     ("persistence", "curves"): "months at_risk events survival",
     ("persistence", "medians"): "median_months med_group$",
-    ("persistence", "logrank"): "chisq df p_value", ("paths", "top_20"): "n path$",
+    ("persistence", "logrank"): "chisq df p_value", ("persistence", "all_logrank"): "chisq df p_value",
+    ("persistence", "all_curves"): "months at_risk events survival",
+    ("persistence", "all_medians"): "median_months med_group$", ("paths", "top_20"): "n path$",
     ("paths", "flows"): "n first_drug$ second_drug$",
     ("paths", "all_paths"): "n position mean_months sd_months max_months",
     ("paths", "lines"): "position months med_group$", ("paths", "patients"): "position months path$",
@@ -449,12 +460,19 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
         *D.present(s.cohort_rows, D.DISPENSED), *D.PRESCRIBED, "sex", "months", "is_last"),
     "persistence_counts": lambda s: K.persistence_counts(s.cohort_rows),
     "frequent_drugs": lambda s: s.ranked,
-    "km_curve": lambda s: rounded(K.kaplan_meier(s.compared), "survival"),
-    "km_median": lambda s: rounded(K.median_survival(K.kaplan_meier(s.compared)),
-                                   "median_months"),
+    "km_curve": lambda s: rounded(s.leading, "survival"),
+    "km_median": lambda s: rounded(K.median_survival(s.leading), "median_months"),
     "logrank_observed_expected": lambda s: rounded(
         K.logrank_observed_expected(s.compared), "expected"),
     "logrank_test": lambda s: rounded(K.logrank_test(s.compared), "chisq", "p_value"),
+    # the same over all frequent drugs
+    "km_curve_all": lambda s: rounded(s.curves, "survival"),
+    "km_median_all": lambda s: rounded(K.median_survival(s.curves), "median_months"),
+    "logrank_all_observed_expected": lambda s: rounded(
+        K.logrank_observed_expected(s.compared, (), "all"), "expected"),
+    "logrank_covariance_all": lambda s: rounded(
+        K.logrank_covariance(s.compared, (), "all"), "covariance"),
+    "logrank_all": lambda s: rounded(K.logrank_test(s.compared, (), "all"), "chisq", "p_value"),
     # treatment lines
     "multi_drug_patients": lambda s: N.multi_drug_patients(s.fine).select(
         "nhc", "med_group", "med_name", "dispensed_at", "qty", "tie2", "tie3", "tie4", "tie5"),

@@ -79,9 +79,9 @@ def persistence_tables(valid: DataFrame, patients: DataFrame, excluded_drug: str
     people = C.cohort_patients(valid, patients)
     rows = C.cohort_rows(valid, people)
     ranked = K.frequent_drugs(C.patients_by_drug(people), more_than)
-    counts = K.persistence_counts(rows)
-    compared = K.top_drugs(counts, ranked, (1, 2, 3, 4))
-    curve = K.kaplan_meier(compared)
+    counts = shared_table(K.ranked_counts(K.persistence_counts(rows), ranked), "counts")
+    curve = K.kaplan_meier(counts.filter(F.col("position") <= 4))
+    every_curve = K.kaplan_meier(counts)
     sexes = C.crosstab(people, "sex", sex_levels, excluded_drug)
     ages = C.crosstab(people, "age_band", list(C.AGE_COLUMNS), excluded_drug)
     return {
@@ -94,7 +94,10 @@ def persistence_tables(valid: DataFrame, patients: DataFrame, excluded_drug: str
         "chisq_age": Table(C.with_p_value(C.chisq_independence(ages))),
         "curves": Table(curve, ["med_group", "months"]),
         "medians": Table(K.median_survival(curve), ["med_group"]),
-        "logrank": Table(K.logrank_test(compared), ["comparison"]),
+        "all_curves": Table(every_curve, ["med_group", "months"]),
+        "all_medians": Table(K.median_survival(every_curve), ["med_group"]),
+        "logrank": Table(K.logrank_test(counts), ["comparison"]),
+        "all_logrank": Table(K.logrank_test(counts, (), "all"), ["comparison"]),
     }
 
 

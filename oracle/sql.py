@@ -219,6 +219,21 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
   CAST(sum(d) OVER (PARTITION BY med_group ORDER BY months ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative_events
   FROM (SELECT *, sum(n) OVER (PARTITION BY med_group ORDER BY months ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at_risk
    FROM counts JOIN ranked USING (med_group) WHERE position <= 4)"""),
+    "allkm": (("counts", "ranked"), """SELECT med_group, months, CAST(at_risk AS BIGINT) AS at_risk, d AS events, n - d AS censored,
+  product(1 - d / at_risk::DOUBLE) OVER (PARTITION BY med_group ORDER BY months ROWS UNBOUNDED PRECEDING) AS survival,
+  CAST(sum(d) OVER (PARTITION BY med_group ORDER BY months ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative_events
+  FROM (SELECT *, sum(n) OVER (PARTITION BY med_group ORDER BY months ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at_risk
+   FROM counts JOIN ranked USING (med_group))"""),
+    "allgrid": (("counts", "ranked"), """SELECT *, sum(r) OVER t AS rt, sum(d) OVER t AS dt FROM (
+   SELECT t.months, g.position, g.med_group, coalesce(c.n, 0) AS n, coalesce(c.d, 0) AS d,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY g.position ORDER BY t.months ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r
+   FROM (SELECT DISTINCT c.months FROM ranked JOIN counts c USING (med_group)) t CROSS JOIN ranked g
+   LEFT JOIN counts c ON c.med_group = g.med_group AND c.months = t.months) WINDOW t AS (PARTITION BY months)"""),
+    "alloe": (("allgrid",), """SELECT 'all' AS comparison, CAST(position AS INT) AS position, med_group, CAST(sum(n) AS BIGINT) AS n,
+  CAST(sum(d) AS BIGINT) AS observed, sum(dt * r / rt::DOUBLE) AS expected FROM allgrid GROUP BY ALL"""),
+    "allcov": (("allgrid",), """SELECT 'all' AS comparison, CAST(a.position AS INT) AS p, CAST(b.position AS INT) AS q, sum(CASE WHEN a.rt > 1 THEN
+   a.dt * (a.rt - a.dt) / (a.rt - 1.0) * (a.r / a.rt::DOUBLE) * ((a.position = b.position)::INT - b.r / b.rt::DOUBLE) ELSE 0 END) AS covariance
+  FROM allgrid a JOIN allgrid b USING (months) GROUP BY ALL"""),
     "sets": ((), """SELECT * FROM (VALUES ('1_2_3_4', 1), ('1_2_3_4', 2), ('1_2_3_4', 3), ('1_2_3_4', 4), ('1_2', 1), ('1_2', 2),
   ('1_3', 1), ('1_3', 3), ('1_4', 1), ('1_4', 4)) s(comparison, position)"""),
     "grid": (("counts", "ranked", "sets"), """SELECT t.comparison, t.months, g.position, g.med_group,
@@ -324,6 +339,21 @@ _LOGRANK = f"""SELECT * FROM (WITH d AS (SELECT comparison, position AS p, obser
  SELECT comparison, {rnd('chisq', 6)} AS chisq, df, {rnd(chisq_tail('chisq', 'df'), 6)} AS p_value FROM x)"""
 
 
+# The drugs but the last one with rows, by Gaussian elimination of the covariances with the distances behind them.
+_LOGRANK_ALL = f"""SELECT * FROM (WITH RECURSIVE own AS (SELECT position, row_number() OVER (ORDER BY position) AS i,
+  count(*) OVER () AS k, observed - expected AS z FROM alloe WHERE n > 0),
+ cells AS (SELECT a.i, a.k, a.z, list(c.covariance ORDER BY b.i) AS v FROM own a JOIN own b ON b.i < b.k
+  JOIN allcov c ON c.p = a.position AND c.q = b.position WHERE a.i < a.k GROUP BY ALL),
+ start AS (SELECT list(list_append(v, z) ORDER BY i) AS m, list(z ORDER BY i) AS z, any_value(k) AS k FROM cells),
+ steps AS (SELECT 0 AS c, m, z, k FROM start UNION ALL
+  SELECT c + 1, list_transform(m, lambda row, i: CASE WHEN i = c + 1 THEN row ELSE
+    list_transform(row, lambda x, j: x - row[c + 1] / m[c + 1][c + 1] * m[c + 1][j]) END), z, k
+  FROM steps WHERE c + 1 < k),
+ x AS (SELECT list_sum(list_transform(z, lambda y, i: y * m[i][k] / m[i][i])) AS chisq, CAST(k - 1 AS INT) AS df
+  FROM steps WHERE c + 1 = k)
+ SELECT 'all' AS comparison, {rnd('chisq', 6)} AS chisq, df, {rnd(chisq_tail('chisq', 'df'), 6)} AS p_value FROM x)"""
+
+
 # Query: (tables needed, final select) ------------------------------------------------
 
 SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -480,6 +510,13 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
   FROM km GROUP BY med_group)"""),
     "logrank_observed_expected": (("oe",), f"SELECT * REPLACE ({rnd('expected', 6)} AS expected) FROM oe"),
     "logrank_test": (("oe", "cov"), _LOGRANK),
+    "km_curve_all": (("allkm",), f"SELECT * REPLACE ({rnd('survival', 6)} AS survival) FROM allkm"),
+    "km_median_all": (("allkm",), f"""SELECT med_group, {rnd('(CASE WHEN next_at > half_at THEN (half_at + next_at) / 2 ELSE half_at END)', 6)} AS median_months FROM (
+  SELECT med_group, min(months) FILTER (WHERE survival <= 0.5 + 1.5e-8) AS half_at, min(months) FILTER (WHERE survival < 0.5 - 1.5e-8) AS next_at
+  FROM allkm GROUP BY med_group)"""),
+    "logrank_all_observed_expected": (("alloe",), f"SELECT * REPLACE ({rnd('expected', 6)} AS expected) FROM alloe"),
+    "logrank_covariance_all": (("allcov",), f"SELECT comparison, p, q, {rnd('covariance', 6)} AS covariance FROM allcov WHERE p <= q"),
+    "logrank_all": (("alloe", "allcov"), _LOGRANK_ALL),
     "multi_drug_patients": (("fine",), """SELECT nhc, med_group, med_name, dispensed_at, qty, tie2, tie3, tie4, tie5 FROM fine
   WHERE nhc IN (SELECT nhc FROM fine GROUP BY nhc HAVING count(DISTINCT coalesce(med_group, '?')) > 1)"""),
     "treatment_lines": (("lines",), "SELECT * FROM lines"),
@@ -528,7 +565,8 @@ REPORT_ROWS = {
     ("persistence", "by_drug_age"): "cohort_by_drug_age", ("persistence", "chisq_drug"): "chisq_drug",
     ("persistence", "chisq_sex"): "chisq_drug_sex", ("persistence", "chisq_age"): "chisq_drug_age",
     ("persistence", "curves"): "km_curve", ("persistence", "medians"): "km_median",
-    ("persistence", "logrank"): "logrank_test",
+    ("persistence", "logrank"): "logrank_test", ("persistence", "all_logrank"): "logrank_all",
+    ("persistence", "all_curves"): "km_curve_all", ("persistence", "all_medians"): "km_median_all",
     ("paths", "top_20"): "top_paths", ("paths", "flows"): "line_flows",
     ("paths", "all_paths"): "path_duration_stats", ("paths", "lines"): "treatment_lines",
     ("dosing", "combinations"): "dose_combinations",

@@ -150,3 +150,46 @@ def test_trend_line_and_crossings(spark):
     assert band[0].high - band[0].predicted == pytest.approx(half, abs=1e-9)
     test = {r.drug_code: r for r in R.with_p_value(R.trend_correlation(fit)).collect()}["X"]
     assert test.df == 11 and test.p_value < 1e-9 and test.low < test.r < test.high
+
+
+def test_logrank_of_any_number_of_drugs(spark):
+    """Seven drugs, of which one has no rows at most times, against the definition time by time."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = {}
+    for g in range(7):
+        for _ in range(1 if g == 6 else 40):
+            key = (f"D{g}", float(rng.randrange(12)))
+            n, d = rows.get(key, (0, 0))
+            rows[key] = (n + 2, d + rng.randrange(3))
+    table = counts(spark, [(*k, *v) for k, v in rows.items()]).withColumn(
+        "position", F.substring("med_group", 2, 1).cast("int") + 1)
+    z, v = np.zeros(7), np.zeros((7, 7))
+    for t in sorted({t for _, t in rows}):
+        r = np.array([sum(n for (g, x), (n, _) in rows.items() if g == f"D{k}" and x >= t) for k in range(7)])
+        d = np.array([rows.get((f"D{k}", t), (0, 0))[1] for k in range(7)])
+        share = r / r.sum()
+        z += d - d.sum() * share
+        if r.sum() > 1:
+            v += d.sum() * (r.sum() - d.sum()) / (r.sum() - 1) * (np.diag(share) - np.outer(share, share))
+    test = K.logrank_test(table, ((2, 5),), "all").collect()
+    whole = next(r for r in test if r.comparison == "all")
+    assert whole.df == 6 and whole.chisq == pytest.approx(z[:6] @ np.linalg.solve(v[:6, :6], z[:6]))
+    pair = next(r for r in test if r.comparison == "2_5")
+    groups = [[(t, e) for (g, t), (n, d) in rows.items() if g == name for e in [1] * d + [0] * (n - d)]
+              for name in ("D1", "D4")]
+    assert pair.df == 1 and pair.chisq == pytest.approx(naive_logrank(groups))
+    cells = {(r.p, r.q): r.covariance for r in K.logrank_covariance(table, (), "all").collect()}
+    assert len(cells) == 28
+    assert all(cells[p, q] == pytest.approx(v[p - 1, q - 1]) for p, q in cells)
+    parts = K.logrank_observed_expected(table, (), "all").collect()
+    assert {r.med_group: r.observed - r.expected for r in parts} == {
+        f"D{k}": pytest.approx(z[k], abs=1e-9) for k in range(7)}
+
+
+def test_logrank_of_no_drug(spark):
+    table = counts(spark, []).withColumn("position", F.lit(1))
+    assert K.logrank_test(table, (), "all").collect() == []
