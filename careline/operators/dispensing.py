@@ -138,8 +138,8 @@ def interval_join_by_code(rows: DataFrame, prescriptions: DataFrame, as_of: str
             .drop(*_NUMBERED))
 
 
-def point_in_time_posology(rows: DataFrame, prescriptions: DataFrame, as_of: str | None,
-                           slice_days: int = SLICE_DAYS) -> DataFrame:
+def point_in_time_posology(rows: DataFrame, prescriptions: DataFrame,
+                           as_of: str | None) -> DataFrame:
     """Posology in force at each dispensing, by patient and national code.
 
     Of several prescriptions in force the one that began first decides; NULL if
@@ -149,8 +149,7 @@ def point_in_time_posology(rows: DataFrame, prescriptions: DataFrame, as_of: str
     intervals = (prescriptions.select("nhc", "presc_national_code", "posology_days",
                                       "valid_from", "valid_to").distinct())
     return earliest_interval(events, intervals, ["nhc", ("national_code", "presc_national_code")],
-                             "dispensed_at", "valid_from", "valid_to", "posology_days", as_of,
-                             slice_days)
+                             "dispensed_at", "valid_from", "valid_to", "posology_days", as_of)
 
 
 def one_group_patients(rows: DataFrame, key: str = "nhc") -> DataFrame:

@@ -86,10 +86,15 @@ class Star:
     def prescriptions(self) -> DataFrame:
         return D.with_posology(self.table("prescriptions"))
 
+    @cached_property
+    def valid_once(self) -> DataFrame:
+        """For a query that starts from it once."""
+        return D.valid_dispensings(self.dispensed, self.prescriptions, AS_OF)
+
     @cached_property
     def valid(self) -> DataFrame:
         """Written, as several steps of a query start from it: one interval join for all."""
-        return written(D.valid_dispensings(self.dispensed, self.prescriptions, AS_OF), "valid")
+        return written(self.valid_once, "valid")
 
     @cached_property
     def treatments(self) -> DataFrame:
@@ -419,7 +424,7 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
         s.dispensed, s.prescriptions).select(*DISPENSED_ROW, *PRESCRIBED_ROW),
     "unmatched_dispensings": lambda s: D.unmatched_dispensings(
         s.dispensed, s.prescriptions).select(*DISPENSED_ROW, "prescription_id"),
-    "valid_dispensings": lambda s: s.valid,
+    "valid_dispensings": lambda s: s.valid_once,
     "interval_join_by_code": lambda s: D.interval_join_by_code(
         s.dispensed, s.prescriptions, AS_OF),
     "point_in_time_posology": lambda s: D.point_in_time_posology(
@@ -438,7 +443,7 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "coverage_summary_by_drug": lambda s: V.coverage_summary_by_drug(s.rated),
     "round_up_to": _round_up_to,
     "coverage_drug_totals": lambda s: V.totals_by_drug(s.rated),
-    "qc_overlaps": lambda s: D.overlap_counts(s.valid),
+    "qc_overlaps": lambda s: D.overlap_counts(s.valid_once),
     # cohort
     "naive_patients": lambda s: C.naive_rows(s.fine_valid),
     "naive_patients_total": lambda s: V.patients_total(C.naive_rows(s.fine_valid)),

@@ -82,8 +82,7 @@ def test_interval_join(spark, slice_days, as_of):
                 if key == k and inside(at, s, e)]
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(expected, key=str)
 
-    first = earliest_interval(frame, ranges, [("k", "key")], "at", "start", "end", "value", as_of,
-                              slice_days)
+    first = earliest_interval(frame, ranges, [("k", "key")], "at", "start", "end", "value", as_of)
     expected_first = []
     for k, at, i in ev:
         hits = [(s, v is None, v) for key, v, s, e in iv if key == k and inside(at, s, e)]
