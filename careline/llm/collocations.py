@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -15,7 +16,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careline.llm.common import LOWER, utf8, written
+from careline.llm.common import LOWER, scratch_path, utf8, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -197,6 +198,25 @@ def _scan(tick: int, shards: int, words: bool) -> Callable[[pa.Table], pa.Table]
 
 # Counting -----------------------------------------------------------------------
 
+PAIR = ["left", "right"]
+
+
+def _by_pair(rows: DataFrame, name: str, dealt: bool = False) -> DataFrame:
+    """The rows, written in buckets of their pair of ids: unless `dealt`, they are exchanged for it here.
+
+    Sums by pair and joins on it then read bucket by bucket. The catalogue entry that buckets need is
+    taken back at once; the frame keeps what it said.
+    """
+    spark, entry = rows.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows if dealt else rows.repartition(n, *PAIR)
+    (rows.write.bucketBy(n, *PAIR).sortBy(*PAIR)
+     .option("path", scratch_path(spark, name)).format("parquet").saveAsTable(entry))
+    kept = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return kept
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
@@ -214,7 +234,7 @@ class _Counting:
         self.counts: dict[tuple[int, int], DataFrame] = {}   # by tick and length
         self.reached: dict[tuple[int, int], DataFrame] = {}  # only tables with rows
         self.states: dict[tuple[int, int], DataFrame] = {}   # by shard and length of the known phrases
-        self.scans: dict[tuple[int, int], DataFrame] = {}    # by tick and length of the counted phrases
+        self.scans: dict[tuple[int, int], DataFrame] = {}    # (block, j, left, right, c), same key as counts
         tick = 0
         while tick < shards or any(self._news(tick, k) for k in range(1, longest)):
             self._tick(tick)
@@ -223,7 +243,7 @@ class _Counting:
             raise ValueError("too many shards for the ticks an id can hold")
 
     def _key(self, length: int) -> list[str]:
-        return ["lang", "word"] if length == 1 else ["left", "right"]
+        return ["lang", "word"] if length == 1 else PAIR
 
     def _news(self, tick: int, length: int) -> list[DataFrame]:
         """Phrases that reached the threshold since the shard of this tick was scanned last."""
@@ -234,11 +254,6 @@ class _Counting:
         return (self.blocks.filter(F.col("shard") == shard)
                 .select("block", F.posexplode("words").alias("j", "w")).select("block", "j", "w.*"))
 
-    def _counted(self, tick: int, length: int) -> DataFrame:
-        """(block, j, left, right, c) of the phrases that the tick counted."""
-        return (self.scans[tick, length].select("block", "base", F.posexplode("counted").alias("i", "p"))
-                .select("block", (F.col("base") + F.col("i")).alias("j"), "p.*"))
-
     def _tick(self, tick: int) -> None:
         """All lengths that are active, in the shard whose turn it is."""
         if tick < self.shards:
@@ -258,7 +273,7 @@ class _Counting:
             places = self.blocks.filter(F.col("shard") == shard).select(
                 "block", F.col("tokens").alias("a"), null.cast("binary").alias("b"))
         elif (shard, length - 1) in self.states:
-            asked = _all([self._counted(t, length) for t in (tick - self.shards, tick)
+            asked = _all([self.scans[t, length] for t in (tick - self.shards, tick)
                           if (t, length) in self.scans])
             places = self.states[shard, length - 1].filter("ids is not null").select(
                 "block", F.col("places").alias("a"), F.col("phrases").alias("b"))
@@ -276,12 +291,16 @@ class _Counting:
                 F.col("ids").alias("a"), F.col("places").alias("b"), F.col("phrases").alias("c")))
         scan = written(_all(rows).groupBy("block").applyInArrow(
             _scan(tick, self.shards, length == 1), STATE), f"scan-{tick}-{length + 1}")
-        self.states[shard, length] = self.scans[tick, length + 1] = scan
-        self._sum(self._counted(tick, length + 1), tick, length + 1)
+        self.states[shard, length] = scan
+        counted = (scan.select("block", "base", F.posexplode("counted").alias("i", "p"))
+                   .select("block", (F.col("base") + F.col("i")).alias("j"), "p.*"))
+        self.scans[tick, length + 1] = _by_pair(counted, f"counted_{tick}_{length + 1}")
+        self._sum(self.scans[tick, length + 1], tick, length + 1)
 
     def _sum(self, rows: DataFrame, tick: int, length: int) -> None:
-        self.counts[tick, length] = written(
-            rows.groupBy(*self._key(length)).agg(F.sum("c").alias("c")), f"counts-{tick}-{length}")
+        sums = rows.groupBy(*self._key(length)).agg(F.sum("c").alias("c"))
+        self.counts[tick, length] = (written(sums, f"counts-{tick}-{length}") if length == 1
+                                     else _by_pair(sums, f"counts_{tick}_{length}", dealt=True))
 
     def _reach(self, tick: int, length: int) -> None:
         """Phrases of which this tick's count reached the threshold, with ids."""
