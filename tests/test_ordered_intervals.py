@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from careline.operators.intervals import _sliced, earliest_interval, interval_join
 from careline.operators.ordered import sliced, with_previous
@@ -105,3 +106,75 @@ def test_far_ends_and_a_heavy_key(spark):
     assert [r.value for r in got.collect()] == [0.0] * 25
     joined = interval_join(frame, ranges, [("k", "key")], "at", "start", "end", None)
     assert joined.count() == sum(1 for d in range(25) for i in range(400) if i % 20 <= d)
+
+
+def test_rows_are_exchanged_once_and_nothing_is_written(spark, tmp_path):
+    rows, frame = events(spark)
+    frame.write.parquet(str(tmp_path / "t"))
+    got = with_previous(spark.read.parquet(str(tmp_path / "t")), ["k"], ["at", "tie"], {"p": "at"})
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("+- Exchange") == 1 and "__slice" in plan
+
+
+def test_running_max(spark):
+    from careline.operators.ordered import with_running_max
+
+    rng = random.Random(4)
+    rows = [("hot" if i % 3 == 0 else rng.choice("abc"), rng.randrange(500), i,
+             rng.choice([None, *range(1000)])) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "k string, at int, tie int, v int").repartition(5)
+    got = with_running_max(frame, ["k"], ["at", "tie"], "top", F.col("v"))
+    want, top = [], {}
+    for k, at, tie, v in sorted(rows):
+        want.append((k, at, tie, v, top.get(k)))
+        top[k] = max((x for x in (top.get(k), v) if x is not None), default=None)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_patient_with_a_third_of_all_beginnings(spark):
+    """Beginnings and events of one key are cut; what rules at an instant crosses the cuts."""
+    rows = [("hot" if i % 3 == 0 else f"k{i % 200}", float(i % 7),
+             DAY0 + dt.timedelta(seconds=i), DAY0 + dt.timedelta(seconds=i + (5000 if i == 3 else 40)))
+            for i in range(3000)]
+    ranges = spark.createDataFrame(rows, "key string, value double, start timestamp_ntz, end timestamp_ntz")
+    ev = [("hot", DAY0 + dt.timedelta(seconds=s), s) for s in range(-5, 6000, 7)]
+    frame = spark.createDataFrame(ev, "k string, at timestamp_ntz, id int")
+    got = {r.id: r.value for r in earliest_interval(
+        frame, ranges, [("k", "key")], "at", "start", "end", "value", None).collect()}
+    own = sorted((s, v, e) for k, v, s, e in rows if k == "hot")
+    for _, at, i in ev:
+        hits = [v for s, v, e in own if s <= at <= e]
+        assert got[i] == (hits[0] if hits else None)
+    parts = sliced(ranges, ["key"], ["start", "value"]).groupBy("__slice", "key").count().collect()
+    assert max(r["count"] for r in parts) < 2 * len(rows) / 8
+    assert len({r["__slice"] for r in parts if r.key == "hot"}) > 1
+
+
+def test_an_event_and_an_interval_in_the_year_9999(spark):
+    """Only the key with an event there has a copy there, and none in the years between."""
+    far = dt.datetime(9999, 12, 31)
+    ranges = spark.createDataFrame(
+        [("a", 1.0, DAY0, far), ("b", 2.0, DAY0, far), ("c", 3.0, DAY0, far)],
+        "key string, value double, start timestamp_ntz, end timestamp_ntz")
+    frame = spark.createDataFrame([("a", far, 1), ("a", DAY0, 2), ("b", DAY0, 3), ("d", far, 4)],
+                                  "k string, at timestamp_ntz, id int")
+    copies = _sliced(frame, "at", ranges, "start", "end", None, 365, [("k", "key")])
+    assert sorted(r.key for r in copies.collect()) == ["a", "a", "b"]
+    joined = interval_join(frame, ranges, [("k", "key")], "at", "start", "end", None)
+    assert sorted(r.id for r in joined.collect()) == [1, 2, 3]
+    got = earliest_interval(frame, ranges, [("k", "key")], "at", "start", "end", "value", None)
+    assert {r.id: r.value for r in got.collect()} == {1: 1.0, 2: 1.0, 3: 2.0, 4: None}
+    whole = spark.createDataFrame([("a", far, 1)], "k string, at timestamp_ntz, id int")
+    ends = spark.createDataFrame([("a", 1.0, far, far)], ranges.schema)
+    assert interval_join(whole, ends, [("k", "key")], "at", "start", "end", None).count() == 1
+    assert earliest_interval(whole, ends, [("k", "key")], "at", "start", "end", "value",
+                             None).first().value == 1.0
+
+
+def test_no_rows_at_all(spark):
+    frame = spark.createDataFrame([], "k string, at timestamp_ntz, id int")
+    ranges = spark.createDataFrame([], "k string, value double, start timestamp_ntz, end timestamp_ntz")
+    assert with_previous(frame, ["k"], ["at", "id"], {"p": "at"}).collect() == []
+    assert interval_join(frame, ranges, ["k"], "at", "start", "end", None).collect() == []
+    assert earliest_interval(frame, ranges, ["k"], "at", "start", "end", "value", None).collect() == []
