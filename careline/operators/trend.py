@@ -17,6 +17,8 @@ from careline.functions.tails import student_p_value, student_quantile_975
 from careline.functions.text import or_na
 
 DRUG = ["drug_code"]
+# Scores are added up as whole numbers of these parts of one.
+SCORE_UNITS = 10_000
 # Standard normal quantile of 0.975
 NORMAL_975 = 1.959963984540054
 
@@ -26,18 +28,64 @@ def success_steps(clean_steps: DataFrame) -> DataFrame:
     return clean_steps.filter(F.col("result") == L.SUCCESS)
 
 
+def trend_moments(steps: DataFrame) -> DataFrame:
+    """Exact sums per drug over the steps with both values, in whole numbers.
+
+    Scores count in ten-thousandths, so that sums, and what follows from them, don't depend on the
+    order in which rows are added up.
+    """
+    x = F.col("months_since_first").cast("decimal(10,0)")
+    y = F.round(F.col("score") * SCORE_UNITS).cast("decimal(18,0)")
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("decimal(38,0)")
+    return steps.groupBy(*DRUG).agg(
+        F.count(x).alias("n"), total(x).alias("x"), total(y).alias("y"), total(x * x).alias("xx"),
+        total(x * y).alias("xy"), total(y * y).alias("yy"),
+        F.max("months_since_first").alias("max_months"))
+
+
 def trend_fit(steps: DataFrame) -> DataFrame:
     """Line score ~ months per drug: coefficients, fit and the sums behind them."""
-    y, x = F.col("score"), F.col("months_since_first").cast("double")
-    sums = steps.groupBy(*DRUG).agg(
-        F.regr_count(y, x).alias("n"), F.regr_avgx(y, x).alias("mean_months"),
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-        F.regr_r2(y, x).alias("r_squared"), F.regr_sxx(y, x).alias("sxx"),
-        F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"),
-        F.corr(y, x).alias("r"), F.max("months_since_first").alias("max_months"))
-    rest = F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))
-    return sums.withColumn("residual_sd", F.when(
-        F.col("n") > 2, F.sqrt(F.greatest(rest, F.lit(0.0)) / (F.col("n") - 2))))
+    n = F.col("n").cast("decimal(19,0)")
+    # n times the sums of squares and products around the means, still whole numbers
+    spread = {name: (n * F.col(name) - F.col(name[0]) * F.col(name[1])).cast("double")
+              for name in ("xx", "xy", "yy")}
+    sums = trend_moments(steps).withColumns({f"__{k}": v for k, v in spread.items()})
+    xx, xy, yy, n = F.col("__xx"), F.col("__xy"), F.col("__yy"), F.col("n").cast("double")
+    y_mean = F.try_divide(F.col("y").cast("double"), n)
+    x_mean = F.try_divide(F.col("x").cast("double"), n)
+    slope = F.try_divide(xy, xx)
+    intercept = y_mean - slope * x_mean
+    r = F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy))
+    rest = yy - F.try_divide(xy * xy, xx)
+    return sums.select(
+        *DRUG, "n", x_mean.alias("mean_months"), (slope / SCORE_UNITS).alias("slope"),
+        (intercept / SCORE_UNITS).alias("intercept"),
+        F.when((xx > 0) & (yy == 0), 1.0).otherwise(F.try_divide(xy * xy, xx * yy)).alias("r_squared"),
+        F.try_divide(xx, n).alias("sxx"), F.try_divide(yy, n * SCORE_UNITS ** 2).alias("syy"),
+        F.try_divide(xy, n * SCORE_UNITS).alias("sxy"), r.alias("r"), "max_months",
+        F.when(F.col("n") > 2, F.sqrt(F.greatest(rest, F.lit(0.0)) / (n * (n - 2))) / SCORE_UNITS)
+        .alias("residual_sd"))
+
+
+def trend_coefficients(fit: DataFrame) -> DataFrame:
+    """Coefficient table of each regression: estimate, standard error, t and degrees of freedom.
+
+    Two rows a drug. With fewer than three points or all at one month there is no error and no t.
+    """
+    sd, sxx, mean = F.col("residual_sd"), F.col("sxx"), F.col("mean_months")
+    slope_error = F.try_divide(sd, F.sqrt(sxx))
+    level_error = sd * F.sqrt(F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(mean * mean, sxx))
+    terms = F.array(F.struct(F.lit("intercept").alias("term"), F.col("intercept").alias("estimate"),
+                             level_error.alias("std_error")),
+                    F.struct(F.lit("months").alias("term"), F.col("slope").alias("estimate"),
+                             slope_error.alias("std_error")))
+    df = F.when(F.col("n") > 2, F.col("n") - 2)
+    return (fit.select(*DRUG, "n", df.alias("df"), F.explode(terms).alias("x"))
+            .select(*DRUG, "n", "df", "x.*")
+            .withColumn("t", F.try_divide("estimate", "std_error")))
 
 
 def trend_correlation(fit: DataFrame) -> DataFrame:

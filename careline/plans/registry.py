@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from careline.operators import trend as R
 from careline.plans.reports import write_all_reports
 from careline.session import configure, shared_folder, written
 from careline.sources import delimited as T
+from careline.sources.sinks import read_published
 from careline.sources.star import AS_OF, AS_OF_YEAR, star_table
 
 # Parameters of the star-schema queries.
@@ -291,69 +292,84 @@ def _round_up_to(s: Star) -> DataFrame:
 
 
 def _report_sinks(s: Star) -> DataFrame:
-    """Write all reports to the shared folder; count and sum up the rows read back."""
+    """Write and publish all reports in the shared folder; fingerprints of the tables read back."""
     inputs = {"steps": s.steps, "patients": s.table("patients"),
               "dispensings": s.table("dispensings"), "prescriptions": s.table("prescriptions"),
               "cohort_dispensings": s.table("dispensings_fine"),
               "cohort_prescriptions": s.table("prescriptions_fine")}
     folder = f"{shared_folder(s.spark)}/reports/{uuid.uuid4().hex}"
-    written = write_all_reports(inputs, folder, AS_OF, DOSE_DRUG, EXCLUDED_DRUG)
-    counts = None
-    for report, table, path in written:
-        one = s.spark.read.parquet(path).selectExpr(
-            f"'{report}' AS report", f"'{table}' AS table_name", "count(*) AS n_rows",
-            f"{checksum(report, table)} AS checksum")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
-
-
-# Columns of each report table that its checksum covers: numbers in thousandths, those marked with
-# ~ (their quantile is a series on the other side) in tenths, texts marked with $ by length.
+    write_all_reports(inputs, folder, AS_OF, DOSE_DRUG, EXCLUDED_DRUG)
+    return reduce(DataFrame.unionByName, [
+        frame.selectExpr(f"'{report}' AS report", f"'{table}' AS table_name", "count(*) AS n_rows",
+                         f"{fingerprint(report, table)} AS fingerprint")
+        for (report, table), frame in read_published(s.spark, folder).items()])
+
+
+# Columns of each report table that its fingerprint covers: numbers in thousandths, those marked with
+# ~ (their quantile is a series on the other side) in tenths, those marked with $ as text.
 CHECKED = {
-    ("outcome", "summary"): "n_success n_failure mean_days_to_minimum pct_success$",
-    ("outcome", "chart"): "n result_order result_type$",
-    ("outcome", "steps"): "score difference step_no",
-    ("trend", "fit"): "n slope intercept r_squared", ("trend", "correlation"): "n r t p_value",
-    ("trend", "points"): "months_since_first score activity$",
-    ("trend", "band"): "month predicted low~ high~", ("trend", "crossings"): "month predicted label$",
-    ("quality", "start_in_remission"): "step_no score activity$ result$",
-    ("quality", "unmatched_dispensings"): "qty national_code med_code$",
-    ("quality", "prescriptions"): "presc_national_code med_code$",
+    ("outcome", "summary"): "start_year drug_name$ indication_code n_success n_failure n_no_change "
+                            "mean_days_to_minimum pct_success$ pct_failure$ pct_no_change$",
+    ("outcome", "chart"): "start_year drug_name$ n result_order result_type$ label_text$",
+    ("outcome", "steps"): "nhc$ process_id step_ts$ step_no score difference",
+    ("trend", "fit"): "drug_code$ n slope intercept r_squared residual_sd",
+    ("trend", "coefficients"): "drug_code$ term$ n df estimate std_error t p_value",
+    ("trend", "correlation"): "drug_code$ n r t p_value",
+    ("trend", "points"): "drug_code$ months_since_first score activity$",
+    ("trend", "band"): "drug_code$ month predicted low~ high~",
+    ("trend", "crossings"): "drug_code$ threshold month predicted label$",
+    ("quality", "start_in_remission"): "start_year nhc$ process_id step_no step_ts$ score activity$ result$",
+    ("quality", "unmatched_dispensings"): "nhc$ dispensed_at$ qty national_code med_code$",
+    ("quality", "prescriptions"): "nhc$ presc_national_code med_code$ valid_from$ valid_to$",
     ("quality", "overlaps"): "dispensings multiplied added_rows",
-    ("adherence", "summary"): "treatments patients treatments_per_patient pct_below_05$",
-    ("adherence", "patients"): "n", ("adherence", "by_drug"): "total n_below_05 n_from_09 med_group$",
-    ("adherence", "chart"): "n total class_order label_text$",
-    ("adherence", "chart_by_drug"): "n total breaks axis_limit med_name$",
-    ("adherence", "detail"): "units days coverage prescription_days freq_desc$",
-    ("persistence", "patients"): "n", ("persistence", "by_drug"): "patients pct",
-    ("persistence", "by_drug_sex"): "n_f n_m n_unknown",
-    ("persistence", "by_drug_age"): "under_20 from_41_to_50 over_80 unavailable",
+    ("adherence", "summary"): "med_group$ treatments patients treatments_per_patient pct_below_05$",
+    ("adherence", "patients"): "n",
+    ("adherence", "by_drug"): "med_group$ med_name$ total n_below_05 n_from_09",
+    ("adherence", "chart"): "med_group$ n total class_order label_text$",
+    ("adherence", "chart_by_drug"): "med_group$ med_name$ n total breaks axis_limit",
+    ("adherence", "detail"): "nhc$ units days coverage prescription_days freq_desc$",
+    ("persistence", "patients"): "n", ("persistence", "by_drug"): "med_group$ patients pct",
+    ("persistence", "by_drug_sex"): "med_group$ n_f n_m n_unknown",
+    ("persistence", "by_drug_age"): "med_group$ under_20 from_41_to_50 over_80 unavailable",
     ("persistence", "chisq_drug"): "chisq df p_value", ("persistence", "chisq_sex"): "chisq df p_value",
     ("persistence", "chisq_age"): "chisq df p_value",
-    ("persistence", "curves"): "months at_risk events survival",
+    ("persistence", "curves"): "med_group$ months at_risk events censored survival",
     ("persistence", "medians"): "median_months med_group$",
-    ("persistence", "logrank"): "chisq df p_value", ("persistence", "all_logrank"): "chisq df p_value",
-    ("persistence", "all_curves"): "months at_risk events survival",
+    ("persistence", "logrank"): "comparison$ chisq df p_value",
+    ("persistence", "all_logrank"): "comparison$ chisq df p_value",
+    ("persistence", "all_curves"): "med_group$ months at_risk events censored survival",
     ("persistence", "all_medians"): "median_months med_group$", ("paths", "top_20"): "n path$",
     ("paths", "flows"): "n first_drug$ second_drug$",
-    ("paths", "all_paths"): "n position mean_months sd_months max_months",
-    ("paths", "lines"): "position months med_group$", ("paths", "patients"): "position months path$",
+    ("paths", "all_paths"): "path$ n position med_group$ mean_months sd_months max_months",
+    ("paths", "lines"): "nhc$ position months med_group$",
+    ("paths", "patients"): "nhc$ position months med_group$ path$",
     ("dosing", "combinations"): "patients combination$",
-    ("dosing", "optimised_patients"): "position variant$ combination$",
-    ("dosing", "all_patients"): "qty prescriptions naive$ dose_optimised$",
+    ("dosing", "optimised_patients"): "nhc$ position variant$ combination$",
+    ("dosing", "all_patients"): "nhc$ med_code$ dispensed_at$ qty prescriptions naive$ dose_optimised$",
 }
 
 
-def checksum(report: str, table: str) -> str:
-    """SQL text both engines accept: the sum of the table's checked columns."""
-    def measure(name: str) -> str:
+def row_text(report: str, table: str) -> str:
+    """SQL text both engines accept: the checked columns of a row in one normal form."""
+    def part(name: str) -> str:
         if name.endswith("$"):
-            return f"length({name[:-1]})"
-        return f"round({name[:-1]} * 10)" if name.endswith("~") else f"round({name} * 1000)"
+            text = f"CAST({name[:-1]} AS STRING)"
+        else:
+            value = f"{name[:-1]} * 10" if name.endswith("~") else f"{name} * 1000"
+            text = f"CAST(CAST(round({value}) AS BIGINT) AS STRING)"
+        return f"coalesce({text}, '~')"
+
+    return f"concat_ws('|', {', '.join(part(c) for c in CHECKED[report, table].split())})"
 
-    parts = [f"coalesce(sum(CAST({measure(c)} AS BIGINT)), 0)"
-             for c in CHECKED[report, table].split()]
-    return f"CAST({' + '.join(parts)} AS BIGINT)"
+
+def fingerprint(report: str, table: str, digits: str = "conv({}, 16, 10)") -> str:
+    """SQL text of the sum of 40 bits of each row's digest, whatever the order of the rows.
+
+    `digits` makes hexadecimal digits a number. With the number of rows it tells tables apart whose
+    rows differ in one value, also where two values only changed places.
+    """
+    number = digits.format(f"substr(md5({row_text(report, table)}), 1, 10)")
+    return f"CAST(coalesce(sum(CAST({number} AS BIGINT)), 0) AS BIGINT)"
 
 
 SEXES = ("F", "M")
@@ -404,6 +420,11 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     # trend
     "trend_fit": lambda s: rounded(s.fit, "mean_months", "slope", "intercept", "r_squared",
                                    "sxx", "syy", "sxy", "r", "residual_sd"),
+    "trend_moments": lambda s: R.trend_moments(s.points).select(
+        "drug_code", "n", *[F.col(c).cast("bigint").alias(f"sum_{c}") for c in ("x", "y", "xx", "xy", "yy")],
+        "max_months"),
+    "trend_coefficients": lambda s: rounded(R.with_p_value(R.trend_coefficients(s.fit)),
+                                            "estimate", "std_error", "t", "p_value"),
     "trend_correlation": lambda s: rounded(R.with_p_value(R.trend_correlation(s.fit)),
                                            "r", "t", "low", "high", "p_value"),
     "trend_prediction": lambda s: rounded(R.trend_prediction(s.fit), "predicted"),

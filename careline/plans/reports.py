@@ -24,7 +24,7 @@ from careline.operators import summary as M
 from careline.operators import survival as K
 from careline.operators import trend as R
 from careline.session import written as shared_table
-from careline.sources.sinks import Table, write_report
+from careline.sources.sinks import Table, new_run, publish, write_report
 
 
 @contextmanager
@@ -53,6 +53,7 @@ def trend_tables(steps: DataFrame, processes: DataFrame) -> dict[str, Table]:
     fit = R.trend_fit(points)
     return {
         "fit": Table(fit, ["drug_code"]),
+        "coefficients": Table(R.with_p_value(R.trend_coefficients(fit)), ["drug_code", "term"]),
         "correlation": Table(R.with_p_value(R.trend_correlation(fit)), ["drug_code"]),
         "band": Table(R.trend_band(fit), ["drug_code", "month"]),
         "crossings": Table(R.threshold_crossing(fit), ["drug_code", "threshold"]),
@@ -136,19 +137,20 @@ def quality_tables(steps: DataFrame, processes: DataFrame, rows: DataFrame,
 def write_all_reports(inputs: dict[str, DataFrame], folder: str, as_of: str, drug: str,
                       excluded_drug: str | None = None, fmt: str = "parquet",
                       sex_levels=("F", "M")) -> list[tuple[str, str, str]]:
-    """Write every report; returns (report, table, path) per table.
+    """Write every report and publish them together; returns (report, table, path) per table.
 
+    The tables go to a folder of this run; readers (`sinks.read_published`) see them when the last is there.
     `inputs` holds the canonical `steps`, `patients`, `dispensings`, `prescriptions`
     and, for the cohort and the lines, `cohort_dispensings` and
     `cohort_prescriptions` (the same tables unless the grain differs).
     """
-    year = int(as_of[:4])
+    year, run = int(as_of[:4]), new_run(folder)
     steps = inputs["steps"]
     written: list[tuple[str, str, str]] = []
 
     def write(report: str, tables: dict[str, Table]) -> None:
         written.extend((report, name, path)
-                       for name, path in write_report(tables, f"{folder}/{report}", fmt))
+                       for name, path in write_report(tables, f"{run}/{report}", fmt))
 
     prescriptions = D.with_posology(inputs["prescriptions"])
     rows = D.dispensing_gaps(inputs["dispensings"])
@@ -169,4 +171,5 @@ def write_all_reports(inputs: dict[str, DataFrame], folder: str, as_of: str, dru
     with shared(N.treatment_lines(cohort_rows)) as lines:
         write("paths", path_tables(lines))
     write("dosing", dosing_tables(rows, prescriptions, drug))
+    publish(steps.sparkSession, folder, run, written, fmt)
     return written

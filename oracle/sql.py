@@ -6,7 +6,7 @@ analysis is defined, not in the order the Spark operators evaluate it.
 
 from __future__ import annotations
 
-from careline.plans.registry import DOSE_DRUG, EXCLUDED_DRUG, TIMELINE_YEAR, checksum
+from careline.plans.registry import DOSE_DRUG, EXCLUDED_DRUG, TIMELINE_YEAR, fingerprint
 from careline.sources import star
 
 Y = star.AS_OF_YEAR
@@ -416,6 +416,20 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
    UNION ALL SELECT start_year, drug_name, 'n_success', 3, n_success FROM roll)"""),
     "trend_fit": (("fit",), f"""SELECT drug_code, n, max_months,
   {_normalised('mean_months slope intercept r_squared sxx syy sxy r residual_sd')} FROM fit"""),
+    "trend_moments": (("points",), """SELECT drug_code, count(*) AS n, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y,
+  CAST(sum(x * x) AS BIGINT) AS sum_xx, CAST(sum(x * y) AS BIGINT) AS sum_xy, CAST(sum(y * y) AS BIGINT) AS sum_yy, max_months
+  FROM (SELECT drug_code, CAST(m AS HUGEINT) AS x, CAST(round(y * 10000) AS HUGEINT) AS y, max(m) OVER (PARTITION BY drug_code) AS max_months
+   FROM points WHERE y IS NOT NULL AND m IS NOT NULL) GROUP BY drug_code, max_months"""),
+    "trend_coefficients": (("points", "fit"), f"""SELECT drug_code, n, df, term, {rnd('estimate', 6)} AS estimate, {rnd('std_error', 6)} AS std_error,
+  {rnd('(estimate / std_error)', 6)} AS t, {rnd(t_tail('(estimate / std_error)', 'df'), 6)} AS p_value FROM (
+   SELECT drug_code, n, n - 2 AS df, 'months' AS term, slope AS estimate, s / sqrt(qx) AS std_error FROM (
+    SELECT p.drug_code, any_value(n) AS n, any_value(slope) AS slope, sum((x - mean_months) * (x - mean_months)) AS qx,
+     sqrt(sum((y - intercept - slope * x) * (y - intercept - slope * x)) / (any_value(n) - 2)) AS s
+    FROM points p JOIN fit f USING (drug_code) WHERE y IS NOT NULL GROUP BY p.drug_code)
+   UNION ALL SELECT drug_code, n, n - 2, 'intercept', intercept, s * sqrt(1.0 / n + m * m / qx) FROM (
+    SELECT p.drug_code, any_value(n) AS n, any_value(intercept) AS intercept, any_value(mean_months) AS m, sum((x - mean_months) * (x - mean_months)) AS qx,
+     sqrt(sum((y - intercept - slope * x) * (y - intercept - slope * x)) / (any_value(n) - 2)) AS s
+    FROM points p JOIN fit f USING (drug_code) WHERE y IS NOT NULL GROUP BY p.drug_code))"""),
     "trend_correlation": (("fit",), f"""SELECT drug_code, n, df, {_normalised('r t low high')},
   {rnd(t_tail('t', 'df'), 6)} AS p_value FROM (SELECT drug_code, n, n - 2 AS df, r, r * sqrt((n - 2) / (1 - r * r)) AS t,
    CASE WHEN n > 3 THEN tanh(atanh(r) - 1.959963984540054 / sqrt(greatest(n - 3, 1))) END AS low,
@@ -548,11 +562,14 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+#: Hexadecimal digits as a number in this engine.
+HEX_NUMBER = "('0x' || {})"
+
 # Report tables and the query whose rows they hold.
 REPORT_ROWS = {
     ("outcome", "summary"): "outcome_report", ("outcome", "chart"): "outcome_long",
     ("outcome", "steps"): "baseline_difference",
-    ("trend", "fit"): "trend_fit", ("trend", "correlation"): "trend_correlation",
+    ("trend", "fit"): "trend_fit", ("trend", "coefficients"): "trend_coefficients", ("trend", "correlation"): "trend_correlation",
     ("trend", "points"): "activity_points", ("trend", "band"): "trend_band", ("trend", "crossings"): "threshold_crossing",
     ("quality", "start_in_remission"): "qc_start_in_remission",
     ("quality", "unmatched_dispensings"): "unmatched_dispensings",
@@ -596,7 +613,7 @@ def _report_counts() -> str:
     for (report, table), query in REPORT_ROWS.items():
         tables, select = SELECTS[query]
         needed += tables
-        parts.append(f"SELECT '{report}' AS report, '{table}' AS table_name, count(*) AS n_rows, {checksum(report, table)} AS checksum FROM ({select})")
+        parts.append(f"SELECT '{report}' AS report, '{table}' AS table_name, count(*) AS n_rows, {fingerprint(report, table, HEX_NUMBER)} AS fingerprint FROM ({select})")
     return with_tables(tuple(needed), "\nUNION ALL ".join(parts))
 
 

@@ -10,8 +10,6 @@ from oracle.check import compare, connect
 from oracle.sql import oracle_sql
 
 FOLDER = str(TESTDATA / "sf0.001")
-# writes every report table; `python -m oracle.check <folder> report_sinks` runs it
-SLOW = {"report_sinks"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +22,7 @@ def test_every_query_has_sql():
     assert set(queries()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, con, name):
     problems, _ = compare(queries()[name](spark, FOLDER), oracle_sql()[name], con)
     assert problems == []

@@ -108,3 +108,73 @@ def test_layouts_of_times(spark):
             "2020-01-05 10:30:00 x": None, " 2020-01-05 10:30:00 ": at(2020, 1, 5, 10, 30), None: None}
     rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", T.to_time(F.col("t")).alias("at"))
     assert {r.t: r["at"] for r in rows.collect()} == want
+
+
+def test_a_run_that_stops_leaves_the_last_one_in_force(spark, tmp_path, monkeypatch):
+    from careline.sources import sinks
+
+    folder = str(tmp_path)
+
+    def run(values, fail_at=None):
+        made = []
+        original = sinks.write_table
+
+        def stopping(table, path, fmt="parquet"):
+            if len(made) == fail_at:
+                raise RuntimeError("stopped")
+            original(table, path, fmt)
+            made.append(path)
+        monkeypatch.setattr(sinks, "write_table", stopping)
+        try:
+            place = sinks.new_run(folder)
+            tables = {n: Table(spark.createDataFrame([(v,)], "x int")) for n, v in values.items()}
+            written = [("r", n, p) for n, p in write_report(tables, f"{place}/r")]
+            return sinks.publish(spark, folder, place, written)
+        finally:
+            monkeypatch.setattr(sinks, "write_table", original)
+
+    def seen():
+        return {n: df.first().x for (_, n), df in sinks.read_published(spark, folder).items()}
+
+    assert seen() == {} and sinks.superseded(spark, folder) == []
+    assert run({"a": 1, "b": 2}) == 1
+    try:
+        run({"a": 3, "b": 4}, fail_at=1)
+        raise AssertionError("it should have stopped")
+    except RuntimeError:
+        pass
+    assert seen() == {"a": 1, "b": 2}
+    assert run({"a": 5, "b": 6}) == 2
+    assert seen() == {"a": 5, "b": 6}
+    old = sinks.superseded(spark, folder)
+    assert len(old) == 1 and old[0].startswith(f"{folder}/runs/")
+
+
+def test_fingerprints_see_swapped_values_and_texts_as_long(spark):
+    from careline.plans.registry import fingerprint
+
+    def of(rows):
+        frame = spark.createDataFrame(rows, "med_group string, months double, at_risk bigint, events bigint, "
+                                            "censored bigint, survival double")
+        return frame.selectExpr(fingerprint("persistence", "curves")).first()[0]
+
+    rows = [("A", 1.0, 5, 1, 0, 0.8), ("B", 2.0, 4, 2, None, 0.5)]
+    assert of(rows) == of(rows[::-1]) == of([*rows[:1], ("B", 2.0, 4, 2, None, 0.50001)])
+    assert of(rows) != of([("A", 1.0, 4, 1, 0, 0.8), ("B", 2.0, 5, 2, None, 0.5)])
+    assert of(rows) != of([("C", 1.0, 5, 1, 0, 0.8), rows[1]])
+    assert of(rows) != of([("A", 1.0, 5, 1, 0, 0.801), ("B", 2.0, 4, 2, None, 0.499)])
+    assert of(rows) != of([rows[0], ("B", 2.0, 4, 2, 0, 0.5)])
+    assert of([]) == 0
+
+
+def test_both_engines_make_one_fingerprint(spark):
+    import duckdb
+
+    from careline.plans.registry import fingerprint
+    from oracle.sql import HEX_NUMBER
+
+    values = "('é|x', 1.0005, 2, 1, NULL, 0.25), (NULL, -3.5, 7, 0, 2, 1.0)"
+    names = "t(med_group, months, at_risk, events, censored, survival)"
+    here = spark.sql(f"SELECT {fingerprint('persistence', 'curves')} FROM VALUES {values} AS {names}").first()[0]
+    there = duckdb.sql(f"SELECT {fingerprint('persistence', 'curves', HEX_NUMBER)} FROM (VALUES {values}) {names}")
+    assert here == there.fetchall()[0][0]

@@ -193,3 +193,35 @@ def test_logrank_of_any_number_of_drugs(spark):
 def test_logrank_of_no_drug(spark):
     table = counts(spark, []).withColumn("position", F.lit(1))
     assert K.logrank_test(table, (), "all").collect() == []
+
+
+def test_coefficient_table_and_exact_moments(spark):
+    """A textbook line with its errors, points without a value, and drugs with too few points."""
+    points = [("a", m, s) for m, s in [(0, 5.0), (1, 4.4), (2, 4.1), (4, 2.9), (7, 2.2)]]
+    points += [("a", None, 9.0), ("a", 3, None), ("b", 1, 2.5), ("b", 2, 2.0), ("c", 3, 1.0), ("c", 3, 2.0),
+               ("c", 3, 3.0), ("d", 1, None)]
+    frame = spark.createDataFrame(points, "drug_code string, months_since_first int, score double")
+    got = {(r.drug_code, r.term): r for r in R.with_p_value(R.trend_coefficients(R.trend_fit(frame))).collect()}
+    x, y = [0, 1, 2, 4, 7], [5.0, 4.4, 4.1, 2.9, 2.2]
+    mx, my = sum(x) / 5, sum(y) / 5
+    qx = sum((a - mx) ** 2 for a in x)
+    slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / qx
+    level = my - slope * mx
+    sd = math.sqrt(sum((b - level - slope * a) ** 2 for a, b in zip(x, y)) / 3)
+    want = {"months": (slope, sd / math.sqrt(qx)), "intercept": (level, sd * math.sqrt(1 / 5 + mx * mx / qx))}
+    for term, (estimate, error) in want.items():
+        r = got["a", term]
+        assert (r.n, r.df) == (5, 3)
+        assert (r.estimate, r.std_error, r.t) == pytest.approx((estimate, error, estimate / error))
+        assert 0 < r.p_value < 0.05
+    assert got["b", "months"].estimate == pytest.approx(-0.5) and got["b", "months"].p_value is None
+    assert got["c", "months"].estimate is None and got["c", "months"].std_error is None
+    assert got["d", "months"].n == 0 and got["d", "months"].estimate is None
+    sums = {r.drug_code: r for r in R.trend_moments(frame).collect()}
+    assert (sums["a"].n, sums["a"].x, int(sums["a"].y), int(sums["a"].xy)) == (
+        5, 14, 186_000, sum(int(a * round(b * 10_000)) for a, b in zip(x, y)))
+    # the same bits, whatever the order of the rows
+    many = [("a", i % 40, round(10 - (i * 37 % 101) / 11, 4)) for i in range(5000)]
+    fits = [R.trend_fit(spark.createDataFrame(rows, frame.schema).repartition(n)).first()
+            for rows, n in ((many, 3), (many[::-1], 7))]
+    assert fits[0] == fits[1]
