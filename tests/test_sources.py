@@ -178,3 +178,28 @@ def test_both_engines_make_one_fingerprint(spark):
     here = spark.sql(f"SELECT {fingerprint('persistence', 'curves')} FROM VALUES {values} AS {names}").first()[0]
     there = duckdb.sql(f"SELECT {fingerprint('persistence', 'curves', HEX_NUMBER)} FROM (VALUES {values}) {names}")
     assert here == there.fetchall()[0][0]
+
+
+def test_planning_a_scan_reads_beginnings_only(spark, tmp_path):
+    line = "12;2020-01-31 10:00:00;" + "x" * 100 + "\n"
+    for k in range(5):
+        write(tmp_path / f"é {k}.csv", "Nhc;Data Consum;Medicament Codi\n" + line * 60_000)
+    write(tmp_path / "empty.csv", "")
+    size = sum(f.stat().st_size for f in tmp_path.iterdir())
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages(after):
+        found = []
+        for i in range(after, after + 1000):
+            try:
+                found.append(store.lastStageAttempt(i))
+            except Exception:  # noqa: BLE001 - no such stage
+                break
+        return found
+
+    first = next(i for i in range(100_000) if not stages(i))
+    files = T._headers(spark, str(tmp_path))
+    read = sum(s.inputBytes() for s in stages(first))
+    assert sorted(map(len, files.values())) == [5]
+    assert 0 < read < size / 20
+    assert T.read_dispensings(spark, str(tmp_path)).count() == 300_000
