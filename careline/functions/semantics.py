@@ -70,3 +70,29 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str] | list[tuple[str,
         on = on & condition
     joined = left.join(right, on, how)
     return joined.drop(*renamed.values()) if how not in ("left_semi", "left_anti") else joined
+
+
+def join_apart(left: DataFrame, right: DataFrame, keys: list[str] | list[tuple[str, str]],
+               how: str = "inner") -> DataFrame:
+    """`join_on` with a hash beside the keys.
+
+    Both sides are then exchanged for the join, also one that lies by its keys already, as an
+    aggregate by them does; only then can the engine split a hot key.
+    """
+    pairs = [(k, k) if isinstance(k, str) else k for k in keys]
+    left = left.withColumn("__hash", F.xxhash64(F.lit(0), *[a for a, _ in pairs]))
+    right = right.withColumn("__hash", F.xxhash64(F.lit(0), *[b for _, b in pairs]))
+    return join_on(left, right, [*pairs, ("__hash", "__hash")], how).drop("__hash")
+
+
+#: Copies of a row that are written out at once.
+REPEATED = 10_000
+
+
+def repeated(rows: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as `copies` says, numbered from 0 in `__copy`, in steps of bounded size."""
+    last = F.col(copies) - 1
+    steps = rows.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), last,
+                                                           F.lit(REPEATED).cast("long"))))
+    return steps.withColumn("__copy", F.explode(F.sequence(
+        F.col("__copy"), F.least(F.col("__copy") + (REPEATED - 1), last)))).drop(copies)

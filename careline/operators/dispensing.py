@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careline.functions import labels as L
 from careline.functions.posology import posology_days
-from careline.functions.semantics import is_in, join_on, single_valued
+from careline.functions.semantics import is_in, join_apart, join_on, repeated, single_valued
 from careline.functions.text import strip_zeros
 from careline.functions.timeparts import elapsed_days
 from careline.operators.intervals import SLICE_DAYS, earliest_interval, interval_join
@@ -77,6 +77,60 @@ def dispensing_prescriptions(rows: DataFrame, prescriptions: DataFrame) -> DataF
     return join_on(rows, prescriptions, MATCH, "left")
 
 
+def _pieces(frame: DataFrame, name: str, piece: int) -> DataFrame:
+    """(keys, piece, a list of at most about `piece` distinct rows with their copies).
+
+    Keys with few rows have one piece. The rows of others are dealt to pieces by a hash of the row, half
+    full on average, so that a repeated task deals them alike.
+    """
+    own = [c for c in frame.columns if c not in MATCH]
+    counted = frame.groupBy(*frame.columns).agg(F.count(F.lit(1)).alias("copies"))
+    large = (counted.groupBy(*MATCH).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > piece)
+             .select(*MATCH, F.ceil(2 * F.col("__n") / piece).alias("__pieces")))
+    dealt = F.pmod(F.xxhash64(*frame.columns), F.coalesce("__pieces", F.lit(1)))
+    return (join_apart(counted, large, MATCH, "left")
+            .groupBy(*MATCH, dealt.cast("long").alias("piece"))
+            .agg(F.collect_list(F.struct(*own, "copies")).alias(name)))
+
+
+def paired_histories(rows: DataFrame, prescriptions: DataFrame, piece: int = 1000) -> DataFrame:
+    """The pairs of `dispensing_prescriptions`, factorised: each row stands once, whatever its partners.
+
+    One row per patient, drug and piece: `dispensings` and `prescriptions` are lists of rows with `copies`,
+    NULL where a side has fewer pieces. Every dispensing of a key is paired with every prescription
+    of it, across pieces, so the table grows with the rows of a key and not with their product.
+    Prescriptions of keys without dispensings are left out.
+    """
+    left = _pieces(rows, "dispensings", piece)
+    keys = left.select(*MATCH).distinct()
+    right = join_apart(_pieces(prescriptions, "prescriptions", piece), keys, MATCH, "left_semi")
+    return (left.unionByName(right, allowMissingColumns=True).groupBy(*MATCH, "piece")
+            .agg(F.first("dispensings", True).alias("dispensings"),
+                 F.first("prescriptions", True).alias("prescriptions")))
+
+
+def history_counts(histories: DataFrame) -> DataFrame:
+    """Per patient and drug: dispensings, prescriptions, those with an id, pairs and whether it is matched."""
+    def rows_of(name: str, chosen=lambda x: F.lit(True)) -> Column:
+        return F.sum(F.coalesce(F.aggregate(name, F.lit(0).cast("long"), lambda n, x: n + F.when(
+            chosen(x), x["copies"]).otherwise(0)), F.lit(0)))
+    identified = F.col("identified")
+    return (histories.groupBy(*MATCH).agg(
+        rows_of("dispensings").alias("dispensings"), rows_of("prescriptions").alias("prescriptions"),
+        rows_of("prescriptions", lambda x: x["prescription_id"].isNotNull()).alias("identified"))
+        .withColumn("pairs", F.col("dispensings") * F.greatest("prescriptions", F.lit(1)))
+        .withColumn("matched", identified > 0)
+        .withColumn("unmatched", (F.col("prescriptions") == 0) | (identified < F.col("prescriptions"))))
+
+
+def expanded_pairs(histories: DataFrame) -> DataFrame:
+    """The pairs themselves, as `dispensing_prescriptions` returns them."""
+    def listed(name: str) -> DataFrame:
+        one = histories.select(*MATCH, F.explode(name).alias("x")).select(*MATCH, "x.*")
+        return repeated(one, "copies").drop("__copy")
+    return join_on(listed("dispensings"), listed("prescriptions"), MATCH, "left")
+
+
 def matched_dispensings(rows: DataFrame, prescriptions: DataFrame) -> DataFrame:
     """Dispensing-prescription pairs only."""
     return join_on(rows, prescriptions.filter(F.col("prescription_id").isNotNull()), MATCH)

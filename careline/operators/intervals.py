@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careline.functions.semantics import join_on
+from careline.functions.semantics import join_apart, join_on
 from careline.functions.timeparts import day_number
 from careline.operators.ordered import with_running_max
 
@@ -34,20 +34,16 @@ def _sliced(events: DataFrame, at: str, intervals: DataFrame, start: str, end: s
 
     Only slices that hold events of the interval's key count, so an end in the year 9999 costs a copy
     only if the key has events there. What is known of a key is the list of its slices, at most
-    as many as the calendar has. The join has a hash beside the keys: both sides are then
-    exchanged for it, and the engine can split the intervals of a hot key.
+    as many as the calendar has.
     """
     pairs = [(k, k) if isinstance(k, str) else k for k in keys]
-    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    left = [a for a, _ in pairs]
     occupied = (events.filter(F.col(at).isNotNull())
-                .groupBy(*left).agg(F.collect_set(_slice_of(F.col(at), slice_days)).alias("__slices"))
-                .withColumn("__hash", F.xxhash64(F.lit(0), *left)))
+                .groupBy(*left).agg(F.collect_set(_slice_of(F.col(at), slice_days)).alias("__slices")))
     first, last = _slice_of(F.col(start), slice_days), _slice_of(F.col("__stop"), slice_days)
     met = F.filter("__slices", lambda s: (s >= first) & (s <= last))
-    return (join_on(_closed(intervals, start, end, as_of)
-                    .withColumn("__hash", F.xxhash64(F.lit(0), *right)), occupied,
-                    [*[(b, a) for a, b in pairs], "__hash"])
-            .withColumn("__slice", F.explode(met)).drop("__slices", "__hash"))
+    return (join_apart(_closed(intervals, start, end, as_of), occupied, [(b, a) for a, b in pairs])
+            .withColumn("__slice", F.explode(met)).drop("__slices"))
 
 
 def interval_join(events: DataFrame, intervals: DataFrame, keys, at: str, start: str, end: str,

@@ -14,12 +14,10 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-from careline.functions.semantics import order_key, sort_columns
+from careline.functions.semantics import order_key, repeated, sort_columns
 
 #: Sampled rows per slice. The sample is what the driver sees.
 SAMPLED = 16
-#: Copies of a row that one task writes out at once.
-CHUNK = 10_000
 
 
 class Borders:
@@ -147,19 +145,16 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str],
     result = looked.select(*df.columns, "__copies",
                            *[c.alias(new) for c, new in zip(found, previous, strict=True)])
     if borders.frequent:
-        result = result.filter("__copies = 1").unionByName(
-            _copied(result.filter("__copies > 1"), previous))
+        single = result.filter("__copies = 1").drop("__copies")
+        return single.unionByName(_copied(result.filter("__copies > 1"), previous))
     return result.drop("__copies")
 
 
 def _copied(rows: DataFrame, previous: dict[str, str]) -> DataFrame:
     """Each row as often as it was there; from the second on, the previous row is a copy."""
-    chunks = rows.withColumn("__at", F.explode(F.sequence(
-        F.lit(0), F.col("__copies") - 1, F.lit(CHUNK)))).repartition(_slices(rows.sparkSession))
-    one = chunks.withColumn("__at", F.explode(F.sequence(
-        F.col("__at"), F.least(F.col("__at") + CHUNK, F.col("__copies")) - 1)))
-    return one.withColumns({new: F.when(F.col("__at") == 0, F.col(new)).otherwise(F.col(c))
-                            for new, c in previous.items()}).drop("__at")
+    one = repeated(rows, "__copies")
+    return one.withColumns({new: F.when(F.col("__copy") == 0, F.col(new)).otherwise(F.col(c))
+                            for new, c in previous.items()}).drop("__copy")
 
 
 def with_running_max(df: DataFrame, keys: list[str], order: list[str], new: str,

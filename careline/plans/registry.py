@@ -87,6 +87,10 @@ class Star:
     def prescriptions(self) -> DataFrame:
         return D.with_posology(self.table("prescriptions"))
 
+    @cached_property
+    def histories(self) -> DataFrame:
+        return D.paired_histories(self.dispensed, self.prescriptions)
+
     @cached_property
     def valid_once(self) -> DataFrame:
         """For a query that starts from it once."""
@@ -441,6 +445,9 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "dispensing_gaps": _gaps,
     "dispensing_prescription_join": lambda s: D.dispensing_prescriptions(
         s.dispensed, s.prescriptions).select(*DISPENSED_ROW, *PRESCRIBED_ROW),
+    "paired_histories": lambda s: D.history_counts(s.histories),
+    "paired_histories_expanded": lambda s: D.expanded_pairs(s.histories).select(
+        *DISPENSED_ROW, *PRESCRIBED_ROW),
     "matched_dispensings": lambda s: D.matched_dispensings(
         s.dispensed, s.prescriptions).select(*DISPENSED_ROW, *PRESCRIBED_ROW),
     "unmatched_dispensings": lambda s: D.unmatched_dispensings(

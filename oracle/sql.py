@@ -462,6 +462,12 @@ SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
    WINDOW w AS (PARTITION BY nhc_raw, med_name ORDER BY dispensed_at, tie1, tie2, tie3, tie4, tie5)) WHERE qty <> 0"""),
     "dispensing_prescription_join": (("disp", "presc"), f"""SELECT {', '.join('d.' + c.strip() for c in DROW.split(','))}, {PROW}
   FROM disp d LEFT JOIN presc p ON d.nhc = p.nhc AND d.med_code = p.med_code"""),
+    "paired_histories_expanded": (("disp", "presc"), f"""SELECT {', '.join('d.' + c.strip() for c in DROW.split(','))}, {PROW}
+  FROM disp d LEFT JOIN presc p ON d.nhc = p.nhc AND d.med_code = p.med_code"""),
+    "paired_histories": (("disp", "presc"), """SELECT nhc, med_code, dispensings, coalesce(n, 0) AS prescriptions, coalesce(k, 0) AS identified,
+  dispensings * greatest(coalesce(n, 0), 1) AS pairs, coalesce(k, 0) > 0 AS matched, coalesce(n, 0) = 0 OR k < n AS unmatched
+  FROM (SELECT nhc, med_code, count(*) AS dispensings FROM disp GROUP BY ALL)
+  LEFT JOIN (SELECT nhc, med_code, count(*) AS n, count(prescription_id) AS k FROM presc GROUP BY ALL) USING (nhc, med_code)"""),
     "matched_dispensings": (("disp", "presc"), f"""SELECT {', '.join('d.' + c.strip() for c in DROW.split(','))}, {PROW}
   FROM disp d JOIN presc p ON d.nhc = p.nhc AND d.med_code = p.med_code WHERE prescription_id IS NOT NULL"""),
     "unmatched_dispensings": (("disp", "presc"), f"""SELECT DISTINCT {', '.join('d.' + c.strip() for c in DROW.split(','))}, prescription_id
