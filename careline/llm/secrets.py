@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,9 +32,12 @@ SENSITIVE = re.compile(
     r"(?:(?![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))",
     re.IGNORECASE | re.ASCII)
 SENSITIVE_WORDS = ("pass", "pwd", "secret", "token", "cred", "auth", "bearer", "key")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=@!#$%^&*?~-]{16,}")
 #: A candidate without the sign that assigns it.
-VALUE = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+VALUE = re.compile(r"[A-Za-z0-9+/_@!#$%^&*?~-]{16,}")
+#: Signs at the ends of a candidate that don't tell it from another.
+MARGIN = "=+/_-@!#$%^&*?~"
+LEAST_CHARACTERS = 16
 NAME_REST = re.compile(r"(?:[A-Za-z][A-Za-z0-9]*)?")
 #: Pairs of letters of which words and names in European languages mostly consist; to the
 #: compressor a short word costs as much as random letters.
@@ -62,8 +66,9 @@ IDENTIFIERS = (
 ).encode()
 #: Characters of surrounding text before and after a candidate that prime the compressor.
 SURROUNDING = 512
-#: Characters between a sensitive word and a candidate at most.
-REACH = 32
+#: From so many characters behind a sensitive word on, what a candidate costs counts less, half of it
+#: after HALVED more.
+NEAR, HALVED = 32, 512
 NOVELTY = 0.65
 
 Span = tuple[str, int, int, float]
@@ -90,24 +95,24 @@ class Novelty:
             level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
                 IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
 
-    def __call__(self, text: str, start: int, end: int, since: int) -> float:
-        """Without what stands of the string's other occurrences from `since` on."""
+    def __call__(self, text: str, start: int, end: int) -> float:
+        """Copies of the string don't count as surroundings."""
         core = core_of(text[start:end])
-        around = (without(text, max(0, start - SURROUNDING), start, core, since) + "\n"
-                  + without(text, end, end + SURROUNDING, core, since) + "\n").encode()
+        around = (without(text, max(0, start - SURROUNDING), start, core) + "\n"
+                  + without(text, end, end + SURROUNDING, core) + "\n").encode()
         own = text[start:end].encode()
         size = self._compressor.compress
         return (len(size(around + own)) - len(size(around))) / len(own)
 
 
 def core_of(string: str) -> str:
-    return string.strip("=+/_-") or string
+    return string.strip(MARGIN) or string
 
 
-def without(text: str, start: int, end: int, core: str, since: int) -> str:
-    """text[start:end] less the occurrences of core from `since` on, also those the ends cut."""
+def without(text: str, start: int, end: int, core: str) -> str:
+    """text[start:end] less the occurrences of core, also those the ends cut."""
     parts, kept_to = [], start
-    at = text.find(core, max(0, since, start - len(core) + 1), end + len(core) - 1)
+    at = text.find(core, max(0, start - len(core) + 1), end + len(core) - 1)
     while at >= 0:
         parts.append(text[kept_to:max(kept_to, min(at, end))])
         kept_to = max(kept_to, at + len(core))
@@ -124,39 +129,72 @@ def made_of_words(string: str) -> bool:
     return sum(p in PAIRS for p in pairs) >= WORDLIKE * len(pairs)
 
 
+class Taken:
+    """Spans by start; tells whether another one meets them."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts, self.upto = [], []  # starts, and the furthest end so far
+        for start, end in sorted(spans):
+            self.starts.append(start)
+            self.upto.append(max(end, self.upto[-1] if self.upto else end))
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.upto[i - 1] > start
+
+
+def sensitive_candidates(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, characters since the sensitive word) of strings behind one on its line, in order.
+
+    One pass over words and strings together. What a name goes on with belongs to the sensitive word in it.
+    """
+    ends: list[int] = []
+    for word in SENSITIVE.finditer(text):
+        if not ends or word.end() > ends[-1]:
+            ends.append(NAME_REST.match(text, word.end()).end())
+    found, i, line, at = [], 0, 0, 0
+    for m in CANDIDATE.finditer(text) if ends else ():
+        start, end = m.span()
+        line = max(line, text.rfind("\n", at, start) + 1)
+        at = start
+        while i < len(ends) and ends[i] <= start:
+            i += 1
+        if i < len(ends) and ends[i] < end:
+            start, since = ends[i], 0
+        elif i and ends[i - 1] >= line:
+            since = start - ends[i - 1]
+        else:
+            continue
+        if end - start >= LEAST_CHARACTERS and not made_of_words(text[start:end]):
+            found.append((start, end, since))
+    return found
+
+
 def novel_spans(text: str, known: list[Span], novelty: Novelty, least: float) -> list[Span]:
-    """Incompressible strings close behind a sensitive word, apart from the known spans.
+    """Incompressible strings behind a sensitive word, apart from the known spans, and all their copies.
 
-    From its first occurrence in a span or behind a sensitive word on, a string doesn't speak for
-    itself as surrounding text. All its occurrences behind sensitive words go by the largest value.
+    What a string costs falls off with its distance from the word; of its places the best one counts.
     """
     folded = text.lower()
     if not any(w in folded for w in SENSITIVE_WORDS):
         return []
-    taken = sorted((s, e) for _, s, e, _ in known)
-    since: dict[str, int] = {}
-    for s, e in taken:
-        for part in VALUE.finditer(text, s, e):
-            since.setdefault(core_of(part[0]), part.start())
-    found: list[tuple[int, int]] = []
-    seen_to = 0
-    for word in SENSITIVE.finditer(text):
-        after = NAME_REST.match(text, word.end()).end()
-        for m in CANDIDATE.finditer(text, max(after, seen_to)):
-            if m.start() - after > REACH:
-                break
-            seen_to = m.end()
-            if (not made_of_words(m[0])
-                    and not any(s < m.end() and m.start() < e for s, e in taken)):
-                core = core_of(m[0])
-                since[core] = min(m.start(), since.get(core, m.start()))
-                found.append(m.span())
+    taken = Taken([(s, e) for _, s, e, _ in known])
+    found = [(s, e, d) for s, e, d in sensitive_candidates(text) if not taken.meets(s, e)]
     values: dict[str, float] = {}
-    for start, end in found:
+    for start, end, since in found:
         core = core_of(text[start:end])
-        values[core] = max(novelty(text, start, end, since[core]), values.get(core, 0.0))
-    return [("novel", start, end, value) for start, end in found
-            if (value := values[core_of(text[start:end])]) >= least]
+        weight = HALVED / (HALVED + max(0, since - NEAR))
+        if 2 * weight >= least:  # no string costs two bytes a character
+            values[core] = max(novelty(text, start, end) * weight, values.get(core, 0.0))
+    secret = {core: value for core, value in values.items() if value >= least}
+    spans = [("novel", s, e, secret[core]) for s, e, _ in found
+             if (core := core_of(text[s:e])) in secret]
+    if secret:
+        own = Taken([(s, e) for _, s, e, _ in spans])
+        spans += [("novel", *m.span(), secret[core]) for m in VALUE.finditer(text)
+                  if (core := core_of(m[0])) in secret
+                  and not taken.meets(*m.span()) and not own.meets(*m.span())]
+    return spans
 
 
 def spans_of(text: str, novelty: Novelty, least: float) -> list[Span]:
@@ -169,11 +207,12 @@ def find_secrets(docs: DataFrame, novelty: float = NOVELTY) -> DataFrame:
     """(doc_id, secrets), one row for each row of `docs`; secrets: kind, start, end, novelty.
 
     Spans count code points, end exclusive, by start, then kind as in KINDS. The base kinds are
-    the fixed patterns, on whole matches. `novel` spans stand close behind a sensitive word, are not
+    the fixed patterns, on whole matches. `novel` spans stand behind a sensitive word on its line, are not
     made of words, and cost at least `novelty` compressed bytes a character when the compressor
-    already knows the text around them and a dictionary of identifiers; of the text around, copies
-    of the string itself count only before it first stands in a span or behind a sensitive word. A NULL text is empty and
-    has none; repeated rows each get a row; other columns are ignored; no rows give none.
+    already knows the text around them, less their own copies, and a dictionary of identifiers; the cost
+    counts less with the distance from the word. Every copy of such a string is reported. Texts of any length
+    are searched whole, in time that grows with their length. A NULL text is empty and has none;
+    repeated rows each get a row; other columns are ignored; no rows give none.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
                       ("novelty", pa.float64())])
