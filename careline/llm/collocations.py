@@ -121,9 +121,13 @@ STATE = ("block long, ids binary, places binary, phrases binary, n long, base in
          "counted array<struct<left:long,right:long,c:long>>")
 
 
-def _state(block: int, ids: np.ndarray, places: bytes, phrases: bytes, n: int, left: np.ndarray,
-           right: np.ndarray, c: np.ndarray) -> pa.Table:
-    """A row with the state and rows with the counted phrases, of CHUNK each."""
+def _state(block: int, ids: np.ndarray, places: np.ndarray, phrases: np.ndarray, n: int,
+           left: np.ndarray, right: np.ndarray, c: np.ndarray) -> pa.Table:
+    """A row with what the scan leaves and rows with the phrases it counted, of CHUNK each.
+
+    ids of the shorter phrases; places and numbers of the longer ones that this scan found, numbered on
+    from those of earlier scans to `n`.
+    """
     starts = range(0, len(c), CHUNK)
     rows = 1 + len(starts)
     items = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (left, right, c)],
@@ -133,8 +137,8 @@ def _state(block: int, ids: np.ndarray, places: bytes, phrases: bytes, n: int, l
     return pa.table({
         "block": pa.array([block] * rows, pa.int64()),
         "ids": pa.array([_pack(ids), *alone], pa.binary()),
-        "places": pa.array([places, *alone], pa.binary()),
-        "phrases": pa.array([phrases, *alone], pa.binary()),
+        "places": pa.array([_gaps(places.astype(np.int32)), *alone], pa.binary()),
+        "phrases": pa.array([_pack(phrases.astype(np.int32)), *alone], pa.binary()),
         "n": pa.array([n, *alone], pa.int64()),
         "base": pa.array([0, *(n - len(c) + s for s in starts)], pa.int32()),
         "counted": pa.ListArray.from_arrays(pa.array(ends), items)})
@@ -143,38 +147,41 @@ def _state(block: int, ids: np.ndarray, places: bytes, phrases: bytes, n: int, l
 def _scan(tick: int, shards: int, words: bool) -> Callable[[pa.Table], pa.Table]:
     """Scan of one block for phrases one word longer than those its answers are about.
 
-    Rows of kind 0 have the block's places of the shorter phrases (words: its tokens), 1 what the last scan
-    left, 2 answers: ids of the block's phrases that reached the threshold since. A longer phrase
-    starts at the place of two neighbours with ids. It is active from the tick after the later of them
-    reached the threshold, for one cycle, so this scan counts it if it wasn't active in the last one.
+    Rows of kind 0 have the block's places of the shorter phrases (words: its tokens), 1 the ids known since
+    the last scan, 2 answers: ids of the block's phrases that reached the threshold since. A longer
+    phrase starts at the place of two neighbours with ids. It is active from the tick after the later of
+    them reached the threshold, for one cycle, so this scan counts it if it wasn't active in the last one.
     """
 
     def run(rows: pa.Table) -> pa.Table:
         kinds = rows["kind"].to_numpy()
         block = rows["block"][0].as_py()
-        here = {int(k): {c: rows[c][int(np.argmax(kinds == k))].as_py() for c in "abcn"}
-                for k in np.unique(kinds) if k < 2}
         answered = kinds == 2
-        numbers, new_ids = (rows[c].to_numpy(zero_copy_only=False)[answered] for c in ("j", "n"))
-        if words:
-            tokens = _unpack(here[0]["a"], np.int32)
-            places = np.flatnonzero(tokens >= 0).astype(np.int32)
-            phrases = tokens[places]
-        else:
-            places, phrases = _places(here[0]["a"]), _unpack(here[0]["b"], np.int32)
-        size = int(phrases.max(initial=-1)) + 1
-        ids = np.zeros(size, np.int64)
-        before = here.get(1)
-        if before:
-            known = _unpack(before["a"], np.int64)
-            ids[:len(known)] = known
-        ids[numbers.astype(np.int64)] = new_ids.astype(np.int64)
-        n = before["n"] if before else 0
+        numbers, new_ids = (rows[c].to_numpy(zero_copy_only=False)[answered].astype(np.int64)
+                            for c in ("j", "n"))
+        before = next(((rows["a"][int(i)].as_py(), rows["n"][int(i)].as_py())
+                       for i in np.flatnonzero(kinds == 1)), None)
+        known, n = (_unpack(before[0], np.int64), before[1]) if before else (np.zeros(0, np.int64), 0)
         none = np.zeros(0, np.int64)
         if not len(numbers):
-            empty = _pack(np.zeros(0, np.int32))
-            return _state(block, ids, before["b"] if before else empty,
-                          before["c"] if before else empty, n, none, none, none)
+            return _state(block, known, none, none, n, none, none, none)
+        places, phrases = [], []
+        for i in np.flatnonzero(kinds == 0):
+            if words:
+                tokens = _unpack(rows["a"][int(i)].as_py(), np.int32)
+                places.append(np.flatnonzero(tokens >= 0).astype(np.int32))
+                phrases.append(tokens[places[-1]])
+            else:
+                places.append(_places(rows["a"][int(i)].as_py()))
+                phrases.append(_unpack(rows["b"][int(i)].as_py(), np.int32))
+        places, phrases = np.concatenate(places), np.concatenate(phrases)
+        if not words:
+            order = np.argsort(places, kind="stable")
+            places, phrases = places[order], phrases[order]
+        size = int(phrases.max(initial=-1)) + 1
+        ids = np.zeros(size, np.int64)
+        ids[:len(known)] = known
+        ids[numbers] = new_ids
         found = ids[phrases]
         both = np.flatnonzero((found[:-1] != 0) & (found[1:] != 0)
                               & (places[1:] == places[:-1] + 1))
@@ -183,14 +190,8 @@ def _scan(tick: int, shards: int, words: bool) -> Callable[[pa.Table], pa.Table]
         both = both[start > tick - shards]
         code = phrases[both].astype(np.int64) * size + phrases[both + 1]
         code, which, c = np.unique(code, return_inverse=True, return_counts=True)
-        at, which = places[both], (n + which).astype(np.int32)
-        if before and n:
-            at = np.concatenate([_places(before["b"]), at])
-            which = np.concatenate([_unpack(before["c"], np.int32), which])
-            order = np.argsort(at, kind="stable")
-            at, which = at[order], which[order]
-        return _state(block, ids, _gaps(at), _pack(which), n + len(c),
-                      ids[code // max(size, 1)], ids[code % max(size, 1)], c)
+        return _state(block, ids, places[both], n + which, n + len(c), ids[code // max(size, 1)],
+                      ids[code % max(size, 1)], c)
 
     return run
 
@@ -213,7 +214,7 @@ class _Counting:
         self.blocks = blocks
         self.counts: dict[tuple[int, int], DataFrame] = {}   # by tick and length
         self.reached: dict[tuple[int, int], DataFrame] = {}  # only tables with rows
-        self.states: dict[tuple[int, int], DataFrame] = {}   # by shard and length of the known phrases
+        self.states: dict[tuple[int, int], list[DataFrame]] = {}  # of a shard's scans, by length of the known
         self.scans: dict[tuple[int, int], DataFrame] = {}    # by tick and length of the counted phrases
         tick = 0
         while tick < shards or any(self._news(tick, k) for k in range(1, longest)):
@@ -260,23 +261,24 @@ class _Counting:
         elif (shard, length - 1) in self.states:
             asked = _all([self._counted(t, length) for t in (tick - self.shards, tick)
                           if (t, length) in self.scans])
-            places = self.states[shard, length - 1].filter("ids is not null").select(
+            places = _all(self.states[shard, length - 1]).filter("ids is not null").select(
                 "block", F.col("places").alias("a"), F.col("phrases").alias("b"))
         else:
             return
         answers = asked.join(_all(self._news(tick, length)), self._key(length)).select(
             "block", F.lit(2).alias("kind"), "j", F.col("id").alias("n"),
-            *[null.cast("binary").alias(c) for c in "abc"])
-        rows = [answers, places.select(
-            "block", F.lit(0).alias("kind"), null.cast("int").alias("j"),
-            null.cast("long").alias("n"), "a", "b", null.cast("binary").alias("c"))]
-        if (shard, length) in self.states:
-            rows.append(self.states[shard, length].filter("ids is not null").select(
+            null.cast("binary").alias("a"), null.cast("binary").alias("b"))
+        rows = [answers, places.select("block", F.lit(0).alias("kind"), null.cast("int").alias("j"),
+                                       null.cast("long").alias("n"), "a", "b")]
+        earlier = self.states.setdefault((shard, length), [])
+        if earlier:
+            rows.append(earlier[-1].filter("ids is not null").select(
                 "block", F.lit(1).alias("kind"), null.cast("int").alias("j"), "n",
-                F.col("ids").alias("a"), F.col("places").alias("b"), F.col("phrases").alias("c")))
+                F.col("ids").alias("a"), null.cast("binary").alias("b")))
         scan = written(_all(rows).groupBy("block").applyInArrow(
             _scan(tick, self.shards, length == 1), STATE), f"scan-{tick}-{length + 1}")
-        self.states[shard, length] = self.scans[tick, length + 1] = scan
+        earlier.append(scan)
+        self.scans[tick, length + 1] = scan
         self._sum(self._counted(tick, length + 1), tick, length + 1)
 
     def _sum(self, rows: DataFrame, tick: int, length: int) -> None:
