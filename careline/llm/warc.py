@@ -17,7 +17,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careline.llm.common import utf8
+from careline.functions.semantics import join_apart
+from careline.llm.common import utf8, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -144,7 +145,9 @@ class BundleReader:
 def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, sha1, size, refers_to); refers_to of NULL makes a response.
 
-    Of equal payloads of at least `least_bytes`, rows with the smallest page_id are responses.
+    Of equal payloads of at least `least_bytes`, rows with the smallest page_id are responses. First ids
+    are found on digests and sizes alone, and only of payloads that repeat; the engine can split
+    the rows of a payload that many pages share when they are joined to theirs.
     """
     payload = utf8(F.col("html"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"),
@@ -152,8 +155,8 @@ def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
                         F.sha1(payload).alias("sha1"),
                         F.octet_length(payload).cast("long").alias("size"))
     firsts = (rows.filter(F.col("size") >= least_bytes).groupBy("sha1", "size")
-              .agg(F.min("page_id").alias("first_id")))
-    return rows.join(firsts, ["sha1", "size"], "left").select(
+              .agg(F.min("page_id").alias("first_id"), F.count("*").alias("k")).filter("k > 1").drop("k"))
+    return join_apart(rows, firsts, ["sha1", "size"], "left").select(
         "page_id", "url", "payload", "sha1", "size",
         F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
         .alias("refers_to"))
@@ -225,11 +228,18 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
                         records.append(record)
                     yield _batch(records)
 
-    # 64 frames to a task's share, so that a large bundle is read by several tasks.
-    shares = (index.groupBy("bundle", F.floor(F.col("frame") / 64).alias("part"))
-              .agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
-              .select("bundle", "first", "last"))
-    return shares.mapInArrow(run, RECORD)
+    # 64 frames to a share, so that a large bundle is read by several tasks. Shares are short rows, which
+    # the engine would put together by their size; they are dealt out by number instead.
+    shares = written(index.groupBy("bundle", F.floor(F.col("frame") / 64).alias("part"))
+                     .agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+                     .select("bundle", "first", "last"), "shares")
+    return _dealt(shares, ["bundle", "first"]).mapInArrow(run, RECORD)
+
+
+def _dealt(places: DataFrame, order: list[str]) -> DataFrame:
+    """Rows in as many partitions as there are rows, but no more than the session shuffles to."""
+    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return places.repartitionByRange(max(1, min(tasks, places.count())), *order)
 
 
 def fetch(index: DataFrame) -> DataFrame:
@@ -242,8 +252,9 @@ def fetch(index: DataFrame) -> DataFrame:
                 data = BundleReader(uri).frame(frame)
                 yield _batch([parse_record(data, at)[0] for at in sorted(offsets)])
 
-    places = index.groupBy("bundle", "frame").agg(F.collect_list("offset").alias("offsets"))
-    return places.mapInArrow(run, RECORD)
+    places = written(index.groupBy("bundle", "frame")
+                     .agg(F.collect_list("offset").alias("offsets")), "frames")
+    return _dealt(places, ["bundle", "frame"]).mapInArrow(run, RECORD)
 
 
 def archive_and_read(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:

@@ -3,8 +3,9 @@ import hashlib
 from pathlib import Path
 
 import zstandard
+from pyspark.sql import functions as F
 
-from careline.llm.warc import BundleReader, fetch, read_bundles, write_bundles
+from careline.llm.warc import BundleReader, fetch, read_bundles, with_roles, write_bundles
 
 SCHEMA = "page_id long, url string, html string, bundle string"
 
@@ -57,3 +58,27 @@ def test_small_payloads_stay_responses(spark, tmp_path):
     assert {r.record_type for r in read_bundles(index).collect()} == {"response"}
     empty = write_bundles(spark.createDataFrame([], SCHEMA), str(tmp_path / "d"))
     assert read_bundles(empty).count() == 0
+
+
+def test_each_share_is_read_by_a_task_of_its_own(spark, tmp_path):
+    rows = [(i, "u", f"{i} " * 300, "x") for i in range(800)]
+    index = write_bundles(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "e"), frame_bytes=30_000,
+                          bundle_bytes=1000)
+    assert index.select("bundle").distinct().count() >= 8
+    tasks = read_bundles(index).select(F.spark_partition_id().alias("t")).groupBy("t").count().collect()
+    assert len(tasks) == 8 and sum(r["count"] for r in tasks) == 800
+
+
+def test_pages_that_share_a_payload_can_be_split(spark, tmp_path):
+    """Both sides of the join are exchanged for it, also the first ids, which lie by digest already."""
+    rows = [(i, "u", "same" if i % 3 else f"own {i}", "x") for i in range(300)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = with_roles(spark.createDataFrame(rows, SCHEMA))
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        got = {r.page_id: r.refers_to for r in frame.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("ENSURE_REQUIREMENTS") == 3
+    assert got == {i: 1 if i % 3 and i != 1 else None for i in range(300)}
