@@ -39,13 +39,16 @@ def _aged(frame: DataFrame) -> DataFrame:
                  .withColumn("age_order", level_order(F.col("age_band"), L.AGE_LEVELS)))
 
 
-def cohort_patients(valid: DataFrame, patients: DataFrame) -> DataFrame:
-    """Naive patients with group, dispensing rows, start year, sex and age band."""
+def cohort_patients(valid: DataFrame, patients: DataFrame, copies: str | None = None) -> DataFrame:
+    """Naive patients with group, dispensing rows, start year, sex and age band.
+
+    `copies` names a column that says for how many dispensing rows a row stands.
+    """
     ts = F.col("dispensed_at")
     per_patient = (valid.groupBy("nhc")
                    .agg(single_valued("med_group").alias("one"),
                         F.min("med_group").alias("med_group"),
-                        F.count(F.lit(1)).alias("n_rows"),
+                        (F.sum(copies) if copies else F.count(F.lit(1))).alias("n_rows"),
                         F.year(F.min(ts)).cast("int").alias("start_year"))
                    .filter("one").drop("one"))
     return _aged(join_on(per_patient, demographics(patients), ["nhc"], "left"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from careline.functions import labels as L
 from careline.functions.bands import coverage_class, level_order
 from careline.functions.rounding import mean_of_tenths, round_to, round_up_to, tenths
-from careline.functions.semantics import join_on, strict
+from careline.functions.semantics import join_on
 from careline.functions.text import count_label, percent_text
 from careline.functions.timeparts import elapsed_days
 
@@ -34,20 +34,25 @@ def _ratio(units: Column, posology: Column, days: Column, rounding: str) -> Colu
     return round_to(F.try_divide(per_day, days.cast("double")), 1, rounding)
 
 
-def coverage_ratio(valid: DataFrame, weight: str = "row", rounding: str = "half_up") -> DataFrame:
-    """Treatments with units, days, coverage of their posology and of their specialty.
+def treatment_sums(valid: DataFrame) -> DataFrame:
+    """One row per treatment: dispensing rows, quantities and their sum, first and last dispensing.
 
-    The mean over a specialty weighs every posology by its dispensing rows
-    (`weight='row'`) or equally (`weight='posology'`). Treatments without a finite
-    coverage are dropped.
+    All that coverage needs of the valid dispensings, combined where the join makes them.
     """
+    ts, qty = F.col("dispensed_at"), F.col("qty")
+    return valid.groupBy(*[c for c in valid.columns if c not in ("dispensed_at", "qty")]).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(qty).alias("n_qty"), F.sum(qty).alias("sum_qty"),
+        F.min(ts).alias("first_at"), F.max(ts).alias("last_at"))
+
+
+def coverage_of(sums: DataFrame, weight: str = "row", rounding: str = "half_up") -> DataFrame:
+    """`coverage_ratio` from the rows of `treatment_sums`."""
     if weight not in ("row", "posology"):
         raise ValueError(f"unknown weight {weight!r}")
-    ts, qty = F.col("dispensed_at"), F.col("qty")
-    posologies = (valid.groupBy(*POSOLOGY)
-                  .agg(F.count(F.lit(1)).alias("n_rows"),
-                       strict(F.sum(qty), qty).alias("units"),
-                       elapsed_days(F.min(ts), F.max(ts)).alias("days"))
+    posologies = (sums.groupBy(*POSOLOGY)
+                  .agg(F.sum("n_rows").alias("n_rows"),
+                       F.when(F.sum("n_qty") == F.sum("n_rows"), F.sum("sum_qty")).alias("units"),
+                       elapsed_days(F.min("first_at"), F.max("last_at")).alias("days"))
                   .withColumn("coverage_posology",
                               _ratio(F.col("units"), F.col("posology_days"), F.col("days"),
                                      rounding))
@@ -57,7 +62,17 @@ def coverage_ratio(valid: DataFrame, weight: str = "row", rounding: str = "half_
                    .agg(mean_of_tenths(F.sum(tenths(F.col("coverage_posology")) * rows),
                                        F.sum(rows)).alias("coverage")))
     rated = join_on(posologies.drop("n_rows"), specialties, SPECIALTY)
-    return join_on(valid.drop("dispensed_at", "qty").distinct(), rated, POSOLOGY)
+    return join_on(sums.drop("n_rows", "n_qty", "sum_qty", "first_at", "last_at"), rated, POSOLOGY)
+
+
+def coverage_ratio(valid: DataFrame, weight: str = "row", rounding: str = "half_up") -> DataFrame:
+    """Treatments with units, days, coverage of their posology and of their specialty.
+
+    The mean over a specialty weighs every posology by its dispensing rows
+    (`weight='row'`) or equally (`weight='posology'`). Treatments without a finite
+    coverage are dropped.
+    """
+    return coverage_of(treatment_sums(valid), weight, rounding)
 
 
 def classified(treatments: DataFrame) -> DataFrame:

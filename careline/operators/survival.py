@@ -53,21 +53,31 @@ def persistence_times(rows: DataFrame, end: str = "previous") -> DataFrame:
             .drop("__previous", "__first", "__last"))
 
 
-def persistence_counts(rows: DataFrame, end: str = "previous", unit: str = "row") -> DataFrame:
+def instants(valid: DataFrame) -> DataFrame:
+    """One row per patient, drug group and instant, with its dispensing rows in `copies`.
+
+    The cohort, its ranking and its curves need no more of the valid dispensings.
+    """
+    return valid.groupBy(*SUBJECT, "dispensed_at").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def persistence_counts(rows: DataFrame, end: str = "previous", unit: str = "row",
+                       copies: str | None = None) -> DataFrame:
     """Rows and events per drug group and time, without row-level windows.
 
     Dispensings are first counted per patient and instant. At an instant the first
     row looks back to the previous instant and the others to the instant itself;
-    the very last row is the event. With `unit='patient'` only that row counts.
+    the very last row is the event. With `unit='patient'` only that row counts. `copies` names a column
+    that says for how many dispensing rows a row stands.
     """
     _check(end, unit)
-    instants = (rows.groupBy(*SUBJECT, "dispensed_at")
-                .agg(F.count(F.lit(1)).alias("k")))
+    counted = (rows.groupBy(*SUBJECT, "dispensed_at")
+               .agg((F.sum(copies) if copies else F.count(F.lit(1))).alias("k")))
     now, k = F.col("dispensed_at"), F.col("k")
-    instants = with_previous(instants, SUBJECT, ["dispensed_at"], {"before": "dispensed_at"})
-    spans = instants.groupBy(*SUBJECT).agg(F.min("dispensed_at").alias("first"),
-                                           F.max(order_key("dispensed_at")).alias("__last"))
-    marked = join_on(instants, spans, SUBJECT).withColumn(
+    counted = with_previous(counted, SUBJECT, ["dispensed_at"], {"before": "dispensed_at"})
+    spans = counted.groupBy(*SUBJECT).agg(F.min("dispensed_at").alias("first"),
+                                          F.max(order_key("dispensed_at")).alias("__last"))
+    marked = join_on(counted, spans, SUBJECT).withColumn(
         "final", order_key("dispensed_at").eqNullSafe(F.col("__last")))
     here = _months(F.col("first"), now)
     leading = _months(F.col("first"), F.col("before")) if end == "previous" else here

@@ -96,14 +96,10 @@ class Star:
         """For a query that starts from it once."""
         return D.valid_dispensings(self.dispensed, self.prescriptions, AS_OF)
 
-    @cached_property
-    def valid(self) -> DataFrame:
-        """Written, as several steps of a query start from it: one interval join for all."""
-        return written(self.valid_once, "valid")
-
     @cached_property
     def treatments(self) -> DataFrame:
-        return V.coverage_ratio(self.valid)
+        """From a row per treatment, written: one interval join, and nothing wider than needed."""
+        return V.coverage_of(written(V.treatment_sums(self.valid_once), "treatments"))
 
     @cached_property
     def rated(self) -> DataFrame:
@@ -113,18 +109,32 @@ class Star:
     def fine(self) -> DataFrame:
         return D.dispensed(self.table("dispensings_fine"))
 
+    @cached_property
+    def fine_valid_once(self) -> DataFrame:
+        return D.valid_dispensings(
+            self.fine, D.with_posology(self.table("prescriptions_fine")), AS_OF)
+
     @cached_property
     def fine_valid(self) -> DataFrame:
-        return written(D.valid_dispensings(
-            self.fine, D.with_posology(self.table("prescriptions_fine")), AS_OF), "valid")
+        """Written, for queries that return its rows and start from it several times."""
+        return written(self.fine_valid_once, "valid")
+
+    @cached_property
+    def instants(self) -> DataFrame:
+        """Written, for queries about the cohort as a whole: one interval join for all of it."""
+        return written(K.instants(self.fine_valid_once), "instants")
 
     @cached_property
     def people(self) -> DataFrame:
-        return C.cohort_patients(self.fine_valid, self.table("patients"))
+        return C.cohort_patients(self.instants, self.table("patients"), "copies")
 
     @cached_property
     def cohort_rows(self) -> DataFrame:
-        return C.cohort_rows(self.fine_valid, self.people)
+        return C.cohort_rows(self.fine_valid, C.cohort_patients(self.fine_valid, self.table("patients")))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return K.persistence_counts(C.cohort_rows(self.instants, self.people), copies="copies")
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -133,7 +143,7 @@ class Star:
     @cached_property
     def compared(self) -> DataFrame:
         """Written: a row for each time of a frequent drug, where curves and tests start."""
-        return written(K.ranked_counts(K.persistence_counts(self.cohort_rows), self.ranked), "counts")
+        return written(K.ranked_counts(self.counts, self.ranked), "counts")
 
     @cached_property
     def leading(self) -> DataFrame:
@@ -474,7 +484,7 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     "qc_overlaps": lambda s: D.overlap_counts(s.valid_once),
     # cohort
     "naive_patients": lambda s: C.naive_rows(s.fine_valid),
-    "naive_patients_total": lambda s: V.patients_total(C.naive_rows(s.fine_valid)),
+    "naive_patients_total": lambda s: V.patients_total(C.naive_rows(s.instants)),
     "cohort_demographics": lambda s: s.cohort_rows,
     "age_band": _age_band,
     "cohort_by_drug": lambda s: C.cohort_by_drug(s.people),
@@ -491,7 +501,7 @@ QUERIES: dict[str, Callable[[Star], DataFrame]] = {
     # persistence
     "persistence_times": lambda s: K.persistence_times(s.cohort_rows).select(
         *D.present(s.cohort_rows, D.DISPENSED), *D.PRESCRIBED, "sex", "months", "is_last"),
-    "persistence_counts": lambda s: K.persistence_counts(s.cohort_rows),
+    "persistence_counts": lambda s: s.counts,
     "frequent_drugs": lambda s: s.ranked,
     "km_curve": lambda s: rounded(s.leading, "survival"),
     "km_median": lambda s: rounded(K.median_survival(s.leading), "median_months"),
