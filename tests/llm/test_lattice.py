@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from careline.llm.lattice import near_vectors, nearest, shortest
 
@@ -93,3 +94,19 @@ def test_long_chains_are_one_component(spark):
                                   "p long, q long")
     got = {r.node: r.component for r in components(edges, "p", "q").collect()}
     assert got == {**{i: 0 for i in ids}, 1000: 1000, 1001: 1000}
+
+
+@pytest.mark.parametrize("dimension", [8, 16, 32, 64, 384])
+def test_recall_by_dimension(spark, dimension):
+    """Pairs just above the threshold, each in a direction of its own."""
+    rng, rows = np.random.default_rng(dimension), []
+    for _ in range(600):
+        a, b = rng.normal(size=(2, dimension))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        for v in (a, 0.981 * a + np.sqrt(1 - 0.981 ** 2) * b):
+            rows.append((len(rows), v.tolist(), 1, "x", 1))
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    there = sum(n for _, n, _ in brute(rows)) if dimension == 8 else 1200
+    assert 0.99 * there <= sum(r.n_links for r in got) <= there
