@@ -12,7 +12,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careline.llm.common import ALNUM, utf8, written
+from careline.llm.common import ALNUM, unused, utf8, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -227,7 +227,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     Decided by the text alone, on its SHA-256: ids may be NULL or repeat. The hashes are written
     first, so that the engine can split a text that many rows hold.
     """
-    digest = F.unhex(F.sha2(utf8(F.col("text")), 256))
+    digest, name = F.unhex(F.sha2(utf8(F.col("text")), 256)), unused("bad", docs.columns)
     bad = written(contamination(docs, benchmark, window, share, digest).filter("contaminated")
-                  .select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, digest == F.col("__bad"), "left_anti")
+                  .select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(bad, digest == F.col(name), "left_anti")

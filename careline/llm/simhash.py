@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 from functools import partial, reduce
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from careline.llm.common import folded_words, utf8, written
+from careline.llm.common import folded_words, unused, utf8, written
 from careline.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -127,8 +128,11 @@ def distinct_documents(docs: DataFrame, shingle: int = 3, max_bits: int = 2) ->
     """One row of each group of `simhash_groups`, with all columns of `docs`.
 
     It is the row with the smallest doc_id, those without id last; of several with that id the one with
-    the smallest fingerprint, then text, then other columns. NULL and empty texts are one group.
+    the smallest fingerprint, then text, then other columns that have an order. NULL and empty texts are
+    one group.
     """
+    fp = unused("fp", docs.columns)
+    name = unused("id", [*docs.columns, fp])
     columns, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,18 +140,19 @@ def distinct_documents(docs: DataFrame, shingle: int = 3, max_bits: int = 2) ->
             fps = np.array([fingerprint((t.as_py() or "").encode(), shingle)
                             for t in batch.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())],
-                                             [*columns, "__fp"])
+                                             [*columns, fp])
 
     rows = written(fingerprints(docs, shingle), "fingerprints")
     labelled = _named_classes(rows, max_bits)
     first = (labelled.groupBy("component").agg(F.min(F.struct(
         F.col("first_id").isNull().alias("unnamed"), "first_id", "fp")).alias("first"))
-        .select(F.coalesce(F.col("first.first_id").cast("string"), F.lit("")).alias("__id"),
-                F.col("first.fp").alias("__fp")))
-    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+        .select(F.coalesce(F.col("first.first_id").cast("string"), F.lit("")).alias(name),
+                F.col("first.fp").alias(fp)))
+    schema = StructType([*docs.schema.fields, StructField(fp, LongType())])
     named = docs.mapInArrow(run, schema).withColumn(
-        "__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    order = ["text", *[c for c in columns if c != "text"]]
-    return (named.join(first, ["__id", "__fp"])
-            .groupBy("__id", "__fp").agg(F.min(F.struct(*order)).alias("row"))
-            .select(*[F.col(f"row.{c}").alias(c) for c in columns]))
+        name, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    ordered = ["text", *[f.name for f in docs.schema.fields if f.name != "text"
+                         and not re.search(r"\b(map|variant)\b", f.dataType.simpleString())]]
+    return (named.join(first, [name, fp])
+            .groupBy(name, fp).agg(F.min_by(F.struct(*columns), F.struct(*ordered)).alias("row"))
+            .select(*[F.col("row")[c].alias(c) for c in columns]))

@@ -84,3 +84,24 @@ def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark, docs_of, tm
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
         [(1, clean), (1, clean), (None, clean + " x"), (None, None), (None, "")], key=str)
+
+
+def test_columns_with_any_names_and_types(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    from careline.llm.decontaminate import drop_contaminated
+    from careline.llm.simhash import distinct_documents
+
+    item = " ".join(f"exam{i}" for i in range(20))
+    docs = docs_of([(1, "one two three"), (2, "one two three"), (3, item), (3, item), (None, None)]).withColumns(
+        {c: F.lit("x") for c in ("fp", "__fp", "id", "__id", "bad", "__bad", "row", "first")}
+        | {"pairs": F.create_map(F.lit("k"), F.col("doc_id"))})
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    kept = drop_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, None]
+    single = distinct_documents(docs)
+    assert single.columns == docs.columns and dict(single.dtypes) == dict(docs.dtypes)
+    rows = single.collect()
+    assert sorted((r.doc_id for r in rows), key=str) == [1, 3, None]
+    assert all(r.pairs == {"k": r.doc_id} and r["__fp"] == "x" for r in rows)
