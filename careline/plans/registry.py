@@ -369,7 +369,8 @@ def row_text(report: str, table: str) -> str:
         if name.endswith("$"):
             text = f"CAST({name[:-1]} AS STRING)"
         else:
-            value = f"{name[:-1]} * 10" if name.endswith("~") else f"{name} * 1000"
+            # six decimals first, as the queries give them, so that both sides scale the same number
+            value = f"round({name[:-1]}, 6) * 10" if name.endswith("~") else f"round({name}, 6) * 1000"
             text = f"CAST(CAST(round({value}) AS BIGINT) AS STRING)"
         return f"coalesce({text}, '~')"
 
