@@ -5,15 +5,15 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 from itertools import combinations
-from operator import add
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -64,27 +64,15 @@ def _mask(positions: tuple[int, ...]) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many byte positions two fingerprints agree in."""
-    x = a.bitwiseXOR(b)
-    return reduce(add, (F.when(x.bitwiseAND(F.lit(_mask((p,)))) == 0, 1).otherwise(0)
-                        for p in range(BYTES)))
+def meetings(classes: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(a, b, n): distinct fingerprints `fp`, a < b, that meet in n > 0 postings.
 
-
-def linked(classes: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(a, b) of distinct fingerprints `fp` that differ in at most `max_bits` bits, a < b.
-
-    Differing bits touch at most `max_bits` bytes, so a linked pair shares at least
-    8 - max_bits positional bytes. A posting of a single positional byte would hold 1/256
-    of all rows; a posting here is the set of that guaranteed number of positional bytes,
-    so that every linked pair meets in one, and a posting never holds more than the
-    256 ** max_bits values of the other bytes. Pairs that meet are tallied over all
-    positions, kept from the guaranteed minimum on, and verified on their bits.
+    A posting is a set of positions with the bytes there. Differing bits touch at most `max_bits`
+    bytes, so a linked pair shares the others, and every set within them. Single positions would put
+    1/256 of all rows into a posting; sets of one position less than a linked pair shares leave
+    256 ** (max_bits + 1) values for the other bytes and still tell by their number how many are shared.
     """
-    if not 0 < max_bits < BYTES:
-        raise ValueError("max_bits: 1 to 7")
-    least = BYTES - max_bits
-    sets = list(combinations(range(BYTES), least))
+    sets = list(combinations(range(BYTES), _width(max_bits)))
     posting = F.explode(F.array(*(
         F.struct(F.lit(i).alias("positions"),
                  F.col("fp").bitwiseAND(F.lit(_mask(s))).alias("bytes"))
@@ -92,11 +80,27 @@ def linked(classes: DataFrame, max_bits: int = 2) -> DataFrame:
     postings = classes.select("fp", posting).select("p.positions", "p.bytes", "fp")
     a = postings.withColumnRenamed("fp", "a")
     b = postings.withColumnRenamed("fp", "b")
-    x, y = F.col("a"), F.col("b")
-    return (a.join(b, ["positions", "bytes"])
-            .filter((x < y) & (shared_bytes(x, y) >= least)
-                    & (F.bit_count(x.bitwiseXOR(y)) <= max_bits))
-            .select("a", "b").distinct())
+    return (a.join(b, ["positions", "bytes"]).filter(F.col("a") < F.col("b"))
+            .groupBy("a", "b").agg(F.count("*").alias("n")))
+
+
+def _width(max_bits: int) -> int:
+    if not 0 < max_bits < BYTES:
+        raise ValueError("max_bits: 1 to 7")
+    return max(1, BYTES - max_bits - 1)
+
+
+def linked(classes: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(a, b) of distinct fingerprints `fp` that differ in at most `max_bits` bits, a < b.
+
+    A pair that shares at least 8 - max_bits positional bytes meets in every posting of those: the
+    tally of meetings keeps pairs that reach this number, and their bits are verified.
+    """
+    least = comb(BYTES - max_bits, _width(max_bits))
+    return (meetings(classes, max_bits)
+            .filter((F.col("n") >= least)
+                    & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
+            .select("a", "b"))
 
 
 def _named_classes(rows: DataFrame, max_bits: int) -> DataFrame:

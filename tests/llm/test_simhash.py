@@ -3,7 +3,7 @@ import re
 
 import xxhash
 
-from careline.llm.simhash import simhash_groups
+from careline.llm.simhash import linked, meetings, simhash_groups
 
 
 def brute_fingerprint(text):
@@ -69,3 +69,34 @@ def test_more_bits(docs_of):
             for i in range(300)]
     got = result(simhash_groups(docs_of(rows), max_bits=3))
     assert got == brute_groups(rows, 3)
+
+
+def test_tally_drops_pairs_that_share_too_few_bytes(spark):
+    """Five shared bytes meet once, six in six postings, seven in twenty-one."""
+    base = 0x0102030405060708
+    rows = [base, base ^ 0x010101, base ^ 0x0101, base ^ 1, base ^ 0xFF, base ^ 0x01010101]
+    classes = spark.createDataFrame([(r,) for r in rows], "fp long")
+    met = {(r.a, r.b): r.n for r in meetings(classes).collect()}
+
+    def n(x, y):
+        return met.get((min(x, y), max(x, y)), 0)
+    assert [n(base, r) for r in rows[1:]] == [1, 6, 21, 21, 0]
+    got = {(r.a, r.b) for r in linked(classes).collect()}
+    want = {(min(x, y), max(x, y)) for x in rows for y in rows
+            if x != y and (x ^ y).bit_count() <= 2}
+    assert got == want and len(met) > len(want)
+
+
+def test_links_against_all_pairs_of_close_fingerprints(spark):
+    rng = random.Random(9)
+    rows = {rng.getrandbits(63) for _ in range(20)}
+    for fp in [*rows]:
+        for _ in range(12):
+            for bit in rng.sample(range(63), rng.randint(1, 4)):
+                fp ^= 1 << bit
+            rows.add(fp)
+    classes = spark.createDataFrame([(r,) for r in rows], "fp long")
+    for bits in (1, 2, 3, 7):
+        got = sorted((r.a, r.b) for r in linked(classes, bits).collect())
+        assert got == sorted((x, y) for x in rows for y in rows
+                             if x < y and (x ^ y).bit_count() <= bits)
