@@ -1,8 +1,8 @@
-"""Bigram language model as a weighted backoff automaton, counted and applied block by block.
+"""Trigram language model as a weighted backoff automaton, counted and applied block by block.
 
-A block is some thousand documents. It asks for the corpus counts of its own distinct words and
-bigrams only, so nothing grows with the vocabulary: counts are summed in ranges of hashes and
-go back to the blocks that asked. The tables of a range and of a block are of bounded size.
+A block is some thousand documents. It asks for the corpus counts of its own distinct n-grams
+only, so nothing grows with the vocabulary: counts are summed in ranges of hashes and go back to
+the blocks that asked. The tables of a range and of a block are of bounded size.
 """
 
 from __future__ import annotations
@@ -24,14 +24,16 @@ from careline.llm.common import folded_words, utf8, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Words of the longest n-gram; histories have up to one less.
+ORDER = 3
 #: Tokens of a block; a longer document is cut into pieces that carry the state over.
 BLOCK_TOKENS = 1_500_000
 #: Entries of a range of hashes, over all blocks, at most about.
 RANGE_ENTRIES = 3_000_000
 REMEMBERED = 300_000
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
-#: Share of the bigram in the mixture of bigram and word probability.
-WEIGHT = 0.3
+#: Classes of histories by the bit length of their count; each has discounts of its own.
+CLASSES = 64
 
 
 class WordHashes(dict):
@@ -49,35 +51,43 @@ class WordHashes(dict):
         return out
 
 
-def bigrams(hashes: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it; the first has none."""
-    pair = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[1:]
+def chained(histories: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hash of each history with the word after it."""
+    pair = (histories * np.uint64(0x9E3779B97F4A7C15)) ^ words
     pair = (pair ^ (pair >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return pair ^ (pair >> np.uint64(32))
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Sorted or small numbers in few bytes: differences, byte planes, Zstandard."""
-    steps = np.diff(numbers.astype(np.uint64), prepend=np.uint64(0))
-    planes = steps.view(np.uint8).reshape(-1, 8).T.copy()
+def planed(numbers: np.ndarray) -> bytes:
+    """Small numbers in few bytes: byte planes, Zstandard."""
+    planes = numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.copy()
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unplaned(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(),
-                     dtype=np.uint64)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Sorted numbers, as their differences."""
+    return planed(np.diff(numbers.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(data), dtype=np.uint64)
 
 
 BLOCKS = ("block long, doc_ids array<string>, rows array<long>, held array<boolean>, "
-          "lengths array<int>, leads array<boolean>, tokens binary, words binary, "
-          "n_words long, n_pairs long, n_train long")
+          "lengths array<int>, leads array<int>, tokens binary, words binary, "
+          "n_grams long, n_train long")
 
 
 def make_blocks(docs: DataFrame, learn: Column, block_tokens: int) -> DataFrame:
     """Documents as runs of indices into the block's sorted distinct word hashes.
 
-    leads: the first token of a piece is the last one of the piece before, and not scored.
+    leads: how many tokens at the start of a piece are the last ones of the piece before; they
+    carry the state over and are not scored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,21 +109,20 @@ def make_blocks(docs: DataFrame, learn: Column, block_tokens: int) -> DataFrame:
                  "rows": [[next_id + r for r in rows]],
                  "held": [list(held)], "lengths": [[len(h) for h in hashes]],
                  "leads": [list(leads)], "tokens": [squeeze(planes.tobytes())],
-                 "words": [packed(words)], "n_words": [len(words)], "n_pairs": [len(tokens)],
+                 "words": [packed(words)], "n_grams": [len(words) + (ORDER - 1) * len(tokens)],
                  "n_train": [train]}, schema)
 
         schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.string())),
                             ("rows", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-                            ("lengths", pa.list_(pa.int32())), ("leads", pa.list_(pa.bool_())),
+                            ("lengths", pa.list_(pa.int32())), ("leads", pa.list_(pa.int32())),
                             ("tokens", pa.binary()), ("words", pa.binary()),
-                            ("n_words", pa.int64()), ("n_pairs", pa.int64()),
-                            ("n_train", pa.int64())])
+                            ("n_grams", pa.int64()), ("n_train", pa.int64())])
         for batch in batches:
             ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for doc_id, own, text in zip(ids, held, batch.column(1), strict=True):
                 hashes, start = known.of(text.as_py()), 0
                 while start < len(hashes):
-                    lead = start > 0
+                    lead = min(start, ORDER - 1)
                     end = min(len(hashes), start + max(1, block_tokens - size))
                     pieces.append((doc_id, n_docs, own, lead, hashes[start - lead:end]))
                     size += end - start + lead
@@ -131,32 +140,56 @@ def make_blocks(docs: DataFrame, learn: Column, block_tokens: int) -> DataFrame:
 
 
 class Block:
-    """A block's tokens, its distinct words and bigrams, and where each token's are."""
+    """A block's tokens, and for each length its distinct n-grams and which of them ends where.
+
+    place: how many tokens of its piece stand before a token; an n-gram of k + 1 words ends
+    where it is at least k.
+    """
 
     def __init__(self, row: dict) -> None:
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.uint8)
-        self.at = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().astype(
-            np.int64)
-        self.words = unpacked(row["words"])
+        at = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+        words = unpacked(row["words"])
         lengths = np.asarray(row["lengths"], np.int64)
-        self.ends = np.cumsum(lengths)
-        self.starts = self.ends - lengths
-        self.piece = np.repeat(np.arange(len(lengths)), lengths)
-        self.scored = np.ones(len(self.at), bool)
-        self.scored[self.starts[np.asarray(row["leads"], bool)]] = False
-        self.follows = np.ones(len(self.at), bool)
-        self.follows[self.starts] = False
-        self.train = ~np.asarray(row["held"], bool)[self.piece]
-        second = np.flatnonzero(self.follows)
-        self.second = second
-        pairs = bigrams(self.words[self.at])[second - 1]
-        self.pairs, self.pair_at = np.unique(pairs, return_inverse=True)
-
-    def own_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        use = self.scored & self.train
-        words = np.bincount(self.at[use], minlength=len(self.words))
-        return words, np.bincount(self.pair_at[self.train[self.second]],
-                                  minlength=len(self.pairs))
+        self.starts = np.cumsum(lengths) - lengths
+        piece = np.repeat(np.arange(len(lengths)), lengths)
+        self.place = np.arange(len(at)) - self.starts[piece]
+        self.scored = self.place >= np.asarray(row["leads"], np.int64)[piece]
+        self.counted = self.scored & ~np.asarray(row["held"], bool)[piece]
+        self.grams, self.at = [words], [at]
+        tokens = gram = words[at]
+        for k in range(1, ORDER):
+            gram = chained(gram[:-1], tokens[k:])
+            ends = np.flatnonzero(self.place[k:] >= k)
+            distinct, ids = np.unique(gram[ends], return_inverse=True)
+            at = np.zeros(len(tokens), np.int64)
+            at[ends + k] = ids
+            self.grams.append(distinct)
+            self.at.append(at)
+
+    def own_counts(self) -> list[np.ndarray]:
+        return [np.bincount(self.at[k][self.counted & (self.place >= k)],
+                            minlength=len(self.grams[k])) for k in range(ORDER)]
+
+
+def _classes_of(counts: np.ndarray) -> np.ndarray:
+    """Bit length of each count."""
+    return np.frexp(counts.astype(np.float64))[1]
+
+
+def singles_and_mass(block: Block, totals: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Training tokens whose n-gram occurs this one time, and all, by length and class of history.
+
+    An n-gram that occurs once does so in one block, so sums over blocks are corpus counts.
+    """
+    singles, mass = [], []
+    for k in range(1, ORDER):
+        ends = np.flatnonzero(block.counted & (block.place >= k))
+        classes = _classes_of(totals[k - 1][block.at[k - 1][ends - 1]])
+        once = totals[k][block.at[k][ends]] == 1
+        singles += np.bincount(classes[once], minlength=CLASSES).tolist()
+        mass += np.bincount(classes, minlength=CLASSES).tolist()
+    return singles, mass
 
 
 def _ranges_of(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -164,8 +197,9 @@ def _ranges_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((hashes >> np.uint64(1)) >> np.uint64(63 - bits)).astype(np.int64)
 
 
-REQUESTS = "part long, block long, words binary, n_words binary, pairs binary, n_pairs binary"
-ANSWERS = "part long, block long, words binary, pairs binary, vocabulary long"
+_OF = [*range(ORDER)]
+REQUESTS = "part long, block long, " + ", ".join(f"grams{k} binary, own{k} binary" for k in _OF)
+ANSWERS = "part long, block long, vocabulary long, " + ", ".join(f"totals{k} binary" for k in _OF)
 
 
 def requests(blocks: DataFrame, bits: int) -> DataFrame:
@@ -177,19 +211,15 @@ def requests(blocks: DataFrame, bits: int) -> DataFrame:
 
     def rows_of(block_id: int, block: Block) -> pa.RecordBatch:
         counts = block.own_counts()
-        places = [_ranges_of(h, bits) for h in (block.words, block.pairs)]
+        places = [_ranges_of(h, bits) for h in block.grams]
         parts = np.unique(np.concatenate(places))
-        columns: list[list] = [[] for _ in range(4)]
-        for k, hashes in enumerate((block.words, block.pairs)):
-            cuts = zip(np.searchsorted(places[k], parts, "left"),
-                       np.searchsorted(places[k], parts, "right"), strict=True)
-            for a, b in cuts:
-                columns[2 * k].append(packed(hashes[a:b]))
-                columns[2 * k + 1].append(packed(counts[k][a:b]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(parts), pa.array([block_id] * len(parts), pa.int64()),
-             *(pa.array(c, pa.binary()) for c in columns)],
-            ["part", "block", "words", "n_words", "pairs", "n_pairs"])
+        columns = {"part": pa.array(parts), "block": pa.array([block_id] * len(parts), pa.int64())}
+        for k in _OF:
+            cuts = [slice(*c) for c in zip(np.searchsorted(places[k], parts, "left"),
+                                           np.searchsorted(places[k], parts, "right"), strict=True)]
+            columns[f"grams{k}"] = pa.array([packed(block.grams[k][c]) for c in cuts], pa.binary())
+            columns[f"own{k}"] = pa.array([planed(counts[k][c]) for c in cuts], pa.binary())
+        return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,50 +243,106 @@ def answers(asked: DataFrame) -> DataFrame:
     """Corpus totals of what each block asked for; vocabulary: training words, once a range."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        words, vocabulary = _summed([*map(unpacked, rows["words"])], [*map(unpacked, rows["n_words"])])
-        pairs, _ = _summed([*map(unpacked, rows["pairs"])], [*map(unpacked, rows["n_pairs"])])
-        return pd.DataFrame({"part": rows["part"], "block": rows["block"],
-                             "words": [packed(w) for w in words],
-                             "pairs": [packed(p) for p in pairs],
-                             "vocabulary": [vocabulary] + [0] * (len(rows) - 1)})
+        out = {"part": rows["part"], "block": rows["block"]}
+        for k in _OF:
+            totals, distinct = _summed([*map(unpacked, rows[f"grams{k}"])],
+                                       [*map(unplaned, rows[f"own{k}"])])
+            if k == 0:
+                out["vocabulary"] = [distinct] + [0] * (len(rows) - 1)
+            out[f"totals{k}"] = [planed(t) for t in totals]
+        return pd.DataFrame(out)
 
     return asked.groupBy("part").applyInPandas(run, ANSWERS)
 
 
+COUNTED = (BLOCKS + ", vocabulary long, singles array<long>, mass array<long>, "
+           + ", ".join(f"totals{k} binary" for k in _OF))
+
+
+def counted_blocks(blocks: DataFrame, answered: DataFrame) -> DataFrame:
+    """Each block with the corpus totals of its n-grams and its part of the counts of counts."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("part")
+        totals = [np.concatenate([*map(unplaned, right[f"totals{k}"])]).astype(np.int64) for k in _OF]
+        singles, mass = singles_and_mass(Block(left.iloc[0]), totals)
+        return left.assign(vocabulary=right["vocabulary"].sum(), singles=[singles], mass=[mass],
+                           **{f"totals{k}": [planed(totals[k])] for k in _OF})
+
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(run, COUNTED)
+
+
+def corpus_sums(counted: DataFrame) -> tuple[int, np.ndarray]:
+    """Vocabulary, and for each length and class of history the mass kept for shorter histories.
+
+    It is the leaving-one-out estimate: the share of training tokens whose n-gram would be unseen
+    without them, singles / mass, each one more so that nothing is impossible.
+    """
+    vocabulary = counted.agg(F.sum("vocabulary")).first()[0] or 0
+    rows = (counted.select(F.posexplode(F.arrays_zip("singles", "mass")).alias("i", "n"))
+            .groupBy("i").agg(F.sum("n.singles").alias("singles"), F.sum("n.mass").alias("mass")))
+    kept = np.ones((ORDER - 1) * CLASSES)
+    for r in rows.collect():  # ORDER - 1 times CLASSES rows
+        kept[r["i"]] = (r["singles"] + 1) / (r["mass"] + 1)
+    return vocabulary, np.vstack([np.ones(CLASSES), kept.reshape(ORDER - 1, CLASSES)])
+
+
 class Automaton:
-    """States: the empty history, and each word of the block that training documents hold.
+    """States: the empty history, and each history of one or two words that training documents hold.
 
-    Out of a word's state, an arc for each bigram seen in training leads to the second word's
-    state; its weight is the mixture of bigram and word probability. Any other word takes the
-    failure arc, which costs log10(1 - WEIGHT) and leads to the empty history, where every word has
-    an arc with its add-one probability. For each history the probabilities sum to one.
+    Out of a state an arc for each n-gram seen in training leads to the longest seen history that
+    ends with its word; its weight is the discounted share of the n-gram plus the mass the state
+    keeps back times the probability after the shorter history. Any other word takes the failure
+    arc, which costs the logarithm of that mass, to the shorter history. The empty history has an
+    arc for every word, with its add-one probability. In each state the probabilities sum to one.
     """
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, total: int, vocabulary: int) -> None:
-        self.state = np.where(words > 0, np.arange(1, len(words) + 1), 0)
-        self.word = np.log10((words + 1) / (total + vocabulary + 1))
-        self.failure = np.where(words > 0, np.log10(1 - WEIGHT), 0.0)
-        self._words, self._pairs = words, pairs
-
-    def arc(self, first: np.ndarray, second: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Weight of going from the state of a word to another one, over the failure arc if need be."""
-        seen = self._pairs[pair]
-        mixed = np.log10(WEIGHT * seen / np.maximum(1, self._words[first])
-                         + (1 - WEIGHT) * 10 ** self.word[second])
-        return np.where((self.state[first] > 0) & (seen > 0), mixed,
-                        self.failure[first] + self.word[second])
-
-    def traverse(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """Weight of every token, read left to right, and of the word arcs alone.
-
-        With histories of one word the state before a token is the state of the word before it,
-        so a document's whole way is known at once and is summed in order.
+    def __init__(self, block: Block, totals: list[np.ndarray], total: int, vocabulary: int,
+                 kept: np.ndarray) -> None:
+        chance = ((totals[0] + 1) / (total + vocabulary + 1))[block.at[0]]
+        self.block = block
+        self.arcs, self.failures = [np.log10(chance)], [np.zeros(len(chance))]
+        self.has = [totals[0][block.at[0]] > 0]
+        for k in range(1, ORDER):
+            ends = np.flatnonzero(block.place >= k)
+            history = totals[k - 1][block.at[k - 1][ends - 1]]
+            seen = totals[k][block.at[k][ends]]
+            back = np.where(history > 0, kept[k][_classes_of(history)], 1.0)
+            chance[ends] = (1 - back) * seen / np.maximum(1, history) + back * chance[ends]
+            failure, has = np.zeros(len(chance)), np.zeros(len(chance), bool)
+            failure[ends], has[ends] = np.log10(back), seen > 0
+            self.arcs.append(np.log10(chance))
+            self.failures.append(failure)
+            self.has.append(has)
+
+    def walk(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the state in which each token is met, and of the one whose arc it takes.
+
+        One pass from left to right: failure arcs are followed until a state has an arc for the
+        token, and the state that arc leads to is carried to the next token.
         """
-        base = self.word[block.at]
-        weights = base.copy()
-        second = block.second
-        weights[second] = self.arc(block.at[second - 1], block.at[second], block.pair_at)
-        return np.where(block.scored, weights, 0.0), np.where(block.scored, base, 0.0)
+        size = len(self.block.place)
+        met, taken = bytearray(size), bytearray(size)
+        has = [h.tobytes() for h in self.has]
+        state = 0
+        for i, first in enumerate((self.block.place == 0).tobytes()):
+            if first:
+                state = 0
+            met[i] = state
+            while state and not has[state][i]:
+                state -= 1
+            taken[i] = state
+            state = min(state + 1, ORDER - 1) if has[0][i] else 0
+        return np.frombuffer(met, np.uint8), np.frombuffer(taken, np.uint8)
+
+    def traverse(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of every token along its path, failure arcs included, and of the empty history's arcs."""
+        met, taken = self.walk()
+        weights = np.choose(taken, self.arcs)
+        for k in range(1, ORDER):
+            weights += np.where((taken < k) & (k <= met), self.failures[k], 0.0)
+        scored = self.block.scored
+        return np.where(scored, weights, 0.0), np.where(scored, self.arcs[0], 0.0)
 
 
 SCORES = ("row long, doc_id string, held_out boolean, n_tokens long, n_known long, "
@@ -270,33 +356,39 @@ def score_corpus(docs: DataFrame, learn: Column, block_tokens: int = BLOCK_TOKEN
     Documents that meet the condition `learn` on doc_id are counted; all are scored, whole. Tokens
     are words with A-Z in lower case, then one end; NULL and empty texts have the end alone. base_score is the
     sum of the add-one word probabilities, score the automaton's, both log10. n_known counts
-    tokens seen in training. Repeated rows each count and each get a row; no rows give none. Words are
-    told apart by 64-bit hashes. Blocks and counts are written to the shared folder, so a lost
+    tokens seen in training. Repeated rows each count and each get a row; no rows give none. N-grams are
+    told apart by 64-bit hashes. Texts longer than a block go through several, state and counts
+    included. Blocks and their counts are written to the shared folder, so a lost
     executor repeats only its own blocks.
     """
     blocks = written(make_blocks(docs, learn, block_tokens), "blocks")
-    size = blocks.agg(F.sum(F.col("n_words") + F.col("n_pairs")).alias("entries"),
-                      F.sum("n_train").alias("total")).first()
+    size = blocks.agg(F.sum("n_grams").alias("entries"), F.sum("n_train").alias("total")).first()
     bits = max(0, math.ceil(math.log2(max(1, (size["entries"] or 0) / range_entries))))
-    totals = written(answers(requests(blocks, bits)), "totals")
-    vocabulary = totals.agg(F.sum("vocabulary")).first()[0] or 0
+    counted = written(counted_blocks(blocks, answers(requests(blocks, bits))), "counted")
+    vocabulary, kept = corpus_sums(counted)
     total = int(size["total"] or 0)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("part")
-        words = np.concatenate([*map(unpacked, right["words"])]).astype(np.int64)
-        pairs = np.concatenate([*map(unpacked, right["pairs"])]).astype(np.int64)
-        row = left.iloc[0]
+    def rows_of(row: dict) -> pa.RecordBatch:
         block = Block(row)
-        weights, base = Automaton(words, pairs, total, vocabulary).traverse(block)
-        add = lambda x: np.add.reduceat(x, block.starts)
-        return pd.DataFrame({
-            "row": row["rows"], "doc_id": list(row["doc_ids"]),
-            "held_out": row["held"], "n_tokens": add(block.scored.astype(np.int64)),
-            "n_known": add((block.scored & (words[block.at] > 0)).astype(np.int64)),
-            "base_score": add(base), "score": add(weights)})
-
-    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(run, SCORES)
+        totals = [unplaned(row[f"totals{k}"]).astype(np.int64) for k in _OF]
+        weights, base = Automaton(block, totals, total, vocabulary, kept).traverse()
+        known = block.scored & (totals[0][block.at[0]] > 0)
+        columns = [row["rows"], row["doc_ids"], row["held"],
+                   *(np.add.reduceat(x, block.starts)
+                     for x in (block.scored.astype(np.int64), known.astype(np.int64), base, weights))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(columns, scores, strict=True)], schema=scores)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                yield rows_of(row)
+
+    scores = pa.schema([("row", pa.int64()), ("doc_id", pa.string()), ("held_out", pa.bool_()),
+                        ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("base_score", pa.float64()), ("score", pa.float64())])
+    scored = counted.mapInArrow(run, SCORES)
     # A document has several rows only if it is longer than a block.
     return (scored.groupBy("row").agg(
         F.first("doc_id").cast("long").alias("doc_id"), F.first("held_out").alias("held_out"),

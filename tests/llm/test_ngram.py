@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from careline.llm.common import fold_of
-from careline.llm.ngram import WEIGHT, packed, score_corpus, unpacked
+from careline.llm.ngram import packed, planed, score_corpus, unpacked, unplaned
 
 
 def tokens_of(text):
@@ -15,28 +15,62 @@ def tokens_of(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", fold), None]
 
 
+class Model:
+    """Counts in dictionaries; probabilities by recursion, scores by a walk over states and failure arcs."""
+
+    def __init__(self, train):
+        self.counts = Counter()
+        for tokens in train:
+            for k in range(3):
+                self.counts.update(tuple(tokens[i:i + k + 1]) for i in range(len(tokens) - k))
+        words = {g: c for g, c in self.counts.items() if len(g) == 1}
+        self.n, self.v = sum(words.values()), len(words)
+        singles, mass = Counter(), Counter()
+        for g, c in self.counts.items():
+            if len(g) > 1:
+                key = len(g), self.counts[g[:-1]].bit_length()
+                mass[key] += c
+                singles[key] += c == 1
+        self.kept = {k: (singles[k] + 1) / (mass[k] + 1) for k in mass}
+
+    def back(self, history):
+        return self.kept.get((len(history) + 1, self.counts[history].bit_length()), 1.0)
+
+    def p(self, history, word):
+        if not history:
+            return (self.counts[word,] + 1) / (self.n + self.v + 1)
+        shorter = self.p(history[1:], word)
+        if not self.counts[history]:
+            return shorter
+        back = self.back(history)
+        return (1 - back) * self.counts[*history, word] / self.counts[history] + back * shorter
+
+    def score(self, tokens):
+        state, score = (), 0.0
+        for w in tokens:
+            while state and not self.counts[*state, w]:
+                score += math.log10(self.back(state))
+                state = state[1:]
+            score += math.log10(self.p(state, w))
+            state = (*state, w)[-2:] if self.counts[w,] else ()
+        return score
+
+
 def brute(rows, held):
-    train = [tokens_of(t) for i, t in rows if i not in held]
-    words, pairs = Counter(), Counter()
-    for tokens in train:
-        words.update(tokens)
-        pairs.update(zip(tokens, tokens[1:]))
-    n, v = sum(words.values()), len(words)
+    model = Model([tokens_of(t) for i, t in rows if i not in held])
     out = []
     for i, text in rows:
-        tokens, base, score = tokens_of(text), 0.0, 0.0
-        for k, w in enumerate(tokens):
-            p = (words[w] + 1) / (n + v + 1)
-            base += math.log10(p)
-            h = tokens[k - 1] if k else None
-            if k and words[h]:
-                p = (WEIGHT * pairs[h, w] / words[h] if pairs[h, w] else 0) + (1 - WEIGHT) * p
-            score += math.log10(p)
-        out.append((i, i in held, len(tokens), sum(words[w] > 0 for w in tokens), n, base, score))
+        tokens = tokens_of(text)
+        base = sum(math.log10(model.p((), w)) for w in tokens)
+        plain = sum(math.log10(model.p(tuple(tokens[max(0, k - 2):k]), w)) for k, w in enumerate(tokens))
+        score = model.score(tokens)
+        assert score == pytest.approx(plain, rel=1e-9)
+        out.append((i, i in held, len(tokens), sum(model.counts[w,] > 0 for w in tokens), model.n,
+                    base, score))
     return out
 
 
-@pytest.mark.parametrize("block, entries", [(1_500_000, 3_000_000), (37, 50)])
+@pytest.mark.parametrize("block, entries", [(1_500_000, 3_000_000), (37, 50), (1, 400)])
 def test_against_brute_force(docs_of, block, entries):
     rng = random.Random(3)
     words = ["The", "of", "É", *(f"w{i}" for i in range(30))]
@@ -56,14 +90,21 @@ def test_against_brute_force(docs_of, block, entries):
 
 
 def test_probabilities_sum_to_one():
-    """Over the known words and one unknown word, after any known word."""
-    rows = [(i, t) for i, t in enumerate(["a b a c", "b a", "c c a b"])]
-    words = Counter(w for _, t in rows for w in tokens_of(t))
-    pairs = Counter(p for _, t in rows for p in zip(tokens_of(t), tokens_of(t)[1:]))
-    n, v = sum(words.values()), len(words)
-    p = {w: (words[w] + 1) / (n + v + 1) for w in [*words, "unknown"]}
-    for h in ("a", "b", "c"):
-        assert sum(WEIGHT * pairs[h, w] / words[h] + (1 - WEIGHT) * p[w] for w in p) == pytest.approx(1)
+    """Over the known words and one unknown word, in every state."""
+    model = Model([tokens_of(t) for t in ["a b a c", "b a", "c c a b", "a b a c"]])
+    words = [*(g[0] for g in model.counts if len(g) == 1), "unknown"]
+    states = [g for g in model.counts if len(g) < 3 and g[-1] is not None]
+    assert len(states) == 8
+    for state in [(), *states]:
+        assert sum(model.p(state, w) for w in words) == pytest.approx(1)
+
+
+def test_a_text_seen_twice_stands_out(docs_of):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(200)}" for _ in range(60))) for i in range(200)]
+    rows += [(300, rows[0][1]), (301, rows[0][1])]
+    got = {r.doc_id: r.score - r.base_score for r in score_corpus(docs_of(rows), F.lit(True)).collect()}
+    assert got[0] > max(v for i, v in got.items() if i not in (0, 300, 301)) + 40
 
 
 def test_odd_rows(docs_of):
@@ -78,5 +119,5 @@ def test_packing():
     import numpy as np
     numbers = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, np.uint64))
     assert (unpacked(packed(numbers)) == numbers).all()
-    assert (unpacked(packed(np.array([3, 0, 5, 1]))) == [3, 0, 5, 1]).all()
+    assert (unplaned(planed(np.array([3, 0, 5, 1]))) == [3, 0, 5, 1]).all()
     assert len(unpacked(packed(numbers[:0]))) == 0
