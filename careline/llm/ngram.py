@@ -32,6 +32,9 @@ BLOCK_TOKENS = 1_500_000
 RANGE_ENTRIES = 3_000_000
 REMEMBERED = 300_000
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
+#: Bits of the hash of an n-gram beyond the logarithm of their number: at every size of the corpus
+#: about one n-gram of a million shares its hash with another. Words have 64 bits.
+SPARE_BITS = 20
 #: Classes of histories by the bit length of their count; each has discounts of its own.
 CLASSES = 64
 
@@ -84,7 +87,7 @@ BLOCKS = ("block long, doc_ids array<string>, rows array<long>, held array<boole
 
 
 def make_blocks(docs: DataFrame, learn: Column, block_tokens: int) -> DataFrame:
-    """Documents as runs of indices into the block's sorted distinct word hashes.
+    """Documents as runs of indices into the block's distinct word hashes, frequent ones first.
 
     leads: how many tokens at the start of a piece are the last ones of the piece before; they
     carry the state over and are not scored.
@@ -99,7 +102,9 @@ def make_blocks(docs: DataFrame, learn: Column, block_tokens: int) -> DataFrame:
         def flushed() -> pa.RecordBatch:
             ids, rows, held, leads, hashes = zip(*pieces, strict=True)
             tokens = np.concatenate(hashes)
-            words, at = np.unique(tokens, return_inverse=True)
+            words, at, often = np.unique(tokens, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            at = np.argsort(order)[at]
             train = sum(len(h) - lead for h, own, lead in zip(hashes, held, leads, strict=True)
                         if not own)
             squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -109,7 +114,7 @@ def make_blocks(docs: DataFrame, learn: Column, block_tokens: int) -> DataFrame:
                  "rows": [[next_id + r for r in rows]],
                  "held": [list(held)], "lengths": [[len(h) for h in hashes]],
                  "leads": [list(leads)], "tokens": [squeeze(planes.tobytes())],
-                 "words": [packed(words)], "n_grams": [len(words) + (ORDER - 1) * len(tokens)],
+                 "words": [planed(words[order])], "n_grams": [len(words) + (ORDER - 1) * len(tokens)],
                  "n_train": [train]}, schema)
 
         schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.string())),
@@ -142,14 +147,16 @@ def make_blocks(docs: DataFrame, learn: Column, block_tokens: int) -> DataFrame:
 class Block:
     """A block's tokens, and for each length its distinct n-grams and which of them ends where.
 
+    width: leading bits of the hash that tell n-grams of several words apart.
     place: how many tokens of its piece stand before a token; an n-gram of k + 1 words ends
     where it is at least k.
     """
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, width: int) -> None:
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.uint8)
         at = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
-        words = unpacked(row["words"])
+        words, back = np.unique(unplaned(row["words"]), return_inverse=True)
+        at = back[at]
         lengths = np.asarray(row["lengths"], np.int64)
         self.starts = np.cumsum(lengths) - lengths
         piece = np.repeat(np.arange(len(lengths)), lengths)
@@ -158,10 +165,11 @@ class Block:
         self.counted = self.scored & ~np.asarray(row["held"], bool)[piece]
         self.grams, self.at = [words], [at]
         tokens = gram = words[at]
+        low = np.uint64(64 - width)
         for k in range(1, ORDER):
             gram = chained(gram[:-1], tokens[k:])
             ends = np.flatnonzero(self.place[k:] >= k)
-            distinct, ids = np.unique(gram[ends], return_inverse=True)
+            distinct, ids = np.unique(gram[ends] >> low << low, return_inverse=True)
             at = np.zeros(len(tokens), np.int64)
             at[ends + k] = ids
             self.grams.append(distinct)
@@ -202,7 +210,7 @@ REQUESTS = "part long, block long, " + ", ".join(f"grams{k} binary, own{k} binar
 ANSWERS = "part long, block long, vocabulary long, " + ", ".join(f"totals{k} binary" for k in _OF)
 
 
-def requests(blocks: DataFrame, bits: int) -> DataFrame:
+def requests(blocks: DataFrame, bits: int, width: int) -> DataFrame:
     """For each block and range of hashes: the hashes, and their counts in training documents.
 
     A block has a row for each of the 2 ** bits ranges in which it has a hash: never more
@@ -225,7 +233,7 @@ def requests(blocks: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):  # one block in Python at a time
                 (row,) = batch.slice(i, 1).to_pylist()
-                yield rows_of(row["block"], Block(row))
+                yield rows_of(row["block"], Block(row, width))
 
     return blocks.mapInArrow(run, REQUESTS)
 
@@ -259,13 +267,13 @@ COUNTED = (BLOCKS + ", vocabulary long, singles array<long>, mass array<long>, "
            + ", ".join(f"totals{k} binary" for k in _OF))
 
 
-def counted_blocks(blocks: DataFrame, answered: DataFrame) -> DataFrame:
+def counted_blocks(blocks: DataFrame, answered: DataFrame, width: int) -> DataFrame:
     """Each block with the corpus totals of its n-grams and its part of the counts of counts."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("part")
         totals = [np.concatenate([*map(unplaned, right[f"totals{k}"])]).astype(np.int64) for k in _OF]
-        singles, mass = singles_and_mass(Block(left.iloc[0]), totals)
+        singles, mass = singles_and_mass(Block(left.iloc[0], width), totals)
         return left.assign(vocabulary=right["vocabulary"].sum(), singles=[singles], mass=[mass],
                            **{f"totals{k}": [planed(totals[k])] for k in _OF})
 
@@ -356,20 +364,22 @@ def score_corpus(docs: DataFrame, learn: Column, block_tokens: int = BLOCK_TOKEN
     Documents that meet the condition `learn` on doc_id are counted; all are scored, whole. Tokens
     are words with A-Z in lower case, then one end; NULL and empty texts have the end alone. base_score is the
     sum of the add-one word probabilities, score the automaton's, both log10. n_known counts
-    tokens seen in training. Repeated rows each count and each get a row; no rows give none. N-grams are
-    told apart by 64-bit hashes. Texts longer than a block go through several, state and counts
+    tokens seen in training. Repeated rows each count and each get a row; no rows give none. Words are
+    told apart by 64-bit hashes, longer n-grams by SPARE_BITS more than their number takes. Texts longer than a block go through several, state and counts
     included. Blocks and their counts are written to the shared folder, so a lost
     executor repeats only its own blocks.
     """
     blocks = written(make_blocks(docs, learn, block_tokens), "blocks")
     size = blocks.agg(F.sum("n_grams").alias("entries"), F.sum("n_train").alias("total")).first()
-    bits = max(0, math.ceil(math.log2(max(1, (size["entries"] or 0) / range_entries))))
-    counted = written(counted_blocks(blocks, answers(requests(blocks, bits))), "counted")
+    entries = max(1, size["entries"] or 0)
+    bits = max(0, math.ceil(math.log2(entries / range_entries)))
+    width = min(64, math.ceil(math.log2(entries)) + SPARE_BITS)
+    counted = written(counted_blocks(blocks, answers(requests(blocks, bits, width)), width), "counted")
     vocabulary, kept = corpus_sums(counted)
     total = int(size["total"] or 0)
 
     def rows_of(row: dict) -> pa.RecordBatch:
-        block = Block(row)
+        block = Block(row, width)
         totals = [unplaned(row[f"totals{k}"]).astype(np.int64) for k in _OF]
         weights, base = Automaton(block, totals, total, vocabulary, kept).traverse()
         known = block.scored & (totals[0][block.at[0]] > 0)
