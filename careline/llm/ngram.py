@@ -366,7 +366,7 @@ def score_corpus(docs: DataFrame, learn: Column, block_tokens: int = BLOCK_TOKEN
     sum of the add-one word probabilities, score the automaton's, both log10. n_known counts
     tokens seen in training. Repeated rows each count and each get a row; no rows give none. Words are
     told apart by 64-bit hashes, longer n-grams by SPARE_BITS more than their number takes. Texts longer than a block go through several, state and counts
-    included. Blocks and their counts are written to the shared folder, so a lost
+    included. Blocks and counts are written to the shared folder, so a lost
     executor repeats only its own blocks.
     """
     blocks = written(make_blocks(docs, learn, block_tokens), "blocks")
@@ -374,7 +374,8 @@ def score_corpus(docs: DataFrame, learn: Column, block_tokens: int = BLOCK_TOKEN
     entries = max(1, size["entries"] or 0)
     bits = max(0, math.ceil(math.log2(entries / range_entries)))
     width = min(64, math.ceil(math.log2(entries)) + SPARE_BITS)
-    counted = written(counted_blocks(blocks, answers(requests(blocks, bits, width)), width), "counted")
+    totals = written(answers(requests(blocks, bits, width)), "totals")  # frees the larger exchange
+    counted = written(counted_blocks(blocks, totals, width), "counted")
     vocabulary, kept = corpus_sums(counted)
     total = int(size["total"] or 0)
 
