@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Words of the longest n-gram; histories have up to one less.
 ORDER = 3
 #: Tokens of a block; a longer document is cut into pieces that carry the state over.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 #: Entries of a range of hashes, over all blocks, at most about.
 RANGE_ENTRIES = 3_000_000
 REMEMBERED = 300_000
