@@ -78,3 +78,39 @@ def test_expanding_short_patients_takes_one_exchange_a_side(spark):
     star = Star(spark, str(TESTDATA / "sf0.01"))
     plan = D.expanded_within(star.histories[0])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 3
+
+
+@pytest.mark.parametrize("longest", [20, 500])
+def test_by_code(spark, monkeypatch, longest):
+    monkeypatch.setattr(P.long_patients, "__defaults__", (longest,))
+    path = str(TESTDATA / "sf0.001")
+    problems, rows = compare(contract.queries()["interval_join_by_code"](spark, path),
+                             contract.oracle_sql()["interval_join_by_code"], connect(path))
+    assert problems == [] and rows > 0
+
+
+def test_ids_equal_as_numbers(spark):
+    """`07` and `7` share the prescriptions of both, each by its own known drug; a code may be missing."""
+    rows = spark.createDataFrame([("7", "m", 1), ("07", "m", 1), ("7", "n", None), ("8", "m", 1)],
+                                 "nhc string, med_code string, national_code int").selectExpr(
+        "*", "TIMESTAMP_NTZ '2001-01-01' AS dispensed_at")
+    presc = spark.createDataFrame([("7", "m", "p", 1), ("07", "m", "q", 1), ("7", "n", "r", None), ("8", "m", None, 1)],
+                                  "nhc string, med_code string, prescription_id string, presc_national_code int")
+    presc = presc.selectExpr("*", "2.0D AS posology_days", "TIMESTAMP_NTZ '2000-01-01' AS valid_from",
+                             "CAST(NULL AS TIMESTAMP_NTZ) AS valid_to")
+    got, want = (f(rows, presc, "2001-12-31") for f in (P.by_code_within, D.interval_join_by_code))
+    assert got.columns == want.columns and got.count() == 5
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_reports_read_their_inputs_once(spark, tmp_path):
+    """Ten tables start from the steps; the join that makes them is run for one of them only."""
+    from careline.plans import reports
+    seen = []
+    plain = reports.shared_table
+    try:
+        reports.shared_table = lambda frame, name: (seen.append(name), plain(frame, name))[1]
+        contract.queries()["report_sinks"](spark, str(TESTDATA / "sf0.001"))
+    finally:
+        reports.shared_table = plain
+    assert {"steps", "rows", "prescriptions", "people"} <= set(seen)
