@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careline.session import shared_folder
+from careline.session import shared_folder, write_once
 
 # Executors need no copy of the package: functions travel with the query.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     what is computed without a fixed order stays as it was computed first.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    write_once(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
