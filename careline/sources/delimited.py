@@ -33,6 +33,10 @@ DATE_TIMES = (
     r"(\d{1,2})[^0-9A-Za-z]+(\d{1,2})[^0-9A-Za-z]+(\d{1,2}(?:\.\d+)?)" + _ZONE,
 )
 
+# Times as they mostly stand, which take one look each: what the engine reads as it is, and 14 digits.
+PLAIN_TIME = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})?\z"
+DIGITS_TIME = r"^\d{14}\z"
+
 # Source column, canonical column and type of the three extracts.
 STEP_COLUMNS = (
     ("NHC", "nhc_raw", "text"), ("NHC..sense.ceros.", "nhc", "text"), ("CIP", "cip", "text"),
@@ -154,11 +158,15 @@ def to_time(text: Column) -> Column:
 
     Years 00-68 are 2000-2068, 69-99 1969-1999. A date or time that doesn't exist is NULL.
     """
-    found = None
+    def digits(at: int, n: int) -> Column:
+        return F.substring(text, at, n)
+
+    spaced = F.concat(F.concat_ws("-", digits(1, 4), digits(5, 2), digits(7, 2)), F.lit(" "),
+                      F.concat_ws(":", digits(9, 2), digits(11, 2), digits(13, 2)))
+    found = (F.when(text.rlike(PLAIN_TIME), F.try_to_timestamp(text))
+             .when(text.rlike(DIGITS_TIME), F.try_to_timestamp(spaced)))
     for layout in DATE_TIMES:
-        here = text.rlike(layout)
-        value = _in_layout(text, layout)
-        found = F.when(here, value) if found is None else found.when(here, value)
+        found = found.when(text.rlike(layout), _in_layout(text, layout))
     return found
 
 
