@@ -247,9 +247,6 @@ class _Counting:
         for length in range(1, self.longest):
             if self._news(tick, length):
                 self._extend(tick, length)
-        for length in range(1, self.longest):
-            if (tick, length) in self.counts:
-                self._reach(tick, length)
 
     def _extend(self, tick: int, length: int) -> None:
         """Count the phrases of length + 1 that became active for this shard."""
@@ -282,29 +279,32 @@ class _Counting:
         self._sum(self._counted(tick, length + 1), tick, length + 1)
 
     def _sum(self, rows: DataFrame, tick: int, length: int) -> None:
-        self.counts[tick, length] = written(
-            rows.groupBy(*self._key(length)).agg(F.sum("c").alias("c")), f"counts-{tick}-{length}")
-
-    def _reach(self, tick: int, length: int) -> None:
-        """Phrases of which this tick's count reached the threshold, with ids."""
-        parts = [self.counts[t, length].withColumn("now", F.lit(t == tick))
-                 for t in range(tick - self.shards + 1, tick + 1) if (t, length) in self.counts]
-        now = F.coalesce(F.sum(F.when(F.col("now"), F.col("c"))), F.lit(0))
+        """Counts of the tick, with those up to it in the cycle it ends (`upto`), and who reached the
+        threshold by them, with ids: one exchange for all of it."""
+        key, c, upto = self._key(length), F.col("c"), F.col("upto")
+        parts = [rows.select(*key, "c", F.col("c").alias("here"))]
+        parts += [self.counts[t, length].select(*key, "c", F.lit(0).cast("long").alias("here"))
+                  for t in range(tick - self.shards + 1, tick) if (t, length) in self.counts]
+        self.counts[tick, length] = counts = written(
+            _all(parts).groupBy(*key).agg(F.sum("here").alias("c"), F.sum("c").alias("upto"))
+            .filter(c > 0), f"counts-{tick}-{length}")
+        if length == self.longest:
+            return
         found = written(
-            _all(parts).groupBy(*self._key(length))
-            .agg(F.sum("c").alias("upto"), now.alias("here"))
-            .filter((F.col("here") > 0) & (F.col("upto") >= self.least)
-                    & (F.col("upto") - F.col("here") < self.least))
-            .select(*self._key(length), ((F.monotonically_increasing_id() + 1) * (1 << TICK_BITS)
-                                         + tick).alias("id")), f"reached-{tick}-{length}")
+            counts.filter((upto >= self.least) & (upto - c < self.least))
+            .select(*key, ((F.monotonically_increasing_id() + 1) * (1 << TICK_BITS)
+                           + tick).alias("id")), f"reached-{tick}-{length}")
         if not found.isEmpty():
             self.reached[tick, length] = found
 
     def totals(self, length: int) -> DataFrame | None:
-        """(key, a) of the phrases of a length over their full cycles, from the threshold on."""
-        tables = [df for (_, k), df in self.counts.items() if k == length]
-        return (_all(tables).groupBy(*self._key(length)).agg(F.sum("c").alias("a"))
-                .filter(F.col("a") >= self.least)) if tables else None
+        """(key, a) of the phrases of a length over their full cycles, from the threshold on.
+
+        The cycle's last tick in which a phrase occurs has its full count in `upto`, other ticks less.
+        """
+        tables = [df.filter(F.col("upto") >= self.least)
+                  for (_, k), df in self.counts.items() if k == length]
+        return _all(tables).groupBy(*self._key(length)).agg(F.max("upto").alias("a")) if tables else None
 
     def sizes(self) -> DataFrame:
         """(lang, n): all words of each language."""

@@ -175,3 +175,19 @@ def test_scores_beyond_64_bits(spark):
     row = spark.range(1).select(collocations._score(F.lit(a), F.lit(n), F.lit(a), F.lit(a + 1))
                                 .alias("s")).first()
     assert row.s == 1000 * a * n // (a * (a + 1))
+
+
+def test_a_tick_writes_what_its_cycle_has_counted(spark):
+    """`upto` sums the ticks of the cycle, so totals and thresholds need no second sum over all counts."""
+    docs = spark.createDataFrame(_phrase_rows(), "lang string, text string").repartition(5)
+    counting = collocations._Counting(collocations.token_blocks(docs, 2, 40).cache(), 3, 3, 2)
+    for length in (1, 2):
+        key = counting._key(length)
+        ticks = {t: {tuple(r[k] for k in key): (r["c"], r["upto"]) for r in df.collect()}
+                 for (t, n), df in counting.counts.items() if n == length}
+        whole = Counter()
+        for t, rows in ticks.items():
+            whole.update({k: c for k, (c, _) in rows.items()})
+            assert all(upto == c + ticks.get(t - 1, {}).get(k, (0, 0))[0] for k, (c, upto) in rows.items())
+        got = {tuple(r[k] for k in key): r["a"] for r in counting.totals(length).collect()}
+        assert got and got == {k: n for k, n in whole.items() if n >= 3}
