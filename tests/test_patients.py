@@ -7,9 +7,11 @@ import pytest
 import __spark_entry__ as contract
 from conftest import TESTDATA
 from oracle.check import compare, connect
+from careline.operators import cohort as C
 from careline.operators import coverage as V
 from careline.operators import dispensing as D
 from careline.operators import patients as P
+from careline.operators import survival as K
 from careline.plans.registry import AS_OF, Star
 
 
@@ -114,3 +116,55 @@ def test_reports_read_their_inputs_once(spark, tmp_path):
     finally:
         reports.shared_table = plain
     assert {"steps", "rows", "prescriptions", "people"} <= set(seen)
+
+
+def test_split_reads_rows_without_id_by_their_filter(spark, tmp_path):
+    """Rows without id don't come out of a join of all rows with the long patients."""
+    spark.createDataFrame([(str(i % 7), i) for i in range(50)] + [(None, 50), (None, 51)],
+                          "nhc string, v int").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for longest, ids in ((500, set()), (7, {"0"})):
+        short, cut = P.split(rows, P.long_patients(rows, "nhc", longest), "nhc")
+        plan = cut._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [IsNull(nhc)]" in plan and "LeftOuter" not in plan
+        assert {r.nhc for r in cut.collect()} == ids | {None}
+        assert Counter(map(tuple, short.union(cut).collect())) == Counter(map(tuple, rows.collect()))
+
+
+def _instants(spark):
+    """Patients with one instant, several, a missing one, two drugs, a missing drug and none at all."""
+    rows = [("a", "g", "2001-01-01", 2), ("a", "g", "2001-03-05", 1), ("a", "g", "2001-03-09", 3),
+            ("b", "g", "2001-01-01", 1), ("c", "g", "2001-01-01", 1), ("c", "h", "2001-02-01", 1),
+            ("d", None, "2001-01-01", 1), ("d", None, "2001-05-01", 2), ("e", "h", "2001-01-01", 1),
+            ("e", "h", None, 2), ("f", "g", "2001-01-01", 1), ("f", None, "2001-01-01", 1)]
+    return spark.createDataFrame(rows, "nhc string, med_group string, t string, copies long").selectExpr(
+        "nhc", "med_group", "CAST(t AS TIMESTAMP_NTZ) AS dispensed_at", "copies")
+
+
+def test_naive_instants_and_their_ends_within_a_patient(spark):
+    """Also with two records of a patient, which count twice, and a patient without record."""
+    instants = _instants(spark)
+    want = C.naive_rows(instants)
+    naive = P.naive_within(instants)
+    assert naive.columns == want.columns and {r.nhc for r in naive.collect()} == {"a", "b", "d", "e"}
+    assert Counter(map(tuple, naive.collect())) == Counter(map(tuple, want.collect()))
+    patients = spark.createDataFrame([("a", "F", 1950), ("a", "M", 1950), ("b", "F", None), ("d", "F", 1980)],
+                                     "nhc string, sex string, birth_year int")
+    people = C.cohort_patients(naive, patients, "copies")
+    rows = P.cohort_within(naive, people)
+    assert Counter(map(tuple, rows.collect())) == Counter(map(tuple, C.cohort_rows(naive, people).collect()))
+    for unit in ("row", "patient"):
+        for end in ("previous", "current"):
+            within = K.persistence_counts(rows, end, unit, "copies", P.ends_within)
+            across = K.persistence_counts(C.cohort_rows(instants, people), end, unit, "copies")
+            assert Counter(map(tuple, within.collect())) == Counter(map(tuple, across.collect()))
+
+
+def test_instants_and_curves_exchange_little(spark):
+    """Only naive patients are written; curves exchange them and the people once, and cut no slices."""
+    star = Star(spark, str(TESTDATA / "sf0.001"))
+    short, _ = star.instant_parts
+    assert short.count() == C.naive_rows(short).count() > 0
+    counts = K.persistence_counts(P.cohort_within(short, star.people), copies="copies", ends=P.ends_within)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "rangepartitioning" not in plan
