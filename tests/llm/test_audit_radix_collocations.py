@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 from itertools import permutations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,38 @@ def test_a_tick_writes_what_its_cycle_has_counted(spark):
             assert all(upto == c + ticks.get(t - 1, {}).get(k, (0, 0))[0] for k, (c, upto) in rows.items())
         got = {tuple(r[k] for k in key): r["a"] for r in counting.totals(length).collect()}
         assert got and got == {k: n for k, n in whole.items() if n >= 3}
+
+
+def test_ticks_exchange_a_row_a_block_and_range(spark):
+    """Rows of a tick go by blocks and ranges, not by phrases; ended counts under the threshold are not kept."""
+    rows = [("en", " ".join(f"w{i * k % 97}" for i in range(400))) for k in range(1, 60)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    counting = collocations._Counting(collocations.token_blocks(docs, 2).cache(), 3, 3, 2)
+    blocks = counting.blocks.count()
+    assert counting.totals(2).count() > 4 * blocks * counting.of
+    for table in [*counting.asked.values(), *counting.tables.values()]:
+        most = {r["kind"]: r["count"] for r in table.groupBy("kind").count().collect()}
+        assert max(most.values(), default=0) <= 2 * blocks * counting.of
+    assert counting.counts[1, 1].filter("upto < 3").isEmpty()
+
+
+def test_keys_of_phrases_come_back(spark):
+    rng = np.random.default_rng(5)
+    left, right = rng.integers(0, collocations.IDS, (2, 1000))
+    for of in (1, 16, 1220):
+        for part in np.unique((left + right) % of)[:3].tolist():
+            some = (left + right) % of == part
+            pairs = collocations._Pairs(part, of)
+            keys = np.unique(left[some] // of * collocations.IDS + right[some])
+            packed = pairs.encode(keys)
+            assert (pairs.decode(packed) == keys).all()
+            assert set(zip(*map(np.ndarray.tolist, pairs.ids(keys)), strict=True)) == set(
+                zip(left[some].tolist(), right[some].tolist(), strict=True))
+    words = pa.array([b"2 enword", b"5 a\nb 1", b"0 ", b"3 \xc3\xa9x\xc3\xa9 "], pa.binary())
+    assert collocations._Words.decode(collocations._Words.encode(words)).to_pylist() == words.to_pylist()
+    langs, said = collocations._Words.columns(words)
+    assert langs.to_pylist() == ["en", "a\nb 1", "", "éx"] and said.to_pylist() == ["word", "", "", "é "]
+    for kind in (np.int32, np.int64):
+        for numbers in (np.zeros(0, kind), rng.integers(-9, 99, 1000).astype(kind)):
+            assert (collocations._unpack(collocations._pack(numbers), kind) == numbers).all()
+    assert len(collocations._pack(rng.integers(0, 256, 100_000))) < 110_000
