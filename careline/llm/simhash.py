@@ -71,6 +71,8 @@ def meetings(classes: DataFrame, max_bits: int = 2) -> DataFrame:
     bytes, so a linked pair shares the others, and every set within them. Single positions would put
     1/256 of all rows into a posting; sets of one position less than a linked pair shares leave
     256 ** (max_bits + 1) values for the other bytes and still tell by their number how many are shared.
+    They are joined by sorting: the engine sizes postings as the classes they are exploded from, and would
+    broadcast dozens of rows for each row it counts.
     """
     sets = list(combinations(range(BYTES), _width(max_bits)))
     posting = F.explode(F.array(*(
@@ -78,7 +80,7 @@ def meetings(classes: DataFrame, max_bits: int = 2) -> DataFrame:
                  F.col("fp").bitwiseAND(F.lit(_mask(s))).alias("bytes"))
         for i, s in enumerate(sets)))).alias("p")
     postings = classes.select("fp", posting).select("p.positions", "p.bytes", "fp")
-    a = postings.withColumnRenamed("fp", "a")
+    a = postings.withColumnRenamed("fp", "a").hint("merge")
     b = postings.withColumnRenamed("fp", "b")
     return (a.join(b, ["positions", "bytes"]).filter(F.col("a") < F.col("b"))
             .groupBy("a", "b").agg(F.count("*").alias("n")))

@@ -87,6 +87,17 @@ def test_tally_drops_pairs_that_share_too_few_bytes(spark):
     assert got == want and len(met) > len(want)
 
 
+def test_postings_are_not_broadcast_whatever_their_classes_weigh(spark):
+    """56 postings a class: by their estimate even those of many classes would be broadcast."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    classes = spark.range(60).selectExpr("shiftleft(1L, CAST(id AS INT)) AS fp")  # of known size
+    met = meetings(classes)
+    assert met.count() > 0
+    for plan in (met._jdf.queryExecution().executedPlan().toString(),
+                 linked(classes)._jdf.queryExecution().executedPlan().toString()):
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_links_against_all_pairs_of_close_fingerprints(spark):
     rng = random.Random(9)
     rows = {rng.getrandbits(63) for _ in range(20)}
