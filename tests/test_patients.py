@@ -131,6 +131,49 @@ def test_split_reads_rows_without_id_by_their_filter(spark, tmp_path):
         assert Counter(map(tuple, short.union(cut).collect())) == Counter(map(tuple, rows.collect()))
 
 
+PAIRS = ["dispensing_prescription_join", "matched_dispensings", "valid_dispensings", "qc_overlaps"]
+
+
+@pytest.mark.parametrize("name", PAIRS)
+@pytest.mark.parametrize("longest", [0, 20])
+def test_pairs_and_valid_rows(spark, monkeypatch, name, longest):
+    monkeypatch.setattr(P.long_patients, "__defaults__", (longest,))
+    path = str(TESTDATA / "sf0.001")
+    problems, rows = compare(contract.queries()[name](spark, path), contract.oracle_sql()[name], connect(path))
+    assert problems == [] and rows > 0
+
+
+def test_pairs_within_patients(spark):
+    """Rows that are there twice, codes and prescription ids that are missing, rows without partner."""
+    rows = spark.createDataFrame([("a", "m", 1), ("a", "m", 1), ("a", None, 2), ("a", "n", 3), ("b", "m", 4)],
+                                 "nhc string, med_code string, qty int")
+    presc = spark.createDataFrame([("a", "m", "p", 1), ("a", "m", None, 1), ("a", None, "q", 2), ("c", "m", "r", 1)],
+                                  "nhc string, med_code string, prescription_id string, dose int")
+    for how, operator, n in (("left", D.dispensing_prescriptions, 7), ("inner", D.matched_dispensings, 3)):
+        got, want = P.pairs_within(rows, presc, how), operator(rows, presc)
+        assert got.columns == want.columns and got.count() == n
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", PAIRS)
+def test_pairs_and_valid_rows_take_one_exchange_a_side(spark, monkeypatch, name):
+    """Where there are only short patients; the line items with their orders and parts are written before."""
+    monkeypatch.setattr(P, "split", lambda rows, long, key: (rows.filter(f"{key} IS NOT NULL"), rows.limit(0)))
+    plan = contract.queries()[name](spark, str(TESTDATA / "sf0.01"))._jdf.queryExecution().optimizedPlan()
+    sources = [x for x in plan.toString().splitlines() if "Relation" in x]
+    assert sources and not [x for x in sources if "o_orderkey" in x or "p_partkey" in x]
+    physical = contract.queries()[name](spark, str(TESTDATA / "sf0.01"))._jdf.queryExecution().executedPlan()
+    assert physical.toString().count("Exchange hashpartitioning") == 2
+
+
+def test_overlaps_of_parts(spark):
+    """Parts that share no dispensing count like one table; an empty one adds nothing."""
+    valid = spark.createDataFrame([("a", "m", 1), ("a", "m", 1), ("a", "n", 1), ("b", "m", 1), ("b", "m", 1),
+                                   ("b", "m", 1)], "nhc string, med_code string, qty int")
+    parts = valid.filter("nhc = 'a'"), valid.filter("nhc = 'b'"), valid.filter("nhc = 'c'")
+    assert D.overlap_counts(*parts).collect() == D.overlap_counts(valid).collect() == [(3, 2, 3)]
+
+
 def _instants(spark):
     """Patients with one instant, several, a missing one, two drugs, a missing drug and none at all."""
     rows = [("a", "g", "2001-01-01", 2), ("a", "g", "2001-03-05", 1), ("a", "g", "2001-03-09", 3),
