@@ -12,7 +12,7 @@ from careline.operators import coverage as V
 from careline.operators import dispensing as D
 from careline.operators import patients as P
 from careline.operators import survival as K
-from careline.plans.registry import AS_OF, Star
+from careline.plans.registry import AS_OF, CHECKED, Star
 
 
 @pytest.mark.parametrize("folder", ["sf0.001"])
@@ -118,6 +118,54 @@ def test_reports_read_their_inputs_once(spark, tmp_path):
     assert {"steps", "rows", "prescriptions", "people"} <= set(seen)
 
 
+def test_reports_share_what_they_start_from(spark, monkeypatch):
+    """Dispensings, processes, drugs with doses and variants are made once; reports are made in several threads."""
+    import threading
+    from careline.plans import reports
+    seen, threads, table, save = [], set(), reports.shared_table, reports.write_report
+    monkeypatch.setattr(reports, "shared_table", lambda frame, name: (seen.append(name), table(frame, name))[1])
+    monkeypatch.setattr(reports, "write_report", lambda *a: (threads.add(threading.get_ident()), save(*a))[1])
+    rows = contract.queries()["report_sinks"](spark, str(TESTDATA / "sf0.001"))
+    once = {"steps", "dispensings", "prescriptions", "rows", "processes", "pairs", "variants"}
+    assert all(seen.count(name) == 1 for name in once) and seen.count("valid") == 2 and len(threads) > 1
+    problems, n = compare(rows, contract.oracle_sql()["report_sinks"], connect(str(TESTDATA / "sf0.001")))
+    assert problems == [] and n == len(CHECKED)
+
+
+def test_a_report_that_fails_ends_the_run(spark, monkeypatch, tmp_path):
+    """Nothing is published, and the error is that of the report."""
+    from careline.plans import reports
+    from careline.sources.sinks import manifests
+    def broken(*args):
+        raise ValueError("no lines")
+    monkeypatch.setattr(reports.N, "treatment_lines", broken)
+    star = Star(spark, str(TESTDATA / "sf0.001"))
+    inputs = {n: star.table(n) for n in ("steps", "patients", "dispensings", "prescriptions")}
+    with pytest.raises(ValueError, match="no lines"):
+        reports.write_all_reports(inputs, str(tmp_path), AS_OF, "ECONOMY")
+    assert manifests(spark, str(tmp_path)).count() == 0
+
+
+def test_valid_rows_and_coverage_by_patient(spark, monkeypatch):
+    """As the operators give them, also with patients of both kinds and rows without id."""
+    from careline.plans import reports
+    from careline.functions.semantics import is_in
+    from pyspark.sql import functions as F
+    star = Star(spark, str(TESTDATA / "sf0.001"))
+    lost = F.when(~is_in(F.col("nhc"), ("1", "2", "4", "5")), F.col("nhc"))
+    rows, presc = (x.withColumn("nhc", lost) for x in (star.dispensed, star.prescriptions))
+    want = D.valid_dispensings(rows, presc, AS_OF)
+    rated = V.coverage_ratio(want)
+    assert want.filter("nhc IS NULL").count() > 0
+    for longest in (20, 500):
+        monkeypatch.setattr(P.long_patients, "__defaults__", (longest,))
+        got = reports.valid_by_patient(rows, presc, AS_OF)
+        assert got.columns == want.columns
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+        found = reports.coverage_by_patient(want).select(*rated.columns)
+        assert Counter(map(tuple, found.collect())) == Counter(map(tuple, rated.collect()))
+
+
 def test_split_reads_rows_without_id_by_their_filter(spark, tmp_path):
     """Rows without id don't come out of a join of all rows with the long patients."""
     spark.createDataFrame([(str(i % 7), i) for i in range(50)] + [(None, 50), (None, 51)],

@@ -20,3 +20,12 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert not left() - before
     assert spark.conf.get(FREE_SHUFFLES, None) == setting
     assert rows.count() == 5_000 and rows.agg(F.sum("count")).first()[0] == 20_000
+
+
+def test_threads_that_write_at_once_leave_the_setting(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    setting = spark.conf.get(FREE_SHUFFLES, None)
+    with ThreadPoolExecutor(4) as pool:
+        counts = list(pool.map(lambda n: written(spark.range(n).repartition(3, "id"), "x").count(), range(1, 9)))
+    assert counts == [*range(1, 9)]
+    assert spark.conf.get(FREE_SHUFFLES, None) == setting
